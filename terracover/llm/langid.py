@@ -138,14 +138,13 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score for every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         score = Scorer(shared.value)
         for b in batches:
-            got = [score(t) for t in b["text"]]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "lang_pred": [x[0] for x in got], "score": [x[1] for x in got]})
+            yield pd.DataFrame([score(t) for t in b], columns=["lang_pred", "score"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInPandas(run, "doc_id long, lang_pred string, score double")
+    seen = F.pandas_udf(run, "lang_pred string, score double")(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), seen.alias("x")).select("doc_id", "x.*")
 
 
 def digest(docs: DataFrame, fit_rows: int = 4000) -> DataFrame:

@@ -256,23 +256,22 @@ def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256; model_path is read where the tasks run."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model_path)
         for b in batches:
-            rows = [x for part in _blocks(list(b["text"])) for x in own.digests(part)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n_tokens": [x[0] for x in rows], "ids_sha256": [x[1] for x in rows], "decoded_sha256": [x[2] for x in rows]})
+            rows = [x for part in _blocks(list(b)) for x in own.digests(part)]
+            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
-    cols = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cols.mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), made(F.col("text").cast("string")).alias("x")).select("doc_id", "x.*")
 
 
 def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     """doc_id and ids (array of int) of the whole text with the end id."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(model_path)
         for b in batches:
-            ids = [x for part in _blocks(list(b["text"])) for x in own.encode(part)]
-            yield pd.DataFrame({"doc_id": b["doc_id"], "ids": ids})
+            yield pd.Series([x for part in _blocks(list(b)) for x in own.encode(part)], dtype=object)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, ids array<int>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(run, "array<int>")(F.col("text").cast("string")).alias("ids"))

@@ -73,12 +73,11 @@ def fingerprint(text: str | None) -> int:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp): one row per document, fp the fingerprint's bits as a long."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t) for t in b["text"]), np.uint64, len(b)).view(np.int64)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp})
+            yield pd.Series(np.fromiter(map(fingerprint, b), np.uint64, len(b)).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(run, "long")(F.col("text").cast("string")).alias("fp"))
 
 
 def _cells(fps: DataFrame) -> DataFrame:

@@ -41,9 +41,9 @@ def decided(pages: DataFrame) -> DataFrame:
     return own.join(least, "digest", "left").withColumn("refers_to", F.expr("if(page_id <=> first, null, first)")).drop("first")
 
 
-def record(page_id: int | None, url: str | None, html: str, digest: str, size: int, refers_to: int | None) -> bytes:
+def record(page_id: str | None, url: str | None, html: str, digest: str, size: int, refers_to: str | None) -> bytes:
     """The bytes of a record, before compression."""
-    name = "none" if page_id is None else str(page_id)
+    name = page_id or "none"
     revisit = refers_to is not None
     payload = b"" if revisit else html.encode("utf-8", "surrogatepass")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -70,12 +70,12 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
         for b in batches:
             for row in b.itertuples(index=False):
                 part = part or PartFile(folder, ".warc.gz")
-                part.write(member(record(None if pd.isna(row.page_id) else int(row.page_id), row.url, row.html, row.digest, int(row.size), None if pd.isna(row.refers_to) else int(row.refers_to))))
+                part.write(member(record(row.page_id, row.url, row.html, row.digest, int(row.size), row.refers_to)))
         if part:
             part.close()
             yield pd.DataFrame({"path": [part.path], "size": [part.size]})
 
-    return stored(decided(pages).select("page_id", "url", "html", "digest", F.col("size"), "refers_to").mapInPandas(run, "path string, size long"), "warc-manifest")
+    return stored(decided(pages).select(F.col("page_id").cast("string"), "url", "html", "digest", "size", F.col("refers_to").cast("string")).mapInPandas(run, "path string, size long"), "warc-manifest")
 
 
 class Range:
@@ -163,8 +163,7 @@ def read(manifest: DataFrame, split: int = 8 << 20) -> DataFrame:
                     if not revisit and digest != x["sha256"]:
                         raise ValueError(f"damaged payload of page {page} in {r.path}")
                     out.append((None if page == "none" else int(page), int(f["X-Payload-Length"]) if revisit else x["bytes"], digest, f["WARC-Type"], int(refers) if refers else None))
-                got = pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield got.astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield pd.DataFrame(out, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     cut = F.lit(split)
     starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, cut.cast("long"))
