@@ -20,7 +20,6 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -130,8 +129,9 @@ class Lexicon:
         seen = self.seen
         if len(seen) > MEMORY:
             seen.clear()
-        for w in found - seen.keys():
-            seen[w] = self.weight(w)
+        for w in found:
+            if w not in seen:
+                seen[w] = self.weight(w)
         return {w for w in found if seen[w] or w in VIOLENCE}
 
 
