@@ -219,7 +219,7 @@ class Codec:
         known = self.known
         if len(known) > MEMORY:
             known.clear()
-        fresh = list(set().union(*split) - known.keys())
+        fresh = [w for w in set().union(*split) if w not in known]
         if fresh:
             made = self.vocabulary.encode_words(fresh)
             known.update((w, (f"{' '.join(map(str, i))} ", len(i), self.vocabulary.decode_word(i))) for w, i in zip(fresh, made, strict=True))
