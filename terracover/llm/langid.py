@@ -46,44 +46,65 @@ def _has_letter(found) -> bool:
 
 
 class Model:
-    """Log frequencies: words {word: row}, grams {gram: row}, each row one value per language."""
+    """Log frequencies, one value per language: words {word: values}, grams {gram: row of table}."""
 
     def __init__(self, langs: list[str], rows: list[tuple[int, str, list[int]]]):
         self.langs = langs
         self.words: dict[str, np.ndarray] = {}
-        self.grams: dict[str, np.ndarray] = {}
+        self.grams: dict[str, int] = {}
+        tables = [np.zeros((0, len(langs)))]
         for n in range(LONGEST + 1):
             own = [(g, c) for k, g, c in rows if k == n]
             if not own:
                 continue
             counts = np.array([c for _, c in own], float)
             logs = np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * len(own))
-            (self.grams if n else self.words).update(zip((g for g, _ in own), logs, strict=True))
-
-    def unseen(self, word: str) -> np.ndarray:
+            if n:
+                at = len(self.grams)
+                self.grams.update((g, at + i) for i, (g, _) in enumerate(own))
+                tables.append(logs)
+            else:
+                self.words = dict(zip((g for g, _ in own), logs, strict=True))
+        self.table = np.concatenate(tables)
+
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Mean values of each word's longest known n-grams; zeros where not even a letter is known."""
+        out = np.zeros((len(words), len(self.langs)))
+        left, known = range(len(words)), self.grams
         for n in range(LONGEST, 0, -1):
-            hits = [self.grams[g] for g in grams(word, n) if g in self.grams]
+            hits, starts, owners, rest = [], [], [], []
+            for j in left:
+                got = [known[g] for g in grams(words[j], n) if g in known]
+                if got:
+                    starts.append(len(hits))
+                    owners.append(j)
+                    hits += got
+                else:
+                    rest.append(j)
             if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.langs))
+                size = np.diff([*starts, len(hits)])
+                out[owners] = np.add.reduceat(self.table[hits], starts, axis=0) / size[:, None]
+            left = rest
+        return out
 
 
 class Scorer:
     """Scores texts; remembers the rows of the words that it has met, within MEMORY."""
 
     def __init__(self, model: Model):
-        self.model, self.ids, self.used = model, {}, 0
+        self.model, self.ids = model, {}
         self.table = np.zeros((MEMORY, len(model.langs)))
 
-    def _row(self, word: str) -> int:
-        got = self.ids.get(word)
-        if got is None:
-            m = self.model
-            row = m.words.get(word)
-            got = self.ids[word] = self.used
-            self.table[got] = m.unseen(word) if row is None else row
-            self.used += 1
-        return got
+    def _learn(self, words: list[str]) -> None:
+        """Rows of words not met before."""
+        at, m = len(self.ids), self.model
+        fresh = [w for w in words if w not in self.ids]
+        self.ids.update((w, at + i) for i, w in enumerate(fresh))
+        known = [m.words.get(w) for w in fresh]
+        self.table[[at + i for i, k in enumerate(known) if k is None]] = m.unseen([w for w, k in zip(fresh, known, strict=True) if k is None])
+        for i, k in enumerate(known):
+            if k is not None:
+                self.table[at + i] = k
 
     def __call__(self, text: str | None) -> tuple[str, float]:
         found = Counter(words(text or ""))
@@ -93,11 +114,12 @@ class Scorer:
         keys, counts = list(found), np.fromiter(found.values(), float, len(found))
         for at in range(0, len(keys), MEMORY // 4):  # the memory holds any part at once
             part = keys[at : at + MEMORY // 4]
-            if self.used + len(part) > MEMORY:
-                self.ids, self.used = {}, 0
+            if len(self.ids) + len(part) > MEMORY:
+                self.ids = {}
             rows = list(map(self.ids.get, part))
             if None in rows:
-                rows = [self._row(w) for w in part]
+                self._learn(part)
+                rows = list(map(self.ids.get, part))
             total += counts[at : at + len(part)] @ self.table[rows]
         z = total / n * min(n, EVIDENCE)
         p = np.exp(z - z.max())
