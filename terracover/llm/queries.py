@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from terracover.llm import embed_dedup, langid, media, packing, pii, quality, sentencepiece_bpe, simhash, toxicity, warc
 from terracover.llm.common import table
+from terracover.llm.oracles import ORACLES
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,4 +57,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
