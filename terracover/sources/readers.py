@@ -20,8 +20,8 @@ def _rows(path: str, features: list[dict]) -> list[tuple]:
     return [(path, k, (f.get("properties") or {}).get("name"), json.dumps(f.get("geometry")), json.dumps(f.get("properties") or {})) for k, f in enumerate(features)]
 
 
-def read_areas(spark: SparkSession, path: str) -> DataFrame:
-    """Features of documents in any input form, one document a file; text that is no JSON is a text area."""
+def parse_areas(docs: DataFrame) -> DataFrame:
+    """Features of documents (path, text) in any input form; text that is no JSON is a text area."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -34,7 +34,12 @@ def read_areas(spark: SparkSession, path: str) -> DataFrame:
                 rows += _rows(p, to_features(doc))
             yield pd.DataFrame(rows, columns=["path", "seq", "name", "geometry", "properties"])
 
-    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")).mapInPandas(run, FEATURES)
+    return docs.select("path", "text").where("text is not null").mapInPandas(run, FEATURES)
+
+
+def read_areas(spark: SparkSession, path: str) -> DataFrame:
+    """Features of files in any input form, one document a file."""
+    return parse_areas(spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text")))
 
 
 def shapes(data: bytes) -> list[dict]:
@@ -72,12 +77,12 @@ def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.shp").load(path).select("path", "content").mapInPandas(run, FEATURES)
 
 
-def edges_of(features: DataFrame) -> DataFrame:
-    """The edge table of Polygon and MultiPolygon features (fid = seq); rings are numbered over all parts."""
+def edges_of(features: DataFrame, key: str = "seq") -> DataFrame:
+    """The edge table of Polygon and MultiPolygon features (fid = key); rings are numbered over all parts."""
     polygon = F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<array<array<double>>>")
     multi = F.flatten(F.from_json(F.get_json_object("geometry", "$.coordinates"), "array<array<array<array<double>>>>"))
     kind = F.get_json_object("geometry", "$.type")
-    rings = features.select(F.col("seq").alias("fid"), F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", multi).alias("rings")).where("rings is not null")
+    rings = features.select(F.col(key).cast("long").alias("fid"), F.when(kind == "Polygon", polygon).when(kind == "MultiPolygon", multi).alias("rings")).where("rings is not null")
     one = rings.select("fid", F.posexplode("rings").alias("ring", "p"))
     legs = one.select("fid", "ring", "p", F.explode(F.sequence(F.lit(1), F.size("p"))).alias("k")).withColumn("q", F.when(F.col("k") < F.size("p"), F.expr("p[k]")).otherwise(F.expr("p[0]")))
     out = legs.select("fid", "ring", (F.col("k") - 1).alias("seq"), F.expr("p[k - 1][0]").alias("ex1"), F.expr("p[k - 1][1]").alias("ey1"), F.expr("q[0]").alias("ex2"), F.expr("q[1]").alias("ey2"))

@@ -3,7 +3,7 @@
 import oracle
 import pytest
 
-from terracover.plans import relational, spatial  # noqa: F401
+from terracover.plans import further, relational, spatial  # noqa: F401
 from terracover.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
