@@ -6,7 +6,6 @@ Groups (a fence, or a split cell within it) are independent and run in one task
 
 from __future__ import annotations
 
-import heapq
 import math
 
 import numpy as np
@@ -89,36 +88,49 @@ def disc_members(c_lat, c_lon, p_lat, p_lon, metres: float, chunk: int = 4_000_0
     return np.r_[0, np.cumsum(np.bincount(own, minlength=len(c_lat)))], at[by]
 
 
+def _gather(ptr: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the candidates' members, and where each candidate's begin in them."""
+    n = ptr[c + 1] - ptr[c]
+    start = np.cumsum(n) - n
+    return np.repeat(ptr[c] - start, n) + np.arange(n.sum()), start
+
+
 def greedy(ptr: np.ndarray, members: np.ndarray, identity: np.ndarray, min_points: int, max_clusters: int = 0) -> list[int]:
     """Candidates in the order of acceptance: most uncovered distinct points first, then most points.
 
-    Lazy evaluation: a candidate's residual only falls, so the heap's top is re-counted until it holds.
-    Then discs with fewer than min_points points of their own are dropped.
+    Residuals only fall, so a candidate is re-counted only when its last count is the current level, a
+    block of candidates at a time; the first that still holds is accepted and blocks its points. Then
+    discs with fewer than min_points points of their own are dropped.
     """
-    raw = np.diff(ptr)
-    live = np.flatnonzero(raw >= max(1, min_points))
-    blocked = np.zeros(int(identity.max(initial=-1)) + 1, bool)
-    sets: dict[int, np.ndarray] = {}
-    heap = [(-int(raw[c]), -int(raw[c]), int(c)) for c in live]
-    heapq.heapify(heap)
+    least, raw = max(1, min_points), np.diff(ptr)
+    own, distinct = identity[members], int(identity.max(initial=-1)) + 1
+    if distinct < len(identity):  # a disc counts a repeated position once
+        pairs = np.unique(np.repeat(np.arange(len(raw)), raw) * np.int64(distinct) + own)
+        own, ptr = pairs % distinct, np.r_[0, np.cumsum(np.bincount(pairs // distinct, minlength=len(raw)))]
+    left = np.where(raw >= least, np.diff(ptr), 0)
+    free = np.ones(distinct, bool)
     taken: list[int] = []
-    while heap and (not max_clusters or len(taken) < max_clusters):
-        n, all_, c = heapq.heappop(heap)
-        own = sets.get(c)
-        if own is None:
-            own = sets[c] = np.unique(identity[members[ptr[c] : ptr[c + 1]]])
-        own = own[~blocked[own]]
-        sets[c] = own
-        if len(own) < max(1, min_points):
-            del sets[c]
-            continue
-        if len(own) < -n:
-            heapq.heappush(heap, (-len(own), all_, c))
-            continue
-        blocked[own] = True
-        taken.append(c)
-        del sets[c]
-    return _pruned(taken, ptr, members, identity, min_points)
+    level = int(left.max(initial=0))
+    while level >= least and (not max_clusters or len(taken) < max_clusters):
+        todo = np.flatnonzero(left == level)
+        todo = todo[np.argsort(-raw[todo], kind="stable")]
+        at, size = 0, 64
+        while at < len(todo) and (not max_clusters or len(taken) < max_clusters):
+            block = todo[at : at + size]
+            where, start = _gather(ptr, block)
+            count = np.add.reduceat(free[own[where]], start, dtype=np.int64)
+            left[block] = count
+            hold = np.flatnonzero(count == level)
+            if len(hold):
+                c = int(block[hold[0]])
+                free[own[ptr[c] : ptr[c + 1]]] = False
+                left[c] = 0
+                taken.append(c)
+                at, size = at + int(hold[0]) + 1, 64
+            else:
+                at, size = at + len(block), min(2 * size, 8192)
+        level = min(level - 1, int(left.max(initial=0)))
+    return _pruned(taken, ptr, own, np.arange(distinct), min_points)
 
 
 def _pruned(taken: list[int], ptr, members, identity, min_points: int) -> list[int]:
