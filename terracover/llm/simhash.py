@@ -183,6 +183,7 @@ def near_duplicates(docs: DataFrame, bits: int = 3, block: int = 2048) -> DataFr
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
     moved = named.join(groups, "root").select("fp", "component_id")
     ids = least.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    ids = stored(ids, "simhash-ids")  # so that the last join is of two exchanges, and a common fingerprint is split
     return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
