@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracover.llm.common import crc_mod
+from terracover.llm.common import crc_mod, stored
 
 MAX_WORDS, MAX_GRAMS, LONGEST, EVIDENCE = 40_000, 100_000, 5, 40
 #: Scored words that a worker remembers before it starts anew.
-MEMORY = 300_000
+MEMORY = 200_000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -48,23 +48,23 @@ def _has_letter(found) -> bool:
 class Model:
     """Log frequencies, one value per language: words {word: values}, grams {gram: row of table}."""
 
-    def __init__(self, langs: list[str], rows: list[tuple[int, str, list[int]]]):
+    def __init__(self, langs: list[str], sizes: np.ndarray, names: list[str], counts: np.ndarray):
+        """sizes: n-gram lengths, 0 for words; names and counts per language, row by row."""
         self.langs = langs
         self.words: dict[str, np.ndarray] = {}
         self.grams: dict[str, int] = {}
         tables = [np.zeros((0, len(langs)))]
         for n in range(LONGEST + 1):
-            own = [(g, c) for k, g, c in rows if k == n]
-            if not own:
+            own = np.flatnonzero(sizes == n)
+            if not len(own):
                 continue
-            counts = np.array([c for _, c in own], float)
-            logs = np.log(counts + 0.5) - np.log(counts.sum(axis=0) + 0.5 * len(own))
+            logs = np.log(counts[own] + 0.5) - np.log(counts[own].sum(axis=0) + 0.5 * len(own))
             if n:
                 at = len(self.grams)
-                self.grams.update((g, at + i) for i, (g, _) in enumerate(own))
+                self.grams.update((names[k], at + i) for i, k in enumerate(own.tolist()))
                 tables.append(logs)
             else:
-                self.words = dict(zip((g for g, _ in own), logs, strict=True))
+                self.words = dict(zip((names[k] for k in own.tolist()), logs, strict=True))
         self.table = np.concatenate(tables)
 
     def unseen(self, words: list[str]) -> np.ndarray:
@@ -135,25 +135,27 @@ def fit(docs: DataFrame, fit_rows: int = 4000) -> Model:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out: Counter = Counter()
-            for lang, texts in b.groupby("lang")["text"]:
-                own: Counter = Counter()
-                for t in texts:
-                    own.update(words(t))
-                for w, c in own.items():
-                    out[lang, 0, w] += c
-                    for n in range(1, LONGEST + 1):
-                        for g in grams(w, n):
-                            out[lang, n, g] += c
-            yield pd.DataFrame([(*k, c) for k, c in out.items() if len(k[2]) <= 64], columns=["lang", "n", "gram", "c"])
+            for at in range(0, len(b), 100):  # for bounded memory
+                for lang, texts in b.iloc[at : at + 100].groupby("lang")["text"]:
+                    own: Counter = Counter()
+                    for t in texts:
+                        own.update(words(t))
+                    out: Counter = Counter()
+                    for w, c in own.items():
+                        out[0, w] += c
+                        for n in range(1, LONGEST + 1):
+                            for g in grams(w, n):
+                                out[n, g] += c
+                    yield pd.DataFrame([(lang, *k, c) for k, c in out.items() if len(k[1]) <= 64], columns=["lang", "n", "gram", "c"])
 
     counts = sample.select("lang", "text").mapInPandas(count, "lang string, n int, gram string, c long")
-    per = counts.groupBy("n", "gram", "lang").agg(F.sum("c").alias("c"))
-    rows = per.groupBy("n", "gram").agg(F.map_from_entries(F.collect_list(F.struct("lang", "c"))).alias("by"), F.sum("c").alias("all"))  # one entry per language
-    kept = rows.where("n = 0 and all >= 3").orderBy(F.desc("all"), "gram").limit(MAX_WORDS)
-    kept = kept.union(rows.where("n > 0 and all >= 3").orderBy(F.desc("all"), "n", "gram").limit(MAX_GRAMS)).collect()
-    langs = sorted({k for r in kept for k in r["by"]})
-    return Model(langs, [(r["n"], r["gram"], [r["by"].get(k, 0) for k in langs]) for r in kept])
+    langs = [r["lang"] for r in sample.select("lang").distinct().orderBy("lang").collect()]  # of the sample only
+    by = [F.sum(F.when(F.col("lang") == k, F.col("c")).otherwise(0)).alias(f"c{i}") for i, k in enumerate(langs)]
+    rows = counts.groupBy("n", "gram").agg(F.sum("c").alias("all"), *by).where("all >= 3")
+    rows = stored(rows, "langid-counts") if langs else rows
+    kept = rows.where("n = 0").orderBy(F.desc("all"), "gram").limit(MAX_WORDS)
+    kept = kept.union(rows.where("n > 0").orderBy(F.desc("all"), "n", "gram").limit(MAX_GRAMS)).toPandas()
+    return Model(langs, kept["n"].to_numpy(), kept["gram"].tolist(), kept[[f"c{i}" for i in range(len(langs))]].to_numpy(float))
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
