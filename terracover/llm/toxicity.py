@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
 MAX_TERMS, SHORTEST, LONGEST, LEAST_CONTEXTS, LEAST_G2, LEAST_WEIGHT = 20_000, 3, 8, 4, 24.0, 1.5
 #: Classified words that a worker remembers before it starts anew.
-MEMORY = 500_000
+MEMORY = 200_000
 
 # The word classes of the grammar in the corpus's languages.
 SEEDS = {"idiot": 3.0, "moron": 3.0, "imbecile": 3.0, "scum": 3.0, "stupid": 2.0, "loser": 2.0, "worthless": 2.0, "pathetic": 2.0, "disgusting": 2.0, "trash": 2.0, "dumb": 2.0, "bastard": 3.0}
@@ -179,20 +180,23 @@ class Scorer:
 
 
 def _contexts(sample: DataFrame, only: dict[str, float] | None = None) -> DataFrame:
-    """(y, term, ctx): distinct neighbours of each word and continuing prefix; of the given terms only."""
+    """(term, ctx): hashed neighbours of each word and continuing prefix; of the given terms only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = set()
-            for y, text in zip(b["y"], b["text"], strict=True):
+            for text in b["text"]:  # one document at a time, for bounded memory
+                out = set()
                 ws = WORD.findall(text.lower())
                 for before, w, after in zip(["", *ws], ws, [*ws[1:], ""], strict=False):
                     terms = [w, *(w[:n] + "+" for n in range(SHORTEST, min(LONGEST, len(w) - 1) + 1))]
-                    ctx = f"{before} {w} {after}"
-                    out.update((y, t, ctx) for t in terms if only is None or t in only)
-            yield pd.DataFrame(list(out), columns=["y", "term", "ctx"])
-
-    return sample.select("y", "text").mapInPandas(run, "y int, term string, ctx string")
+                    if only is not None:
+                        terms = [t for t in terms if t in only]
+                    if terms:
+                        ctx = xxhash.xxh64_intdigest(f"{before} {w} {after}") >> 1
+                        out.update((t, ctx) for t in terms)
+                yield pd.DataFrame(list(out), columns=["term", "ctx"])
+
+    return sample.select("text").mapInPandas(run, "term string, ctx long")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -> np.ndarray:
