@@ -5,8 +5,8 @@ target, negation and reported speech. The composed machine (a product of their s
 matched insult or threat its weight under the tags that hold there: aimed at a target, negated, or
 reported. Clause scores, not isolated words, enter the document's score.
 
-Insult weights are log ratios of how often a word, or a word prefix that goes on, occurs in toxic and in
-clean training texts, counted by distinct neighbouring words so that copies of a text count once. They
+Insult weights are log ratios of how often a word, or a word prefix that goes on in several words, occurs
+in toxic and in clean training texts, counted by distinct neighbours so that copies of a text count once. They
 and the five coefficients of the final logistic curve are fitted on at most `fit_rows` labelled training
 rows (chosen by a hash of the id). At most MAX_TERMS terms are broadcast.
 
@@ -31,7 +31,7 @@ from terracover.llm.common import crc_mod, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
-MAX_TERMS, SHORTEST, LONGEST, LEAST_CONTEXTS, LEAST_G2, LEAST_WEIGHT = 20_000, 3, 8, 4, 24.0, 1.5
+MAX_TERMS, SHORTEST, LONGEST, LEAST_CONTEXTS, LEAST_WORDS, LEAST_G2, LEAST_WEIGHT = 20_000, 3, 8, 4, 4, 24.0, 1.5
 #: Classified words that a worker remembers before it starts anew.
 MEMORY = 200_000
 
@@ -180,7 +180,7 @@ class Scorer:
 
 
 def _contexts(sample: DataFrame, only: dict[str, float] | None = None) -> DataFrame:
-    """(term, ctx): hashed neighbours of each word and continuing prefix; of the given terms only."""
+    """(term, ctx, word): hashed neighbours of each word and continuing prefix; of the given terms only."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -192,11 +192,11 @@ def _contexts(sample: DataFrame, only: dict[str, float] | None = None) -> DataFr
                     if only is not None:
                         terms = [t for t in terms if t in only]
                     if terms:
-                        ctx = xxhash.xxh64_intdigest(f"{before} {w} {after}") >> 1
-                        out.update((t, ctx) for t in terms)
-                yield pd.DataFrame(list(out), columns=["term", "ctx"])
+                        ctx, word = xxhash.xxh64_intdigest(f"{before} {w} {after}") >> 1, xxhash.xxh32_intdigest(w)
+                        out.update((t, ctx, word) for t in terms)
+                yield pd.DataFrame(list(out), columns=["term", "ctx", "word"])
 
-    return sample.select("text").mapInPandas(run, "term string, ctx long")
+    return sample.select("text").mapInPandas(run, "term string, ctx long, word long")
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) -> np.ndarray:
@@ -216,7 +216,8 @@ def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30) ->
 def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000) -> tuple[dict[str, float], np.ndarray]:
     """The insult weights and the coefficients."""
     sample = labelled_sample(docs, labels, "toxic", 3, 1, fit_rows).select("doc_id", "text", "y").checkpoint()
-    toxic = _contexts(sample.where("y = 1")).groupBy("term").agg(F.countDistinct("ctx").alias("t")).where(F.col("t") >= LEAST_CONTEXTS)
+    toxic = _contexts(sample.where("y = 1")).groupBy("term").agg(F.countDistinct("ctx").alias("t"), F.countDistinct("word").alias("w"))
+    toxic = toxic.where((F.col("t") >= LEAST_CONTEXTS) & (~F.col("term").endswith("+") | (F.col("w") >= LEAST_WORDS)))
     toxic = {r["term"]: r["t"] for r in toxic.orderBy(F.desc("t"), "term").limit(5 * MAX_TERMS).collect()}
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.sum(F.regexp_count("text", F.lit(r"\p{L}+"))).alias("n")).collect()}
     terms = dict(SEEDS)
@@ -243,7 +244,18 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000) -> tuple[dict[
     y = got["y"].to_numpy(float)
     if not len(y) or y.min() == y.max():
         return terms, np.array([2.0, 0.0, 0.0, 0.0, -3.0])
-    return terms, logistic(got[["a", "b", "c", "d"]].to_numpy(), y)
+    return terms, _rising(got[["a", "b", "c", "d"]].to_numpy(), y)
+
+
+def _rising(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A logistic fit without negative coefficients: more matches never lower a score."""
+    use = np.ones(x.shape[1], bool)
+    while True:
+        w = np.zeros(x.shape[1] + 1)
+        w[np.r_[use, True]] = logistic(x[:, use], y)
+        if (w[:-1] >= 0).all():
+            return w
+        use &= w[:-1] >= 0
 
 
 def _probability(features: list[float], w: np.ndarray) -> float:
