@@ -37,6 +37,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of fewer files than cores dealt out evenly, so that Python work on them uses all cores."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if len(df.inputFiles()) < n else df
+
+
 def crc_mod(doc_id, n: int):
     """crc32 of the id as text, modulo n."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(n)

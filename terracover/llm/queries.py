@@ -8,16 +8,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from terracover.llm import embed_dedup, langid, media, packing, pii, quality, sentencepiece_bpe, simhash, toxicity, warc
-from terracover.llm.common import table
+from terracover.llm.common import spread, table
 from terracover.llm.oracles import ORACLES
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.digest(table(spark, sf_dir, "documents"))
+    return langid.digest(_documents(spark, sf_dir))
 
 
 def op3_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,23 +29,23 @@ def op3_embed_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(spread(table(spark, sf_dir, "pages")))
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return sentencepiece_bpe.digest(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return quality.digest(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.digest(table(spark, sf_dir, "documents"))
+    return media.digest(_documents(spark, sf_dir))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.digest(table(spark, sf_dir, "documents"))
+    return simhash.digest(_documents(spark, sf_dir))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.digest(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
