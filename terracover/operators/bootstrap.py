@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from terracover.functions import geo, s2
 from terracover.operators.cover import metres_between
+from terracover.operators.grouping import dealt
 
 SCHEMA = "fid long, seq long, lat double, lon double"
 
@@ -63,7 +64,7 @@ def by_radius(edges: DataFrame, metres: float) -> DataFrame:
         p = p[_parity(p, e) | (ring_distance(p, e) <= metres)]
         return pd.DataFrame({"fid": key[0], "seq": np.arange(len(p)), "lat": p[:, 0], "lon": p[:, 1]})
 
-    return edges.groupBy("fid").applyInPandas(run, SCHEMA)
+    return dealt(edges, "fid").groupBy("fid").applyInPandas(run, SCHEMA)
 
 
 def by_s2(edges: DataFrame, level: int, size: int) -> DataFrame:
@@ -90,7 +91,7 @@ def by_s2(edges: DataFrame, level: int, size: int) -> DataFrame:
         order = np.argsort(own.view(np.uint64))
         return pd.DataFrame({"fid": key[0], "seq": np.arange(len(own)), "lat": lat[order], "lon": lon[order], "cell": own[order]})
 
-    return edges.groupBy("fid").applyInPandas(run, SCHEMA + ", cell long")
+    return dealt(edges, "fid").groupBy("fid").applyInPandas(run, SCHEMA + ", cell long")
 
 
 def tagged(tiles: DataFrame, fences: DataFrame, mode: str) -> DataFrame:

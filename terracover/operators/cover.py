@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracover.functions import geo, s2
+from terracover.operators.grouping import dealt
 
 IDENTITY_LEVEL = 20
 DENSITY = {"fast": 512, "balanced": 1024, "better": 1024, "best": 1024}
@@ -167,16 +168,29 @@ def cover_group(lat: np.ndarray, lon: np.ndarray, metres: float, min_points: int
     return cy, cx
 
 
+#: What the covering operators return: the group's points and how many of them its discs cover come with every disc.
+COVER = "fid long, split long, cid long, lat double, lon double, points long, covered long"
+
+
+def _discs(key: tuple, p_lat: np.ndarray, p_lon: np.ndarray, lat: np.ndarray, lon: np.ndarray, metres: float) -> pd.DataFrame:
+    covered = len(np.unique(disc_members(lat, lon, p_lat, p_lon, metres)[1])) if len(lat) else 0
+    return pd.DataFrame({"fid": key[0], "split": key[1], "cid": np.arange(len(lat)), "lat": lat, "lon": lon, "points": len(p_lat), "covered": covered})
+
+
+def _groups(points: DataFrame, split: Column | None):
+    by = points.select("fid", (F.lit(0).cast("long") if split is None else split.cast("long")).alias("split"), "lat", "lon").where("lat is not null and lon is not null")
+    return dealt(by, "fid", "split").groupBy("fid", "split")
+
+
 def greedy_cover(points: DataFrame, metres: float, min_points: int = 1, mode: str = "balanced", split: Column | None = None, max_clusters: int = 0, density: int | None = None) -> DataFrame:
-    """(fid, split, cid, lat, lon) for points (fid, lat, lon): every group is covered on its own."""
+    """Discs (COVER) for points (fid, lat, lon): every group is covered on its own."""
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["lat", "lon"])
-        y, x = cover_group(g["lat"].to_numpy(float), g["lon"].to_numpy(float), metres, min_points, mode, max_clusters, density)
-        return pd.DataFrame({"fid": key[0], "split": key[1], "cid": np.arange(len(y)), "lat": y, "lon": x})
+        y, x = g["lat"].to_numpy(float), g["lon"].to_numpy(float)
+        return _discs(key, y, x, *cover_group(y, x, metres, min_points, mode, max_clusters, density), metres)
 
-    by = points.select("fid", (F.lit(0).cast("long") if split is None else split.cast("long")).alias("split"), "lat", "lon").where("lat is not null and lon is not null")
-    return by.groupBy("fid", "split").applyInPandas(run, "fid long, split long, cid long, lat double, lon double")
+    return _groups(points, split).applyInPandas(run, COVER)
 
 
 # --- unit-disc cover on the tangent plane ---------------------------------------------------------
@@ -242,17 +256,17 @@ def unit_disc_cover(lat: np.ndarray, lon: np.ndarray, metres: float, min_points:
 
 
 def fastest_cover(points: DataFrame, metres: float, min_points: int = 1, split: Column | None = None) -> DataFrame:
-    """(fid, split, cid, lat, lon): the unit-disc cover of each group, in geohash order."""
+    """Discs (COVER): the unit-disc cover of each group, in geohash order."""
     from terracover.operators.routing import geohashes
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["lat", "lon"])
-        y, x = unit_disc_cover(g["lat"].to_numpy(float), g["lon"].to_numpy(float), metres, min_points)
+        p_lat, p_lon = g["lat"].to_numpy(float), g["lon"].to_numpy(float)
+        y, x = unit_disc_cover(p_lat, p_lon, metres, min_points)
         order = np.argsort(geohashes(y, x, 9), kind="stable")
-        return pd.DataFrame({"fid": key[0], "split": key[1], "cid": np.arange(len(y)), "lat": y[order], "lon": x[order]})
+        return _discs(key, p_lat, p_lon, y[order], x[order], metres)
 
-    by = points.select("fid", (F.lit(0).cast("long") if split is None else split.cast("long")).alias("split"), "lat", "lon").where("lat is not null and lon is not null")
-    return by.groupBy("fid", "split").applyInPandas(run, "fid long, split long, cid long, lat double, lon double")
+    return _groups(points, split).applyInPandas(run, COVER)
 
 
 def bucket_cover(points: DataFrame, side: float, min_points: int) -> DataFrame:
@@ -310,7 +324,7 @@ def centred(clusters: DataFrame, members: DataFrame, metres: float) -> DataFrame
         y, x = got or (g["lat"].iloc[0], g["lon"].iloc[0])
         return pd.DataFrame({"cid": g["cid"].iloc[:1], "lat": [y], "lon": [x]})
 
-    return clusters.select("cid", "lat", "lon").join(members, "cid", "left").groupBy("cid").applyInPandas(run, "cid long, lat double, lon double")
+    return dealt(clusters.select("cid", "lat", "lon").join(members, "cid", "left"), "cid").groupBy("cid").applyInPandas(run, "cid long, lat double, lon double")
 
 
 # --- S2 blocks ------------------------------------------------------------------------------------

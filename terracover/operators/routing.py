@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from terracover.functions import geo, geohash, s2
 from terracover.operators.cover import metres_between
+from terracover.operators.grouping import dealt
 
 
 def _ordered(stops: DataFrame, *order: Column) -> DataFrame:
@@ -107,19 +108,29 @@ def tour_order(lat: np.ndarray, lon: np.ndarray, neighbours: int = 10, rounds: i
 
 
 def by_tour(stops: DataFrame, split: Column | None = None) -> DataFrame:
-    """A tour per fence, or per split cell of it with the pieces joined; stops (fid, seq, lat, lon, ...)."""
-    keyed = stops.withColumn("__cell", F.lit(0).cast("long") if split is None else split.cast("long"))
-    schema = "fid long, __cell long, __seq long, lat double, lon double"
+    """A tour per fence, all columns of stops kept; or per split cell with the pieces joined (fid, seq, lat, lon)."""
+    if split is None:
 
-    def solve(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.iloc[np.argsort(geohashes(g["lat"].to_numpy(float), g["lon"].to_numpy(float), 12), kind="stable")]
-        g = g.iloc[tour_order(g["lat"].to_numpy(float), g["lon"].to_numpy(float))]
-        return pd.DataFrame({"fid": key[0], "__cell": key[1], "__seq": np.arange(len(g)), "lat": g["lat"].to_numpy(), "lon": g["lon"].to_numpy()})
+        def whole(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.iloc[_solved(g)]
+            return g.assign(seq=np.arange(len(g)))
 
-    tours = keyed.select("fid", "__cell", "lat", "lon").groupBy("fid", "__cell").applyInPandas(solve, schema)
-    if split is None:
-        return tours.select("fid", F.col("__seq").alias("seq"), "lat", "lon")
-    return joined(tours.withColumnsRenamed({"__cell": "cell", "__seq": "seq"}))
+        rows = stops.withColumn("seq", F.col("seq").cast("long"))
+        return dealt(rows, "fid").groupBy("fid").applyInPandas(whole, rows.schema)
+
+    def part(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.iloc[_solved(g)]
+        return pd.DataFrame({"fid": key[0], "cell": key[1], "seq": np.arange(len(g)), "lat": g["lat"].to_numpy(), "lon": g["lon"].to_numpy()})
+
+    keyed = stops.select("fid", split.cast("long").alias("cell"), "lat", "lon")
+    return joined(dealt(keyed, "fid", "cell").groupBy("fid", "cell").applyInPandas(part, "fid long, cell long, seq long, lat double, lon double"))
+
+
+def _solved(g: pd.DataFrame) -> np.ndarray:
+    """Positions of a group's stops in tour order, started from the first in geohash order."""
+    lat, lon = g["lat"].to_numpy(float), g["lon"].to_numpy(float)
+    first = np.argsort(geohashes(lat, lon, 12), kind="stable")
+    return first[tour_order(lat[first], lon[first])]
 
 
 def joined(tours: DataFrame) -> DataFrame:
@@ -143,7 +154,7 @@ def joined(tours: DataFrame) -> DataFrame:
         out = np.concatenate(parts)
         return pd.DataFrame({"fid": key[0], "seq": np.arange(len(out)), "lat": out[:, 0], "lon": out[:, 1]})
 
-    return tours.groupBy("fid").applyInPandas(run, "fid long, seq long, lat double, lon double")
+    return dealt(tours, "fid").groupBy("fid").applyInPandas(run, "fid long, seq long, lat double, lon double")
 
 
 def rotated(stops: DataFrame, best: DataFrame) -> DataFrame:

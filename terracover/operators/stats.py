@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracover.functions import geo
@@ -42,15 +42,15 @@ def coverage(pairs: DataFrame, clusters: DataFrame, points: DataFrame, min_point
     return one.withColumn("score", F.col("clusters") * min_points + F.col("total") - F.col("covered"))
 
 
-def tour(stops: DataFrame, key: str | None = None, seq: str = "seq") -> DataFrame:
-    """([key], total, longest): closed-ring length and its longest leg, in metres."""
+def tour(stops: DataFrame, key: str | None = None, seq: str = "seq", also: list[Column] | None = None) -> DataFrame:
+    """([key], total, longest, also...): closed-ring length and its longest leg, in metres; further aggregates."""
     part = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
     ring = part.orderBy(seq)
     full = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(full))
     legs = stops.withColumn("leg", geo.haversine(F.col("lat"), F.col("lon"), nxt("lat"), nxt("lon")))
     grouped = legs.groupBy(key) if key else legs.groupBy()
-    return grouped.agg(F.round(F.sum("leg"), 3).alias("total"), F.round(F.max("leg"), 3).alias("longest"))
+    return grouped.agg(F.round(F.sum("leg"), 3).alias("total"), F.round(F.max("leg"), 3).alias("longest"), *(also or []))
 
 
 def merge(stats: DataFrame, min_points: int) -> DataFrame:

@@ -544,17 +544,13 @@ def q_plugin_routing(v: Views):
 
 
 def flagship(v: Views):
-    """Points in fences, covered greedily, toured and scored per fence."""
-    points = _inside(v)
-    found = cover.greedy_cover(points, RADIUS, MIN_POINTS, "fast", density=64)
-    tours = stats.tour(routing.by_tour(found.select("fid", F.col("cid").alias("seq"), "lat", "lon")), "fid")
-    counts = found.groupBy("fid").agg(F.count("*").alias("clusters"))
-    keyed = found.select((F.col("fid") * (1 << 32) + F.col("cid")).alias("cid"), "lat", "lon")
-    covered = radius_join(points, keyed, RADIUS, ["id", "fid"], ["cid"]).where(F.shiftright("cid", 32) == F.col("fid")).groupBy("fid").agg(F.countDistinct("id").alias("covered"))
-    total = points.groupBy("fid").agg(F.count("*").alias("points"))
-    out = total.join(counts, "fid", "left").join(covered, "fid", "left").join(tours, "fid", "left")
-    n, c = F.coalesce("clusters", F.lit(0)), F.coalesce("covered", F.lit(0))
-    return out.select("fid", "points", n.alias("clusters"), c.alias("covered"), (n * MIN_POINTS + F.col("points") - c).alias("score"), F.col("total").alias("distance"), "longest")
+    """Points in fences, covered greedily, toured and scored per fence: one pass over the points."""
+    found = cover.greedy_cover(_inside(v), RADIUS, MIN_POINTS, "fast", density=64)
+    tours = routing.by_tour(found.select("fid", F.col("cid").alias("seq"), "lat", "lon", "points", "covered"))
+    sizes = [F.max("points").alias("points"), F.count("*").alias("clusters"), F.max("covered").alias("covered")]
+    out = stats.tour(tours, "fid", also=sizes)
+    score = F.col("clusters") * MIN_POINTS + F.col("points") - F.col("covered")
+    return out.select("fid", "points", "clusters", "covered", score.alias("score"), F.col("total").alias("distance"), "longest")
 
 
 @query()
