@@ -235,19 +235,23 @@ def unit_disc_cover(lat: np.ndarray, lon: np.ndarray, metres: float, min_points:
     low, high = np.full((len(cells), 2), np.inf), np.full((len(cells), 2), -np.inf)
     np.minimum.at(low, at, xy)
     np.maximum.at(high, at, xy)
-    index = {tuple(c): k for k, c in enumerate(cells.tolist())}
+    # for each cell its neighbours S N E W SW SE NE NW, where there is one, the bounds fit and the points suffice
+    key = cells[:, 0] * (1 << 32) + cells[:, 1]
+    step = np.array([(0, -1), (0, 1), (1, 0), (-1, 0), (-1, -1), (1, -1), (1, 1), (-1, 1)])
+    other = key[:, None] + step[:, 0] * (1 << 32) + step[:, 1]
+    at = np.minimum(np.searchsorted(key, other), len(key) - 1)
+    extent = np.maximum(high[:, None], high[at]) - np.minimum(low[:, None], low[at])
+    fits = (key[at] == other) & ((extent**2).sum(axis=2) <= 4) & (count[:, None] + count[at] > min_points)
     flagged = np.ones(len(cells), bool)
-    centres = []
-    for k, (v, h) in enumerate(cells.tolist()):
-        for dv, dh in ((0, -1), (0, 1), (1, 0), (-1, 0), (-1, -1), (1, -1), (1, 1), (-1, 1)):  # S N E W SW SE NE NW
-            o = index.get((v + dv, h + dh))
-            if o is None or not flagged[o]:
-                continue
-            a, b = np.minimum(low[k], low[o]), np.maximum(high[k], high[o])
-            if ((b - a) ** 2).sum() <= 4 and count[k] + count[o] > min_points:
-                centres.append((a + b) / 2)
+    pairs = []
+    for k in np.flatnonzero(fits.any(axis=1)).tolist():
+        for o in at[k, fits[k]].tolist():
+            if flagged[o]:
+                pairs.append((k, o))
                 flagged[k] = flagged[o] = False
                 break
+    a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+    centres = list((np.minimum(low[a], low[b]) + np.maximum(high[a], high[b])) / 2)
     for k in np.flatnonzero(flagged & (count >= min_points)):
         centres.append(low[k] if count[k] == 1 else (cells[k] + 0.5) * math.sqrt(2))
     if not centres:

@@ -262,3 +262,26 @@ def q_live_counts(v: Views):
     points = v.spawnpoint.select("id", "lat", "lon", F.timestamp_seconds("last_seen").alias("ts"))
     out = live.fence_counts(points, v.edge, "1 hour")
     return out.select("fid", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+# One undivided region of about the published benchmark's density; at sf0.1 100,000 points.
+
+
+@query()
+def q_clu_wide_fastest(v: Views):
+    return cover.fastest_cover(v.wide, 70.0, 3)
+
+
+@query()
+def q_clu_wide_fast(v: Views):
+    return cover.greedy_cover(v.wide, 70.0, 3, "fast")
+
+
+@query()
+def q_clu_wide_balanced(v: Views):
+    return cover.greedy_cover(v.wide, 70.0, 3, "balanced")
+
+
+@query("wide", "SELECT id FROM wide WHERE lat > 40.1")
+def q_flt_wide(v: Views):
+    return v.wide.where("lat > 40.1").select("id")

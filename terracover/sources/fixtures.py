@@ -28,6 +28,7 @@ _PROPERTY = "(1,'name','database',NULL),(2,'color','color','#ffffff'),(3,'priori
 #: View name -> SQL over tables and earlier views.
 VIEWS: dict[str, str] = {
     "spawnpoint": f"SELECT event_id AS id, {_point('event_id', 7919, 104729)}, :epoch AS last_seen, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 3600 AS INT) END AS despawn_sec FROM events",
+    "wide": "SELECT event_id AS id, CAST(0 AS BIGINT) AS fid, CAST(40 AS DOUBLE) + CAST((event_id*7919) % 20011 AS DOUBLE)/CAST(100000 AS DOUBLE) AS lat, CAST(-74 AS DOUBLE) + CAST((event_id*104729) % 20021 AS DOUBLE)/CAST(100000 AS DOUBLE) AS lon FROM events",
     "gym": f"SELECT concat('g', CAST(s_suppkey AS :string)) AS id, {_point('s_suppkey', 6661, 15013)}, s_name AS name, s_suppkey*1000 AS updated, CASE WHEN s_suppkey%10<>0 THEN 1 ELSE 0 END AS enabled, CASE WHEN s_suppkey%17=0 THEN 1 ELSE 0 END AS deleted FROM supplier",
     "pokestop": f"SELECT concat('p', CAST(p_partkey AS :string)) AS id, p_partkey AS pk, {_point('p_partkey', 3571, 7907)}, p_name AS name, p_partkey*1000 AS updated, CASE WHEN p_partkey%11<>0 THEN 1 ELSE 0 END AS enabled, CASE WHEN p_partkey%19=0 THEN 1 ELSE 0 END AS deleted FROM part",
     "station": f"SELECT concat('s', CAST(c_custkey AS :string)) AS id, {_point('c_custkey', 9973, 12289)}, c_name AS name, c_custkey*1000 AS updated, CASE WHEN c_custkey%7=0 THEN 1 ELSE 0 END AS is_inactive, 1700000000+c_custkey*86400 AS end_time FROM customer WHERE c_custkey%5=0",
