@@ -71,3 +71,16 @@ def test_redaction_and_edges(spark):
 @pytest.mark.parametrize("kind", pii.KINDS)
 def test_kinds_have_settings(kind):
     assert kind in pii.PATTERNS and kind in pii.SCORES and kind in pii.CONTEXT
+
+
+def test_random_strings_match_plain_version(spark):
+    import random
+
+    rng = random.Random(11)
+    cards = ["4111111111111111", "79927398713", "6011000990139424", "4222222222222"]
+    bits = [*"0123456789", " ", "-", "+", "(", ")", ".", "@", "a", "B", "%", "_", "\n", "é", "𝔘", "127.0.0.1", "a@b.c", "+1 234", "٣", *cards]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 45))) for _ in range(4000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.digest(df).collect():
+        joined = ",".join(f"{k}:{s}:{e}" for s, _, e, k in brute(texts[r.doc_id]))
+        assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest(), (texts[r.doc_id], joined, r.spans)
