@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from terracover.functions import s2
 from terracover.operators import bootstrap, cover, routing, stats
-from terracover.operators.joins import pip_join, radius_join
+from terracover.operators.joins import pip_join, radius_join, within_bounds
 
 CLUSTER_MODES = ("fastest", "fast", "balanced", "better", "best", "honeycomb")
 
@@ -44,7 +44,7 @@ def _split(level: int):
 
 def area_points(points: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, lat, lon, fid): the points in each fence."""
-    return pip_join(points, edges, ["id", "lat", "lon"])
+    return pip_join(within_bounds(points, edges), edges, ["id", "lat", "lon"])
 
 
 def area_stats(points: DataFrame, edges: DataFrame) -> DataFrame:

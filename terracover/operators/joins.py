@@ -58,6 +58,18 @@ def pip_join(points: DataFrame, edges: DataFrame, keep: list[str], step: float =
     return near.where(crossings % 2 == 1).select(*keep, "fid")
 
 
+def within_bounds(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """The points inside the bounding box of all fences, as literal ranges that reach a Parquet scan.
+
+    Four numbers of the (small) fence table come to the driver; row groups outside the box are then never
+    read where points are stored by place.
+    """
+    b = edges.agg(F.min(F.least("ex1", "ex2")), F.max(F.greatest("ex1", "ex2")), F.min(F.least("ey1", "ey2")), F.max(F.greatest("ey1", "ey2"))).first()
+    if b[0] is None:
+        return points.where("false")
+    return points.where((F.col("lon") >= b[0]) & (F.col("lon") <= b[1]) & (F.col("lat") >= b[2]) & (F.col("lat") <= b[3]))
+
+
 def in_any_fence(points: DataFrame, edges: DataFrame, key: str, step: float = 0.005) -> DataFrame:
     """The points inside at least one fence, once each."""
     return points.join(pip_join(points, edges, [key], step).select(key).distinct(), key, "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracover.operators.joins import in_any_fence
+from terracover.operators.joins import in_any_fence, within_bounds
 
 LIMIT = 2_000_000
 
@@ -24,7 +24,7 @@ def filtered(points: DataFrame, where: Column, bounds: tuple | None = None, edge
     rows = points.where(where)
     if bounds:
         rows = rows.where(in_bounds(*bounds))
-    return in_any_fence(rows, edges, key) if edges is not None else rows.limit(LIMIT)
+    return in_any_fence(within_bounds(rows, edges), edges, key) if edges is not None else rows.limit(LIMIT)
 
 
 def spawnpoints(points: DataFrame, last_seen: int, tth: str = "all", **how) -> DataFrame:

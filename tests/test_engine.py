@@ -69,3 +69,14 @@ def test_stream_matches_table(spark, tmp_path):
     got = {(r.fid, r.window_start): r.n for r in spark.table("live").collect()}
     want = {(r.fid, r.window_start): r.n for r in live.fence_counts(points, edges).collect()}
     assert got == want and got
+
+
+def test_area_ranges_reach_the_scan(spark, tmp_path):
+    fixtures.view(spark, SF, "spawnpoint").write.parquet(str(tmp_path / "p"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    stored = spark.read.parquet(str(tmp_path / "p"))
+    out = engine.area_points(stored, fixtures.view(spark, SF, "edge"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan parquet" in x and str(tmp_path) in x)
+    assert "GreaterThanOrEqual(lon" in scan and "LessThanOrEqual(lat" in scan and "ReadSchema: struct<id:bigint,lat:double,lon:double>" in scan
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
