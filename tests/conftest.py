@@ -11,6 +11,6 @@ os.environ["PYTHONPATH"] = sys.path[0] + os.pathsep + os.environ.get("PYTHONPATH
 def spark():
     from terracover.session import build
 
-    s = build("tests", "local[4]", shuffle_partitions=4)
+    s = build("tests", "local[8]", shuffle_partitions=4)
     yield s
     s.stop()

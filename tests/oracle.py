@@ -32,7 +32,12 @@ def rows_of(columns, rows):
 
 def same(df, con, sql):
     """None if the frame and the SQL agree, else what differs."""
-    got, names = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    return compare(df.columns, df.collect(), con, sql)
+
+
+def compare(columns, rows, con, sql):
+    """The same for rows that are already here."""
+    got, names = rows_of(columns, [tuple(r) for r in rows])
     cur = con.execute(sql)
     want, other = rows_of([d[0] for d in cur.description], cur.fetchall())
     if names != other:
