@@ -63,13 +63,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, held_out_mo
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").where(F.col("text").isNotNull())
 
 
-def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u long, v long) as rows (node, root), root the least node.
 
     Alternating large-star and small-star contraction. Neighbours are never gathered: each star takes
     the minimum with a pre-aggregated groupBy and one join, so a hub holding a third of the edges is
-    split by adaptive skew joins. Every round is checkpointed to the shared folder. Nulls and loops
-    are dropped; nodes without edges do not appear.
+    split by adaptive skew joins. Every round is checkpointed to the shared folder; rounds go on until
+    one changes nothing. Nulls and loops are dropped; nodes without edges do not appear.
     """
     spark = edges.sparkSession
     scratch_root(spark)
@@ -79,9 +79,7 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         return df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
 
     seen = mark(cur)
-    for _ in range(max_rounds):
-        if not seen[0]:
-            break
+    while seen[0]:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
