@@ -151,8 +151,8 @@ def edge_neighbours(ids: np.ndarray) -> np.ndarray:
     return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
-def cover_rect(min_lat: float, min_lon: float, max_lat: float, max_lon: float, level: int, limit: int = 100_000) -> np.ndarray:
-    """Cells of a level that meet a latitude-longitude rectangle, in unsigned order, at most `limit`.
+def cover_rect(min_lat: float, min_lon: float, max_lat: float, max_lon: float, level: int, limit: int | None = None) -> np.ndarray:
+    """Cells of a level that meet a latitude-longitude rectangle, in unsigned order; a display list asks for at most `limit`.
 
     A flood fill over cells whose bounds meet the rectangle, started at its centre and corners.
     """
@@ -160,7 +160,7 @@ def cover_rect(min_lat: float, min_lon: float, max_lat: float, max_lon: float, l
     lon = np.array([(min_lon + max_lon) / 2, min_lon, max_lon, min_lon, max_lon])
     front = np.unique(cell_ids(lat, lon, level))
     seen = front
-    while len(front) and len(seen) < limit:
+    while len(front) and (limit is None or len(seen) < limit):
         nxt = np.setdiff1d(edge_neighbours(front), seen)
         if not len(nxt):
             break
@@ -171,6 +171,21 @@ def cover_rect(min_lat: float, min_lon: float, max_lat: float, max_lon: float, l
     return seen[np.argsort(seen.view(np.uint64))][:limit]
 
 
+def cells_near(lat: np.ndarray, lon: np.ndarray, metres: float, level: int) -> np.ndarray:
+    """Cells of a level that hold a probe around any point: all whose centre is within a distance of one are among them."""
+    step = np.degrees(0.9 * 2**-level)  # below the least width of a cell, so that one of the probes falls in it
+    reach = np.degrees(metres / MEAN_RADIUS)
+    n = int(np.ceil(2 * reach / step)) + 2
+    y = (np.arange(-n, n + 1) * step / 2)[:, None]
+    rows = []
+    for dy in y:
+        p = np.clip(lat + dy, -90, 90)
+        wide = 1 / np.maximum(np.cos(np.radians(np.minimum(np.abs(lat) + n * step / 2, 89.9))), 1e-9)
+        rows += [np.unique(cell_ids(p, (lon + dx * wide + 180) % 360 - 180, level)) for dx in y[:, 0]]
+    cells = np.unique(np.concatenate(rows))
+    return cells[np.argsort(cells.view(np.uint64))]
+
+
 def circle_cover(lat: float, lon: float, metres: float, level: int) -> np.ndarray:
     """The cell of a point and all cells reached over edges that meet the circle around it."""
     front = cell_ids(np.array([lat]), np.array([lon]), level)

@@ -45,7 +45,9 @@ def grid_candidates(lat: np.ndarray, lon: np.ndarray, metres: float, n: int, see
 
 def s2_candidates(lat: np.ndarray, lon: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
     """Level-22 centres below the level-16 cells of the bounds whose centres stay within reach of a point."""
-    front = s2.cover_rect(lat.min(), lon.min(), lat.max(), lon.max(), 16)
+    front = s2.cells_near(lat, lon, metres, 16)
+    v = s2.vertices(front)
+    front = front[(v[:, :, 0].max(1) >= lat.min()) & (v[:, :, 0].min(1) <= lat.max()) & (v[:, :, 1].max(1) >= lon.min()) & (v[:, :, 1].min(1) <= lon.max())]
     for level in range(16, 22):
         if level < 21:
             y, x = s2.centers(front)

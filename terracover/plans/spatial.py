@@ -448,7 +448,7 @@ def q_s2_cells(v: Views):
 
 @query()
 def q_s2_cover_rect(v: Views):
-    return v.spark.createDataFrame([(int(c),) for c in s2.cover_rect(40.0, -74.0, 40.04, -73.96, 15)], "cell long").select(s2.unsigned(F.col("cell")).alias("cell"))
+    return v.spark.createDataFrame([(int(c),) for c in s2.cover_rect(40.0, -74.0, 40.04, -73.96, 15, 100_000)], "cell long").select(s2.unsigned(F.col("cell")).alias("cell"))
 
 
 @query()
