@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terracover import engine
 from terracover.functions import geo, props, s2
 from terracover.operators import bootstrap, client, cover, formats, plugins, polygons, render
+from terracover.operators.grouping import dealt
 from terracover.operators.joins import pip_join, radius_join
 from terracover.plans.registry import Views, inside, query
 from terracover.sources import readers
@@ -179,21 +180,22 @@ def _candidates(v: Views, make):
     def run(key, g):
         import pandas as pd
 
+        g = g.sort_values(["lat", "lon"])
         y, x = make(g["lat"].to_numpy(float), g["lon"].to_numpy(float))
         return pd.DataFrame({"fid": key[0], "cid": np.arange(len(y)), "lat": y, "lon": x})
 
-    points = pip_join(v.spawnpoint, v.edge, ["lat", "lon"]).where("fid < 5")
-    return points.groupBy("fid").applyInPandas(run, "fid long, cid long, lat double, lon double")
+    points = pip_join(v.spawnpoint, v.edge, ["lat", "lon"])
+    return dealt(points, "fid").groupBy("fid").applyInPandas(run, "fid long, cid long, lat double, lon double")
 
 
 @query()
 def q_cand_grid(v: Views):
-    return _candidates(v, lambda y, x: cover.grid_candidates(y, x, 70.0, 64))
+    return _candidates(v, lambda y, x: cover.grid_candidates(y, x, 70.0, cover.DENSITY["fast"]))
 
 
 @query()
 def q_cand_s2(v: Views):
-    return _candidates(v, lambda y, x: cover.s2_candidates(y[:20], x[:20], 70.0))
+    return _candidates(v, lambda y, x: cover.s2_candidates(y, x, 70.0))
 
 
 @query()

@@ -2,9 +2,16 @@
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
 from terracover.functions import s2
 from terracover.operators import bootstrap, cover
+from terracover.operators.joins import pip_join
+from terracover.plans import further  # noqa: F401
+from terracover.plans.registry import QUERIES
+from terracover.sources import fixtures
+
+SF = "/root/testdata/sf0.001"
 
 
 def _edges(spark, fences):
@@ -63,3 +70,15 @@ def test_s2_candidates_of_wide_bounds():
     y, x = cover.s2_candidates(lat, lon, 70.0)
     want = s2.centers(front)
     assert (y == want[0]).all() and (x == want[1]).all()
+
+
+def test_candidates_of_whole_fences(spark):
+    """Candidates near all points of all fences, the grid as dense as the mode's, at the points' order."""
+    points = pip_join(fixtures.view(spark, SF, "spawnpoint"), fixtures.view(spark, SF, "edge"), ["lat", "lon"]).toPandas().sort_values(["lat", "lon"])
+    grid = {r.fid: r.n for r in QUERIES["q_cand_grid"](spark, SF).groupBy("fid").agg(F.count("*").alias("n")).collect()}
+    assert set(grid) == set(points["fid"]) and set(grid.values()) == {cover.DENSITY["fast"] ** 2}
+    got = QUERIES["q_cand_s2"](spark, SF).toPandas()
+    for fid, p in points.groupby("fid"):
+        y, x = cover.s2_candidates(p["lat"].to_numpy(), p["lon"].to_numpy(), 70.0)
+        own = got[got["fid"] == fid].sort_values("cid")
+        assert (own["lat"].to_numpy() == y).all() and (own["lon"].to_numpy() == x).all()
