@@ -2,7 +2,8 @@
 
 Column expressions only; no Python runs on the rows. Spans are (kind, start, end) in code points, end
 exclusive. Base kinds: email, ip, card (Luhn) and phone, leftmost and non-overlapping per kind, failing
-matches dropped. Added kinds: iban (mod-97) and ssn, which needs a context word before it.
+matches dropped. Added kinds: iban (mod-97, at any group's end) and ssn, which needs a context word before
+it, or on either side where texts are redacted.
 
 Positions come from one pass per kind: `\\G(gap)(match)` from the end of the last match, so that gap
 and match lengths add up. Lookbehinds keep a pattern from being tried again inside a run of its own
@@ -23,7 +24,10 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 # A chain of digits with single blanks or hyphens between; the chains of 12 to 19 digits only.
 CARD = r"(?<![0-9])(?<![0-9][ -])[0-9](?:[ -]?[0-9]){11,18}+(?![ -]?[0-9])"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}+(?: ?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])"
+# The head of an IBAN; its groups of four follow, the last may be shorter.
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9]{4} ?[A-Z0-9]{4})"
+IBAN_ENDS = [rf"^[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n}}}{last}(?![A-Za-z0-9])" for n in range(7, 1, -1) for last in ("(?: ?[A-Z0-9]{1,3})", "")]
+IBAN_REACH = 48
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = ("email", "ip", "card", "phone")
@@ -86,12 +90,35 @@ def _confirmed(kind: str, m: Column) -> Column:
         return _octets(m)
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
-    if kind == "iban":
-        return _mod97(m)
     return F.lit(True)
 
 
-def _found(text: Column, kind: str) -> Column:
+def _ibans(text: Column, heads: Column) -> Column:
+    """The heads' longest spans that end at a group's end and pass mod-97, leftmost and non-overlapping.
+
+    A word of capitals after an IBAN looks like one more group, so every group's end is tried.
+    """
+
+    def longest(s: Column) -> Column:
+        ahead = F.substr(text, s["start"] + 1, F.lit(IBAN_REACH))
+        return F.get(F.filter(F.array(*(F.regexp_extract(ahead, e, 0) for e in IBAN_ENDS)), _mod97), F.lit(0))
+
+    whole = F.transform(heads, lambda s: F.struct(s["start"].alias("start"), longest(s).alias("m"), s["near"].alias("near")))
+    spans = F.transform(
+        F.filter(whole, lambda s: s["m"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), s["m"].alias("m"), s["near"].alias("near"))
+    )
+    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
+    none = F.expr("cast(array() as array<struct<start:int,end:int,m:string,near:string>>)")
+    return F.aggregate(spans, none, lambda acc, s: F.when(s["start"] >= last(acc), F.array_append(acc, s)).otherwise(acc))
+
+
+def _around(text: Column, s: Column) -> Column:
+    """The WINDOW characters before a span and those after it."""
+    before = F.substr(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW)))
+    return F.concat(before, F.lit(" "), F.substr(text, s["end"] + 1, F.lit(WINDOW)))
+
+
+def _found(text: Column, kind: str, around: bool) -> Column:
     """array<struct<start, ord, end, kind, score>> of the confirmed spans of one kind."""
     pattern = rf"\G((?s:.*?))({PATTERNS[kind]})"
     gaps, matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
@@ -113,8 +140,9 @@ def _found(text: Column, kind: str) -> Column:
         ),
         lambda acc: acc["spans"],
     )
-    ok = F.filter(start, lambda s: _confirmed(kind, s["m"]))
-    score = lambda s: F.lit(SCORES[kind]) + F.when(F.lower(s["near"]).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
+    ok = _ibans(text, start) if kind == "iban" else F.filter(start, lambda s: _confirmed(kind, s["m"]))
+    near = lambda s: _around(text, s) if around else s["near"]
+    score = lambda s: F.lit(SCORES[kind]) + F.when(F.lower(near(s)).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
     spans = F.transform(ok, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), score(s)).alias("score")))
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= ADDED_MIN)
 
@@ -122,14 +150,18 @@ def _found(text: Column, kind: str) -> Column:
 _NONE = "cast(array() as array<struct<start:int,ord:int,end:int,kind:string,score:double>>)"
 
 
-def spans(text: Column) -> Column:
-    """All spans of a text by start, then kind: array<struct<start, ord, end, kind, score>>."""
+def spans(text: Column, around: bool = False) -> Column:
+    """All spans of a text by start, then kind: array<struct<start, ord, end, kind, score>>.
+
+    Context words count from the previous match of the kind on, as in the SQL twin; with `around`, anywhere
+    in the WINDOW before a span or after it.
+    """
     none = F.expr(_NONE)
     digit = text.rlike("[0-9]")
     parts = []
     for kind in KINDS:
         hint = text.contains(HINTS[kind]) if kind in HINTS else digit
-        parts.append(F.when(hint, _found(text, kind)).otherwise(none))
+        parts.append(F.when(hint, _found(text, kind, around)).otherwise(none))
     return F.when(digit | text.contains("@"), F.array_sort(F.concat(*parts))).otherwise(none)
 
 
@@ -157,7 +189,8 @@ def digest(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets; n_chars follows where it exists.
 
-    Overlapping spans become one mask, that of the first. Texts without a span stay as they are.
+    Context words count on both sides. Overlapping spans become one mask, that of the first. Texts without a
+    span stay as they are.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = F.col("__found")
@@ -170,7 +203,7 @@ def redacted(docs: DataFrame) -> DataFrame:
         ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))),
         lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1)),
     )
-    out = docs.withColumn("__found", spans(text)).withColumn("text", F.when(F.size(found) > 0, masked).otherwise(F.col("text")))
+    out = docs.withColumn("__found", spans(text, around=True)).withColumn("text", F.when(F.size(found) > 0, masked).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(dict(docs.dtypes)["n_chars"])
         out = out.withColumn("n_chars", F.when(F.size(found) > 0, changed).otherwise(F.col("n_chars")))
