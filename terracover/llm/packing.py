@@ -12,7 +12,8 @@ clusters are shuffled, never texts.
 
 Defined results: documents without a word get one row with bin_id null; a null source or cluster
 conflicts with nothing; repeated rows each get their places; a null doc_id is packed like any other;
-ties go by doc_id, then piece; extra columns are ignored.
+ties go by doc_id, then piece; extra columns are ignored; of several clusters named for one doc_id the
+least counts.
 """
 
 from __future__ import annotations
@@ -84,12 +85,19 @@ def pack(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return rows.assign(bin=[x[0] for x in got], place=[x[1] for x in got])
 
 
-def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """doc_id, piece, n_words, first_word (of the piece in its document), bin_id, place (in its bin)."""
+def packed(docs: DataFrame, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, clusters: DataFrame | None = None) -> DataFrame:
+    """doc_id, piece, n_words, first_word (of the piece in its document), bin_id, place (in its bin).
+
+    clusters (doc_id, cluster long) names the documents' duplicate clusters; those that it does not name, and
+    all without it, are in the cluster of their exact copies.
+    """
     words = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^ \t\n\x0B\f\r]+")), F.lit(0))
     narrow = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), words.cast("long").alias("words"), F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("cluster")
     )
+    if clusters is not None:
+        named = clusters.where("doc_id is not null and cluster is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("cluster").alias("__named"))
+        narrow = stored(narrow, "own").join(named, "doc_id", "left").select("doc_id", "words", "source", F.coalesce("__named", "cluster").alias("cluster"))
     narrow = stored(narrow, "lengths")
     size = F.lit(capacity)
     pieces = narrow.where("words > 0").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("words") - 1) / size))).alias("p"))

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from terracover.llm import embed_dedup, langid, media, packing, pii, quality, sentencepiece_bpe, simhash, toxicity, warc
 from terracover.llm.common import spread, table
@@ -49,7 +50,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.packed(table(spark, sf_dir, "documents"))
+    groups = simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", F.col("component_id").cast("long").alias("cluster"))
+    return packing.packed(table(spark, sf_dir, "documents"), clusters=groups)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
