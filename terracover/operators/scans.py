@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from terracover.operators.joins import in_any_fence, within_bounds
 
+#: The service's cap on the rows of a scan, for `limit`.
 LIMIT = 2_000_000
 
 
@@ -19,12 +20,14 @@ def in_bounds(min_lat: float, min_lon: float, max_lat: float, max_lon: float) ->
     return F.col("lat").between(min_lat, max_lat) & F.col("lon").between(min_lon, max_lon)
 
 
-def filtered(points: DataFrame, where: Column, bounds: tuple | None = None, edges: DataFrame | None = None, key: str = "id") -> DataFrame:
-    """The scan's rows: all (at most LIMIT), within bounds (at most LIMIT), or inside fences."""
+def filtered(points: DataFrame, where: Column, bounds: tuple | None = None, edges: DataFrame | None = None, key: str = "id", limit: int | None = None) -> DataFrame:
+    """The scan's rows: all, within bounds, or inside fences; with a limit, the first by key of all or within bounds."""
     rows = points.where(where)
     if bounds:
         rows = rows.where(in_bounds(*bounds))
-    return in_any_fence(within_bounds(rows, edges), edges, key) if edges is not None else rows.limit(LIMIT)
+    if edges is not None:
+        return in_any_fence(within_bounds(rows, edges), edges, key)
+    return rows if limit is None else rows.orderBy(key).limit(limit)
 
 
 def spawnpoints(points: DataFrame, last_seen: int, tth: str = "all", **how) -> DataFrame:

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from terracover.functions import s2
-from terracover.operators import bootstrap, cover
+from terracover.operators import bootstrap, cover, scans
 from terracover.operators.joins import pip_join
 from terracover.plans import further  # noqa: F401
 from terracover.plans.registry import QUERIES
@@ -82,3 +82,9 @@ def test_candidates_of_whole_fences(spark):
         y, x = cover.s2_candidates(p["lat"].to_numpy(), p["lon"].to_numpy(), 70.0)
         own = got[got["fid"] == fid].sort_values("cid")
         assert (own["lat"].to_numpy() == y).all() and (own["lon"].to_numpy() == x).all()
+
+
+def test_scans_return_all_rows(spark):
+    rows = spark.range(2_000_100).select("id", F.lit(1.0).alias("lat"), F.lit(2.0).alias("lon"), F.lit(9).alias("last_seen"), F.lit(1).alias("despawn_sec"))
+    assert scans.spawnpoints(rows, 1).count() == scans.spawnpoints(rows, 1, bounds=(0, 0, 3, 3)).count() == 2_000_100
+    assert [r.id for r in scans.spawnpoints(rows, 1, limit=3).collect()] == [0, 1, 2]
