@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
+from pyarrow.fs import FileType
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terracover.llm.files import resolve
+
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; one of our own only where the session names none (tests)."""
+    """The shared folder of the cluster. Where the session names none, one of our own, in local mode only:
+    on a cluster the executors would not see it."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="terracover-")
         spark.conf.set("spark.checkpoint.dir", root)
     if not sc.getCheckpointDir():
@@ -21,9 +29,28 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_FOLDERS: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder; it goes when the driver ends, or with `dropped`."""
+    folder = f"{scratch_root(spark)}/terracover-{spark.sparkContext.applicationId}"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_ended, folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def dropped(path: str) -> None:
+    """Deletes a scratch folder that nothing reads any more; one that is not there is no error."""
+    system, name = resolve(path)
+    if system.get_file_info(name).type == FileType.Directory:
+        system.delete_dir(name)
+
+
+def _ended(folder: str) -> None:
+    with contextlib.suppress(OSError):
+        dropped(folder)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
