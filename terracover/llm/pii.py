@@ -7,7 +7,9 @@ it, or on either side where texts are redacted.
 
 Positions come from one pass per kind: `\\G(gap)(match)` from the end of the last match, so that gap
 and match lengths add up. Lookbehinds keep a pattern from being tried again inside a run of its own
-characters, and possessive groups keep Java's matcher from recursing, so long texts cost linear time.
+characters, and possessive groups keep Java's matcher from recursing. Folds gather their results block by
+block, and stretches of a text are cut from short pieces of it, so that texts of many spans cost (but for
+one reference a block of BLOCK spans) linear time.
 
 Defined results: null and empty texts have no spans; the sha-256 of no base spans is that of the empty
 string; repeated rows each appear; a null doc_id appears as it is; extra columns are ignored.
@@ -15,9 +17,13 @@ string; repeated rows each appear; a null doc_id appears as it is; extra columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from terracover.llm.common import fresh
+
 # The base kinds in the contract's order, with their patterns.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
@@ -48,6 +54,52 @@ CONTEXT = {
 #: Characters before a span that are searched for context words; added kinds below ADDED_MIN are dropped.
 WINDOW = 48
 ADDED_MIN = 0.6
+#: Items that a fold gathers at once, and the characters of a text's pieces (as a power of two).
+BLOCK = 256
+PIECE_BITS = 9
+
+
+def _once(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f of x, with x worked out once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _none(kind: str) -> Column:
+    return F.expr(f"cast(array() as array<{kind}>)")
+
+
+def _scan(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """array<kind>: what step emits for each item; step(state, item) gives the next state (int) and what is emitted.
+
+    An array that grows is copied with every item, so items go in blocks: each block's first state is found
+    in a fold of its own, and then the blocks are worked off by themselves.
+    """
+    last = lambda v: F.greatest(F.ceil(F.size(v) / BLOCK).cast("int") - 1, F.lit(0))
+    blocks = _once(items, lambda v: F.transform(F.sequence(F.lit(0), last(v)), lambda k: F.slice(v, k * BLOCK + 1, BLOCK)))
+
+    def on(acc: Column, block: Column) -> Column:
+        state = F.aggregate(block, acc["state"], lambda at, x: step(at, x)[0])
+        return F.struct(state.alias("state"), F.array_append(acc["starts"], acc["state"]).alias("starts"))
+
+    def inner(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.alias("state"), F.array_append(acc["out"], out).alias("out"))
+
+    def worked(b: Column) -> Column:
+        starts = F.aggregate(b, F.struct(first.alias("state"), _none("int").alias("starts")), on, lambda acc: acc["starts"])
+        return F.flatten(F.zip_with(b, starts, lambda x, at: F.aggregate(x, F.struct(at.alias("state"), _none(kind).alias("out")), inner, lambda acc: acc["out"])))
+
+    return _once(blocks, worked)
+
+
+def _pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{1 << PIECE_BITS}}}"), F.lit(0))
+
+
+def _stretch(pieces: Column, start: Column, n: Column) -> Column:
+    """The n characters of the text from a place on, cut from the pieces that hold them."""
+    first, last = F.shiftright(start, PIECE_BITS), F.shiftright(start + n, PIECE_BITS)
+    return F.substr(F.array_join(F.slice(pieces, first + 1, last - first + 1), ""), start - F.shiftleft(first, PIECE_BITS) + 1, n)
 
 
 def _chars(x: Column) -> Column:
@@ -93,57 +145,56 @@ def _confirmed(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
-def _ibans(text: Column, heads: Column) -> Column:
+_MATCH = "struct<start:int,end:int,m:string,near:string>"
+
+
+def _ibans(pieces: Column, heads: Column) -> Column:
     """The heads' longest spans that end at a group's end and pass mod-97, leftmost and non-overlapping.
 
     A word of capitals after an IBAN looks like one more group, so every group's end is tried.
     """
 
     def longest(s: Column) -> Column:
-        ahead = F.substr(text, s["start"] + 1, F.lit(IBAN_REACH))
-        return F.get(F.filter(F.array(*(F.regexp_extract(ahead, e, 0) for e in IBAN_ENDS)), _mod97), F.lit(0))
+        ahead = _stretch(pieces, s["start"], F.lit(IBAN_REACH))
+        return F.get(F.filter(_once(ahead, lambda x: F.array(*(F.regexp_extract(x, e, 0) for e in IBAN_ENDS))), _mod97), F.lit(0))
 
     whole = F.transform(heads, lambda s: F.struct(s["start"].alias("start"), longest(s).alias("m"), s["near"].alias("near")))
     spans = F.transform(
         F.filter(whole, lambda s: s["m"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), s["m"].alias("m"), s["near"].alias("near"))
     )
-    last = lambda acc: F.coalesce(F.get(acc, F.size(acc) - 1)["end"], F.lit(0))
-    none = F.expr("cast(array() as array<struct<start:int,end:int,m:string,near:string>>)")
-    return F.aggregate(spans, none, lambda acc, s: F.when(s["start"] >= last(acc), F.array_append(acc, s)).otherwise(acc))
+    free = lambda at, s: s["start"] >= at
+    return F.filter(_scan(spans, F.lit(0), lambda at, s: (F.when(free(at, s), s["end"]).otherwise(at), F.when(free(at, s), s)), _MATCH), lambda s: s.isNotNull())
 
 
-def _around(text: Column, s: Column) -> Column:
+def _around(pieces: Column, s: Column) -> Column:
     """The WINDOW characters before a span and those after it."""
-    before = F.substr(text, F.greatest(s["start"] - WINDOW, F.lit(0)) + 1, F.least(s["start"], F.lit(WINDOW)))
-    return F.concat(before, F.lit(" "), F.substr(text, s["end"] + 1, F.lit(WINDOW)))
+    before = _stretch(pieces, F.greatest(s["start"] - WINDOW, F.lit(0)), F.least(s["start"], F.lit(WINDOW)))
+    return F.concat(before, F.lit(" "), _stretch(pieces, s["end"], F.lit(WINDOW)))
 
 
 def _found(text: Column, kind: str, around: bool) -> Column:
     """array<struct<start, ord, end, kind, score>> of the confirmed spans of one kind."""
     pattern = rf"\G((?s:.*?))({PATTERNS[kind]})"
     gaps, matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
-    both = F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-    start = F.aggregate(
-        both,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,end:int,m:string,near:string>>)").alias("spans")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("at"),
-            F.array_append(
-                acc["spans"],
-                F.struct(
-                    (acc["at"] + F.length(x["g"])).alias("start"),
-                    (acc["at"] + F.length(x["g"]) + F.length(x["m"])).alias("end"),
-                    x["m"].alias("m"),
-                    F.right(x["g"], F.lit(WINDOW)).alias("near"),
-                ),
-            ).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    ok = _ibans(text, start) if kind == "iban" else F.filter(start, lambda s: _confirmed(kind, s["m"]))
-    near = lambda s: _around(text, s) if around else s["near"]
-    score = lambda s: F.lit(SCORES[kind]) + F.when(F.lower(near(s)).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
-    spans = F.transform(ok, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), score(s)).alias("score")))
+
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["g"])
+        end = start + F.length(x["m"])
+        return end, F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["g"], F.lit(WINDOW)).alias("near"))
+
+    all_ = _scan(F.zip_with(gaps, matches, lambda g, m: F.struct(g.alias("g"), m.alias("m"))), F.lit(0), step, _MATCH)
+
+    def scored(ok: Column, pieces: Column | None) -> Column:
+        near = lambda s: s["near"] if pieces is None else _around(pieces, s)
+        score = lambda s: F.lit(SCORES[kind]) + F.when(F.lower(near(s)).rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0)
+        return F.transform(ok, lambda s: F.struct(s["start"].alias("start"), F.lit(KINDS.index(kind)).alias("ord"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.least(F.lit(1.0), score(s)).alias("score")))
+
+    def cut(matched: Column) -> Column:
+        """With the text's pieces, where there is any match."""
+        confirmed = lambda p: _ibans(p, matched) if kind == "iban" else F.filter(matched, lambda s: _confirmed(kind, s["m"]))
+        return F.when(F.size(matched) > 0, _once(_pieces(text), lambda p: scored(confirmed(p), p if around else None))).otherwise(F.expr(_NONE))
+
+    spans = _once(all_, cut) if around or kind == "iban" else scored(F.filter(all_, lambda s: _confirmed(kind, s["m"])), None)
     return spans if kind in BASE else F.filter(spans, lambda s: s["score"] >= ADDED_MIN)
 
 
@@ -192,18 +243,19 @@ def redacted(docs: DataFrame) -> DataFrame:
     Context words count on both sides. Overlapping spans become one mask, that of the first. Texts without a
     span stay as they are.
     """
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    found = F.col("__found")
-    masked = F.aggregate(
-        found,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<string>)").alias("parts")),
-        lambda acc, s: F.when(
-            s["start"] >= acc["at"],
-            F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))).alias("parts")),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["parts"].alias("parts"))),
-        lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1)),
+    text, name = F.coalesce(F.col("text").cast("string"), F.lit("")), fresh(docs, "found")
+    found = F.col(name)
+    free = lambda at, s: s["start"] >= at
+    masks = _scan(
+        found, F.lit(0), lambda at, s: (F.greatest(at, s["end"]), F.when(free(at, s), F.struct(at.alias("at"), s["start"].alias("start"), s["kind"].alias("kind")))), "struct<at:int,start:int,kind:string>"
     )
-    out = docs.withColumn("__found", spans(text, around=True)).withColumn("text", F.when(F.size(found) > 0, masked).otherwise(F.col("text")))
+    last = F.array_max(F.transform(found, lambda s: s["end"]))
+
+    def masked(pieces: Column) -> Column:
+        parts = F.transform(F.filter(masks, lambda m: m.isNotNull()), lambda m: F.concat(_stretch(pieces, m["at"], m["start"] - m["at"]), F.lit("["), F.upper(m["kind"]), F.lit("]")))
+        return F.array_join(F.concat(parts, F.array(_stretch(pieces, last, F.length(text) - last))), "")
+
+    out = docs.withColumn(name, spans(text, around=True)).withColumn("text", F.when(F.size(found) > 0, _once(_pieces(text), masked)).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         changed = F.length("text").cast(dict(docs.dtypes)["n_chars"])
         out = out.withColumn("n_chars", F.when(F.size(found) > 0, changed).otherwise(F.col("n_chars")))

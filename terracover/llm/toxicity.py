@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terracover.llm.common import crc_mod, labelled_sample
+from terracover.llm.common import crc_mod, fresh, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
@@ -38,7 +38,7 @@ MEMORY = 200_000
 # The word classes of the grammar in the corpus's languages.
 SEEDS = {"idiot": 3.0, "moron": 3.0, "imbecile": 3.0, "scum": 3.0, "stupid": 2.0, "loser": 2.0, "worthless": 2.0, "pathetic": 2.0, "disgusting": 2.0, "trash": 2.0, "dumb": 2.0, "bastard": 3.0}
 TARGETS = frozenset("you your yours u he she they him her them du dich dir ihr euch sie tu te toi vous usted ustedes vosotros ti".split())
-NEGATIONS = frozenset("not no never isn't aren't nicht kein keine nie pas jamais nunca jamás".split())
+NEGATIONS = frozenset("not no never isn aren nicht kein keine nie pas jamais nunca jamás".split())
 REPORTS = frozenset("said says called claimed wrote quoted reported quote sagte schrieb nannte dit écrit appelé dijo escribió llamó".split())
 MODALS = frozenset("will gonna going shall werde wirst vais va voy".split())
 VIOLENCE = frozenset("kill hurt destroy shoot stab beat murder töten schlagen tuer frapper matar golpear".split())
@@ -283,4 +283,5 @@ def digest(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000, least: floa
 
 def clean(docs: DataFrame, model: tuple[dict[str, float], np.ndarray], least: float = 0.7) -> DataFrame:
     """The documents below `least`, all columns."""
-    return scored(docs, model, "__score").where(F.col("__score") < least).drop("__score")
+    name = fresh(docs, "score")
+    return scored(docs, model, name).where(F.col(name) < least).drop(name)

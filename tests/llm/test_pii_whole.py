@@ -1,5 +1,9 @@
 """Personal data that stands after an earlier match, before its context word, or before capitals."""
 
+import hashlib
+import re
+import time
+
 from terracover.llm import pii
 
 MASKED = {
@@ -26,3 +30,23 @@ def test_ibans_are_counted(spark):
     got = {r.doc_id: r for r in pii.digest(df).collect()}
     assert [got[k].n_iban for k in range(len(MASKED))] == [x.count("[IBAN]") for x in MASKED.values()]
     assert got[4].spans.split(",")[-1] == "iban:0:29"
+
+
+def test_many_spans_cost_linear_time(spark):
+    """300 kB of addresses, more spans than a fold gathers at once: all found, all masked, within seconds."""
+    n = 26_000
+    text = " ".join(f"10.{i % 256}.{i // 256}.7é" for i in range(n))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    began = time.time()
+    got = pii.digest(df).first()
+    want = [f"ip:{m.start()}:{m.end()}" for m in re.finditer(r"[0-9.]+", text)]
+    assert got.n_ip == n and got.spans == ",".join(want) and got.base_sha256 == hashlib.sha256(got.spans.encode()).hexdigest()
+    assert pii.redacted(df).first().text == " ".join(["[IP]é"] * n)
+    assert time.time() - began < 60
+
+
+def test_many_ibans(spark):
+    text = "DE89 3704 0044 0532 0130 00 and " * 700
+    df = spark.createDataFrame([(1, text, "mine")], "doc_id long, text string, found string")
+    assert pii.digest(df).first().n_iban == 700
+    assert pii.redacted(df).first().asDict() == {"doc_id": 1, "text": "[IBAN] and " * 700, "found": "mine"}
