@@ -5,8 +5,8 @@ known character n-grams (5 down to 1, with word borders). The mean over the word
 most EVIDENCE words, gives the posterior.
 
 The model is fitted on at most `fit_rows` training documents (chosen by a hash of the id, over all
-documents with a language) and holds at most MAX_WORDS words and MAX_GRAMS n-grams, so that what is
-broadcast is bounded. Only `text` enters a prediction.
+documents with a language) and holds all their words and n-grams that occur `least_count` times or more, so
+that what is broadcast is bounded by the rows of the fit. Only `text` enters a prediction.
 
 Defined results: null texts and texts without a letter are `und` with score 0; letters that the model
 has never seen give equal scores and the first language in alphabetical order; with no training rows
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from terracover.llm.common import crc_mod, stored
 
-MAX_WORDS, MAX_GRAMS, LONGEST, EVIDENCE = 40_000, 100_000, 5, 40
+LONGEST, EVIDENCE = 5, 40
 #: Scored words that a worker remembers before it starts anew.
 MEMORY = 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -127,7 +127,7 @@ class Scorer:
         return self.model.langs[best], float(p[best] / p.sum())
 
 
-def fit(docs: DataFrame, fit_rows: int = 4000) -> Model:
+def fit(docs: DataFrame, fit_rows: int = 4000, least_count: int = 3) -> Model:
     """Counts words and n-grams of the sampled training documents per language, as Spark aggregates."""
     train = docs.select("doc_id", "text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_mod(F.col("doc_id"), 4) != 2))
     ids = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows).distinct()
@@ -146,15 +146,14 @@ def fit(docs: DataFrame, fit_rows: int = 4000) -> Model:
                         for n in range(1, LONGEST + 1):
                             for g in grams(w, n):
                                 out[n, g] += c
-                    yield pd.DataFrame([(lang, *k, c) for k, c in out.items() if len(k[1]) <= 64], columns=["lang", "n", "gram", "c"])
+                    yield pd.DataFrame([(lang, *k, c) for k, c in out.items()], columns=["lang", "n", "gram", "c"])
 
     counts = sample.select("lang", "text").mapInPandas(count, "lang string, n int, gram string, c long")
     langs = [r["lang"] for r in sample.select("lang").distinct().orderBy("lang").collect()]  # of the sample only
     by = [F.sum(F.when(F.col("lang") == k, F.col("c")).otherwise(0)).alias(f"c{i}") for i, k in enumerate(langs)]
-    rows = counts.groupBy("n", "gram").agg(F.sum("c").alias("all"), *by).where("all >= 3")
+    rows = counts.groupBy("n", "gram").agg(F.sum("c").alias("all"), *by).where(F.col("all") >= least_count)
     rows = stored(rows, "langid-counts") if langs else rows
-    kept = rows.where("n = 0").orderBy(F.desc("all"), "gram").limit(MAX_WORDS)
-    kept = kept.union(rows.where("n > 0").orderBy(F.desc("all"), "n", "gram").limit(MAX_GRAMS)).toPandas()
+    kept = rows.toPandas().sort_values(["n", "gram"])
     return Model(langs, kept["n"].to_numpy(), kept["gram"].tolist(), kept[[f"c{i}" for i in range(len(langs))]].to_numpy(float))
 
 
