@@ -8,7 +8,7 @@ reported. Clause scores, not isolated words, enter the document's score.
 Insult weights are log ratios of how often a word, or a word prefix that goes on in several words, occurs
 in toxic and in clean training texts, counted by distinct neighbours so that copies of a text count once. They
 and the five coefficients of the final logistic curve are fitted on at most `fit_rows` labelled training
-rows (chosen by a hash of the id). At most MAX_TERMS terms are broadcast.
+rows (chosen by a hash of the id), which bound the terms that are broadcast.
 
 Defined results: null, empty and wordless texts get the score of a text without a match; with no
 training rows of both kinds the seed words alone decide; repeated rows each appear; a null doc_id
@@ -31,7 +31,8 @@ from terracover.llm.common import crc_mod, fresh, labelled_sample
 
 WORD = re.compile(r"[^\W\d_]+")
 CLAUSE = re.compile(r"[.!?;:\n]+")
-MAX_TERMS, SHORTEST, LONGEST, LEAST_CONTEXTS, LEAST_WORDS, LEAST_G2, LEAST_WEIGHT = 20_000, 3, 8, 4, 4, 24.0, 1.5
+#: Lengths of prefixes; contexts, words and G2 that a term needs to be learned; weight that it needs to count.
+SHORTEST, LONGEST, LEAST_CONTEXTS, LEAST_WORDS, LEAST_G2, LEAST_WEIGHT = 3, 8, 4, 4, 24.0, 1.5
 #: Classified words that a worker remembers before it starts anew.
 MEMORY = 200_000
 
@@ -218,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000) -> tuple[dict[
     sample = labelled_sample(docs, labels, "toxic", 3, 1, fit_rows).select("doc_id", "text", "y").checkpoint()
     toxic = _contexts(sample.where("y = 1")).groupBy("term").agg(F.countDistinct("ctx").alias("t"), F.countDistinct("word").alias("w"))
     toxic = toxic.where((F.col("t") >= LEAST_CONTEXTS) & (~F.col("term").endswith("+") | (F.col("w") >= LEAST_WORDS)))
-    toxic = {r["term"]: r["t"] for r in toxic.orderBy(F.desc("t"), "term").limit(5 * MAX_TERMS).collect()}
+    toxic = {r["term"]: r["t"] for r in toxic.collect()}  # of the sample only
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.sum(F.regexp_count("text", F.lit(r"\p{L}+"))).alias("n")).collect()}
     terms = dict(SEEDS)
     if toxic and sizes.get(0) and sizes.get(1):
@@ -233,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 6000) -> tuple[dict[
             g2 = 2 * (t * math.log(t / e1) + (c * math.log(c / (t + c - e1)) if c else 0.0))
             if g2 >= LEAST_G2:
                 learned.append((weight, term))
-        terms |= {term: min(w, 6.0) for w, term in sorted(learned, reverse=True)[:MAX_TERMS]}
+        terms |= {term: min(w, 6.0) for w, term in sorted(learned)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         score = Scorer(terms)
