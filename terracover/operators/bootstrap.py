@@ -2,44 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from terracover.functions import geo, s2
-from terracover.operators.cover import metres_between
+from terracover.functions import s2
+from terracover.operators.cover import lattice, metres_between
 from terracover.operators.grouping import dealt
 
 SCHEMA = "fid long, seq long, lat double, lon double"
 
 
-def _forward(lat: float, lon: float, bearing: float, metres: float) -> tuple[float, float]:
-    d, b, p = metres / geo.MEAN_RADIUS, math.radians(bearing), math.radians(lat)
-    q = math.asin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(b))
-    e = math.atan2(math.sin(b) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(q))
-    return math.degrees(q), lon + math.degrees(e)
-
-
-def lattice(x0: float, y0: float, x1: float, y1: float, metres: float) -> np.ndarray:
-    """A serpentine hexagonal walk over the bounds from the north-east corner, as [lat, lon]."""
-    step, down, shift = math.sqrt(0.75) * 2 * metres, math.sqrt(0.568) * 2 * metres, math.sqrt(0.75) * 3 * metres
-    out, lat, lon, bearing, row = [], y1, x1, 270.0, 0
-    low, _ = _forward(y0, x0, 180, metres)
-    while lat > low:
-        while (lon > x0) if bearing == 270 else (lon < x1):
-            out.append((lat, lon))
-            lat, lon = _forward(lat, lon, bearing, step)
-        out.append((lat, lon))
-        lat, lon = _forward(lat, lon, 180, down)
-        bearing = 90.0 if bearing == 270 else 270.0
-        lat, lon = _forward(lat, lon, bearing, shift if row % 2 == 0 else shift / 3)
-        row += 1
-    return np.array(out).reshape(-1, 2)
-
-
 def _parity(p: np.ndarray, e: np.ndarray) -> np.ndarray:
     x1, y1, x2, y2 = (e[:, k] for k in range(4))
     with np.errstate(divide="ignore", invalid="ignore"):

@@ -9,9 +9,9 @@ from terracover.functions import geo
 from terracover.operators.joins import in_any_fence
 
 
-def filter_points(points: DataFrame, edges: DataFrame, keep_inside: bool, key: str = "id") -> DataFrame:
-    inside = in_any_fence(points, edges, key)
-    return inside if keep_inside else points.join(inside.select(key), key, "left_anti")
+def filter_points(points: DataFrame, edges: DataFrame, keep_inside: bool) -> DataFrame:
+    """The points inside any fence, or those (and the points without a place) that are in none."""
+    return in_any_fence(points, edges, inside=keep_inside)
 
 
 def cutouts(edges: DataFrame) -> DataFrame:

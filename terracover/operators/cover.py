@@ -7,6 +7,7 @@ Groups (a fence, or a split cell within it) are independent and run in one task
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,8 +18,10 @@ from terracover.functions import geo, s2
 from terracover.operators.grouping import dealt
 
 IDENTITY_LEVEL = 20
-DENSITY = {"fast": 512, "balanced": 1024, "better": 1024, "best": 1024}
-EXTRA_DENSITY = 6144
+DENSITY = {"fast": 512, "balanced": 1024}
+GREEDY_MODES = ("fast", "balanced", "better", "best", "honeycomb")
+#: Candidates that a group looks at together; only those with enough points, and one of each set of points, are kept.
+CHUNK = 1 << 19
 
 
 def metres_between(lat1, lon1, lat2, lon2) -> np.ndarray:
@@ -32,22 +35,70 @@ def degrees_for(lat: float, metres: float) -> float:
     return max(d, d / math.cos(math.radians(lat)))
 
 
-def grid_candidates(lat: np.ndarray, lon: np.ndarray, metres: float, n: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """One jittered candidate per cell of an n x n grid over the points' bounds; one point if degenerate."""
+def grid_blocks(lat: np.ndarray, lon: np.ndarray, metres: float, n: int, seed: int = 42) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """One jittered candidate per cell of an n x n grid over the points' bounds, rows by rows; one point if degenerate."""
     r = degrees_for(float(np.mean(lat)), metres)
     y0, y1, x0, x1 = lat.min() - r, lat.max() + r, lon.min() - r, lon.max() + r
     if lat.min() == lat.max() and lon.min() == lon.max():
-        return lat[:1].copy(), lon[:1].copy()
-    u = np.random.default_rng(seed).random((2, n * n))
-    row, col = np.divmod(np.arange(n * n), n)
-    return y0 + (row + u[0]) * (y1 - y0) / n, x0 + (col + u[1]) * (x1 - x0) / n
+        yield lat[:1].copy(), lon[:1].copy()
+        return
+    col = np.arange(n)
+    for first in range(0, n, 256):
+        row = np.arange(first, min(first + 256, n))[:, None]
+        u = np.random.default_rng([seed, first]).random((2, len(row), n))
+        yield (y0 + (row + u[0]) * (y1 - y0) / n).ravel(), (x0 + (col + u[1]) * (x1 - x0) / n).ravel()
 
 
-def s2_candidates(lat: np.ndarray, lon: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
-    """Level-22 centres below the level-16 cells of the bounds whose centres stay within reach of a point."""
+def grid_candidates(lat: np.ndarray, lon: np.ndarray, metres: float, n: int, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """All of grid_blocks at once."""
+    return tuple(np.concatenate(x) for x in zip(*grid_blocks(lat, lon, metres, n, seed), strict=True))
+
+
+def meeting_points(lat: np.ndarray, lon: np.ndarray, metres: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The points themselves and, for each two within two radii, the two places at one radius from both.
+
+    Whatever a disc covers, one of these discs covers too: a disc can be moved, with all that it covers,
+    until two of its points lie on its rim.
+    """
+    yield lat, lon
+    where = np.unique(np.stack([lat, lon], axis=1), axis=0)
+    y, x = where[:, 0], where[:, 1]
+    r = metres * (1 - 1e-7) / geo.MEAN_RADIUS
+    step = max(1, CHUNK // 256)
+    for a in range(0, len(y), step):
+        ptr, other = disc_members(y[a : a + step], x[a : a + step], y, x, 2 * metres * (1 - 1e-7))
+        own = np.repeat(np.arange(a, a + len(ptr) - 1), np.diff(ptr))
+        own, other = own[other > own], other[other > own]
+        # the rim's two meeting points in the plane that touches the sphere between the two points
+        p = _unit_vectors(y[own], x[own])
+        q = _unit_vectors(y[other], x[other])
+        mid = p + q
+        length = np.linalg.norm(mid, axis=1, keepdims=True)
+        mid, half = mid / length, np.linalg.norm(q - p, axis=1) / 2
+        along = np.cos(r) / (length[:, 0] / 2)
+        ok = (along <= 1) & (half > 1e-12)
+        side = np.cross(p[ok], q[ok])
+        side = side / np.linalg.norm(side, axis=1, keepdims=True)
+        height = np.sqrt(np.maximum(0, 1 - along[ok] ** 2))[:, None]
+        for k in range(0, len(height), CHUNK):
+            for sign in (1, -1):
+                v = mid[ok][k : k + CHUNK] * along[ok][k : k + CHUNK, None] + sign * height[k : k + CHUNK] * side[k : k + CHUNK]
+                yield np.degrees(np.arctan2(v[:, 2], np.hypot(v[:, 0], v[:, 1]))), np.degrees(np.arctan2(v[:, 1], v[:, 0]))
+
+
+def _unit_vectors(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
+    p, q = np.radians(lat), np.radians(lon)
+    return np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)], axis=-1)
+
+
+def _s2_front(lat: np.ndarray, lon: np.ndarray, metres: float) -> np.ndarray:
+    """The level-16 cells of the bounds that a point is near to."""
     front = s2.cells_near(lat, lon, metres, 16)
     v = s2.vertices(front)
-    front = front[(v[:, :, 0].max(1) >= lat.min()) & (v[:, :, 0].min(1) <= lat.max()) & (v[:, :, 1].max(1) >= lon.min()) & (v[:, :, 1].min(1) <= lon.max())]
+    return front[(v[:, :, 0].max(1) >= lat.min()) & (v[:, :, 0].min(1) <= lat.max()) & (v[:, :, 1].max(1) >= lon.min()) & (v[:, :, 1].min(1) <= lon.max())]
+
+
+def _s2_below(front: np.ndarray, lat: np.ndarray, lon: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
     for level in range(16, 22):
         if level < 21:
             y, x = s2.centers(front)
@@ -61,31 +112,132 @@ def s2_candidates(lat: np.ndarray, lon: np.ndarray, metres: float) -> tuple[np.n
     return s2.centers(front) if len(front) else (np.zeros(0), np.zeros(0))
 
 
-def disc_members(c_lat, c_lon, p_lat, p_lon, metres: float, chunk: int = 4_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Members of each disc as (offsets, point indices): bucketed search, exact recheck."""
+def s2_candidates(lat: np.ndarray, lon: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
+    """Level-22 centres below the level-16 cells of the bounds whose centres stay within reach of a point."""
+    return _s2_below(_s2_front(lat, lon, metres), lat, lon, metres)
+
+
+def s2_blocks(lat: np.ndarray, lon: np.ndarray, metres: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same, some level-16 cells (of 4,096 candidates each) at a time."""
+    front = _s2_front(lat, lon, metres)
+    for k in range(0, len(front), CHUNK >> 12):
+        yield _s2_below(front[k : k + (CHUNK >> 12)], lat, lon, metres)
+
+
+def candidates(lat: np.ndarray, lon: np.ndarray, metres: float, mode: str, density: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The mode's candidates in blocks: a jittered grid (fast, balanced), S2 centres (better), with the meeting points of
+    the points' rims (best), or the tiles of the points' bounds (honeycomb)."""
+    if mode in DENSITY:
+        yield from grid_blocks(lat, lon, metres, density or DENSITY[mode])
+    elif mode == "honeycomb":
+        p = lattice(lon.min(), lat.min(), lon.max(), lat.max(), metres)
+        yield p[:, 0], p[:, 1]
+    else:
+        yield from s2_blocks(lat, lon, metres)
+        if mode == "best":
+            yield from meeting_points(lat, lon, metres)
+
+
+def _kept(blocks: Iterator[tuple[np.ndarray, np.ndarray]], lat: np.ndarray, lon: np.ndarray, metres: float, least: int) -> tuple[np.ndarray, ...]:
+    """lat, lon, offsets and members of the candidates with at least `least` points, the first of each set of points."""
+    mark = np.random.default_rng(7).integers(1, 1 << 63, len(lat), dtype=np.uint64)
+    seen = np.zeros(0, np.uint64)
+    ys, xs, sizes, members = [], [], [], []
+    for y, x in blocks:
+        ptr, own = disc_members(y, x, lat, lon, metres)
+        n = np.diff(ptr)
+        good = np.flatnonzero(n >= least)
+        if not len(good):
+            continue
+        sums = np.r_[np.uint64(0), np.cumsum(mark[own])]
+        sign = sums[ptr[good + 1]] - sums[ptr[good]]
+        _, first = np.unique(sign, return_index=True)
+        first = np.sort(first[~np.isin(sign[first], seen)])
+        good = good[first]
+        seen = np.r_[seen, sign[first]]
+        where, _ = _gather(ptr, good)
+        ys.append(y[good])
+        xs.append(x[good])
+        sizes.append(n[good])
+        members.append(own[where])
+    if not ys:
+        return np.zeros(0), np.zeros(0), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(ys), np.concatenate(xs), np.r_[0, np.cumsum(np.concatenate(sizes))], np.concatenate(members)
+
+
+def forward(lat: float, lon: float, bearing: float, metres: float) -> tuple[float, float]:
+    d, b, p = metres / geo.MEAN_RADIUS, math.radians(bearing), math.radians(lat)
+    q = math.asin(math.sin(p) * math.cos(d) + math.cos(p) * math.sin(d) * math.cos(b))
+    e = math.atan2(math.sin(b) * math.sin(d) * math.cos(p), math.cos(d) - math.sin(p) * math.sin(q))
+    return math.degrees(q), lon + math.degrees(e)
+
+
+def lattice(x0: float, y0: float, x1: float, y1: float, metres: float) -> np.ndarray:
+    """A serpentine hexagonal walk over the bounds from the north-east corner, as [lat, lon]."""
+    step, down, shift = math.sqrt(0.75) * 2 * metres, math.sqrt(0.568) * 2 * metres, math.sqrt(0.75) * 3 * metres
+    out, lat, lon, bearing, row = [], y1, x1, 270.0, 0
+    low, _ = forward(y0, x0, 180, metres)
+    while lat > low:
+        while (lon > x0) if bearing == 270 else (lon < x1):
+            out.append((lat, lon))
+            lat, lon = forward(lat, lon, bearing, step)
+        out.append((lat, lon))
+        lat, lon = forward(lat, lon, 180, down)
+        bearing = 90.0 if bearing == 270 else 270.0
+        lat, lon = forward(lat, lon, bearing, shift if row % 2 == 0 else shift / 3)
+        row += 1
+    return np.array(out).reshape(-1, 2)
+
+
+def disc_members(c_lat, c_lon, p_lat, p_lon, metres: float, chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Members of each disc as (offsets, point indices): bucketed search by chords, rechecked near the rim by great circles.
+
+    Buckets wrap around at 180 degrees; near a pole the search runs over all longitudes.
+    """
     step = math.degrees(metres / geo.GRID_RADIUS) * 1.001
     top = min(89.0, max(np.abs(p_lat).max(initial=0), np.abs(c_lat).max(initial=0)) + step)
-    wide = step / math.cos(math.radians(top))
-    py, px = np.floor(p_lat / step).astype(np.int64), np.floor(p_lon / wide).astype(np.int64)
-    key = py * (1 << 32) + px
+    wide = 360.0 / max(1, math.floor(360.0 * math.cos(math.radians(top)) / step)) if top < 89.0 else 360.0
+    turns = round(360.0 / wide)
+    slot = lambda lon: np.floor((lon % 360.0) / wide).astype(np.int64) % turns
+    key = np.floor(p_lat / step).astype(np.int64) * (1 << 32) + slot(p_lon)
     order = np.argsort(key, kind="stable")
     key = key[order]
-    cy, cx = np.floor(c_lat / step).astype(np.int64), np.floor(c_lon / wide).astype(np.int64)
-    parts = []
+    cy, cx = np.floor(c_lat / step).astype(np.int64), slot(c_lon)
+    # in each band the slots next to the centre's, as one range of keys, or two where they wrap
+    near = min(turns, 3)
+    first = (cx - 1) % turns if near == 3 else np.zeros_like(cx)
+    ranges = []
     for dy in (-1, 0, 1):
-        lo = np.searchsorted(key, (cy + dy) * (1 << 32) + cx - 1, "left")
-        hi = np.searchsorted(key, (cy + dy) * (1 << 32) + cx + 1, "right")
+        base = (cy + dy) * (1 << 32)
+        ranges.append((np.searchsorted(key, base + first, "left"), np.searchsorted(key, base + np.minimum(first + near, turns), "left")))
+        if near == 3 and turns > 3 and (first + 3 > turns).any():
+            ranges.append((np.searchsorted(key, base, "left"), np.searchsorted(key, base + np.maximum(first + 3 - turns, 0), "left")))
+        elif near == 3 and turns == 3:
+            ranges[-1] = (np.searchsorted(key, base, "left"), np.searchsorted(key, base + turns, "left"))
+    p, c = _unit_vectors(p_lat[order], p_lon[order]), _unit_vectors(c_lat, c_lon)
+    rim = (2 * math.sin(min(metres / geo.MEAN_RADIUS, math.pi) / 2)) ** 2
+    parts = []
+    for lo, hi in ranges:
         size = hi - lo
-        cuts = np.searchsorted(np.cumsum(size), np.arange(chunk, size.sum() + chunk, chunk)) + 1
+        total = np.cumsum(size)
+        cuts = np.searchsorted(total, np.arange(chunk, size.sum() + chunk, chunk)) + 1
         for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(size)], strict=True):
             a, b = min(int(a), len(size)), min(int(b), len(size))
             n = size[a:b]
             if b <= a or not n.sum():
                 continue
             own = np.repeat(np.arange(a, b), n)
-            at = order[np.repeat(lo[a:b] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-            ok = metres_between(c_lat[own], c_lon[own], p_lat[at], p_lon[at]) <= metres
-            parts.append((own[ok], at[ok]))
+            at = np.repeat(lo[a:b] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+            d = c[own, 0] - p[at, 0]
+            chord = d * d
+            for k in (1, 2):
+                d = c[own, k] - p[at, k]
+                chord += d * d
+            ok = chord <= rim
+            close = np.flatnonzero(np.abs(chord - rim) <= rim * 1e-6 + 1e-30)
+            if len(close):
+                ok[close] = metres_between(c_lat[own[close]], c_lon[own[close]], p_lat[order[at[close]]], p_lon[order[at[close]]]) <= metres
+            parts.append((own[ok], order[at[ok]]))
     own, at = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
     by = np.argsort(own, kind="stable")
     return np.r_[0, np.cumsum(np.bincount(own, minlength=len(c_lat)))], at[by]
@@ -108,7 +260,8 @@ def greedy(ptr: np.ndarray, members: np.ndarray, identity: np.ndarray, min_point
     least, raw = max(1, min_points), np.diff(ptr)
     own, distinct = identity[members], int(identity.max(initial=-1)) + 1
     if distinct < len(identity):  # a disc counts a repeated position once
-        pairs = np.unique(np.repeat(np.arange(len(raw)), raw) * np.int64(distinct) + own)
+        pairs = np.sort(np.repeat(np.arange(len(raw)), raw) * np.int64(distinct) + own)
+        pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]] if len(pairs) else pairs
         own, ptr = pairs % distinct, np.r_[0, np.cumsum(np.bincount(pairs // distinct, minlength=len(raw)))]
     left = np.where(raw >= least, np.diff(ptr), 0)
     free = np.ones(distinct, bool)
@@ -150,14 +303,7 @@ def cover_group(lat: np.ndarray, lon: np.ndarray, metres: float, min_points: int
     if not len(lat):
         return np.zeros(0), np.zeros(0)
     _, identity = np.unique(s2.cell_ids(lat, lon, IDENTITY_LEVEL), return_inverse=True)
-    y, x = grid_candidates(lat, lon, metres, density or DENSITY[mode])
-    if mode in ("better", "best"):
-        y2, x2 = s2_candidates(lat, lon, metres)
-        y, x = np.r_[y, y2], np.r_[x, x2]
-    if mode == "best":
-        y2, x2 = grid_candidates(lat, lon, metres, density or EXTRA_DENSITY, 43)
-        y, x = np.r_[y, y2], np.r_[x, x2]
-    ptr, members = disc_members(y, x, lat, lon, metres)
+    y, x, ptr, members = _kept(candidates(lat, lon, metres, mode, density), lat, lon, metres, max(1, min_points))
     taken = greedy(ptr, members, identity, min_points, max_clusters)
     cy, cx = y[taken], x[taken]
     if min_points <= 1:  # every point that is left becomes its own disc

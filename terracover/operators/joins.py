@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,10 +12,21 @@ from pyspark.sql import functions as F
 from terracover.functions import geo
 
 
-def _lon_width(band: Column, step: float) -> Column:
-    """Longitude width of a bucket in a latitude band: at least the step's metres anywhere in the band."""
-    top = F.least(F.lit(89.0), (F.abs(band.cast("double")) + 1.0) * F.lit(step))
-    return F.lit(step) / F.cos(F.radians(top))
+def fresh(df: DataFrame, name: str) -> str:
+    """The name of a working column that the frame does not have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name += "_"
+    return name
+
+
+def _turns(band: Column, step: float) -> Column:
+    """How many equal longitude buckets go around the Earth in a latitude band: none narrower than the step's metres."""
+    top = (F.abs(band.cast("double")) + 1.0) * F.lit(step)
+    return F.when(top < 89.0, F.greatest(F.lit(1), F.floor(F.lit(360.0) * F.cos(F.radians(top)) / F.lit(step)))).otherwise(F.lit(1)).cast("long")
+
+
+def _slot(lon: Column, turns: Column) -> Column:
+    return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) / F.lit(360.0) * turns), turns)
 
 
 def radius_join(points: DataFrame, centers: DataFrame, metres: float, point_key: list[str], center_key: list[str]) -> DataFrame:
@@ -21,15 +34,17 @@ def radius_join(points: DataFrame, centers: DataFrame, metres: float, point_key:
 
     Points fall into one latitude band and longitude bucket; a centre probes the buckets that its disc
     can reach in the bands around it. Bands have their own bucket width, so both sides agree at any
-    latitude. Pairs are rechecked by the great-circle distance. Null coordinates join with nothing.
+    latitude; buckets go around at 180 degrees, and next to a pole a band is one bucket. Pairs are
+    rechecked by the great-circle distance. Null coordinates join with nothing.
     """
     step = math.degrees(metres / geo.GRID_RADIUS) * 1.001
     band = F.floor(F.col("lat") / F.lit(step))
-    p = points.select(*point_key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), band.alias("band"), F.floor(F.col("lon") / _lon_width(band, step)).alias("slot"))
+    p = points.select(*point_key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), band.alias("band"), _slot(F.col("lon"), _turns(band, step)).alias("slot"))
     c = centers.select(*center_key, F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     c = c.select("*", F.explode(F.sequence(F.floor(F.col("c_lat") / F.lit(step)) - 1, F.floor(F.col("c_lat") / F.lit(step)) + 1)).alias("band"))
-    width = _lon_width(F.col("band"), step)
-    c = c.select("*", F.explode(F.sequence(F.floor(F.col("c_lon") / width) - 1, F.floor(F.col("c_lon") / width) + 1)).alias("slot"))
+    turns = _turns(F.col("band"), step)
+    own = _slot(F.col("c_lon"), turns)
+    c = c.select("*", F.explode(F.array_distinct(F.array(*(F.pmod(own + k, turns) for k in (-1, 0, 1))))).alias("slot"))
     d = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("c_lat"), F.col("c_lon"))
     return p.join(c, ["band", "slot"]).select(*point_key, *center_key, d.alias("metres")).where(F.col("metres") <= F.lit(metres))
 
@@ -45,34 +60,92 @@ def fence_cover(edges: DataFrame, step: float) -> DataFrame:
     return rows.select("*", F.explode(F.sequence(cell("y0"), cell("y1"))).alias("gy"))
 
 
+#: Cells along the longer side of a fence's bounds, at most; and boxes that are pushed to a scan, along each side.
+FENCE_CELLS, BOXES = 64, 8
+
+
+def _levels(edges: DataFrame, step: float) -> tuple[DataFrame, list[int]]:
+    """(fid, level): how often a fence doubles the cell's side; and the levels that occur (at most 17)."""
+    extent = F.greatest(F.max(F.greatest("ex1", "ex2")) - F.min(F.least("ex1", "ex2")), F.max(F.greatest("ey1", "ey2")) - F.min(F.least("ey1", "ey2")))
+    level = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(extent, F.lit(step)) / F.lit(FENCE_CELLS * step)))).cast("int")
+    fences = edges.groupBy("fid").agg(level.alias("level"))
+    return fences, sorted(fences.agg(F.collect_set("level")).first()[0])
+
+
+def fence_cells(edges: DataFrame, fences: DataFrame, step: float) -> DataFrame:
+    """(level, gx, gy, fid, odd, edges): the grid cells in which points may lie inside a fence, each with what parity needs.
+
+    A cell keeps the edges that a ray from one of its points to the east may meet or miss; of the edges
+    to its east that cross its whole height only the parity is kept (odd). Cells outside have no row,
+    cells inside no edges, so that a fence of many edges is not copied whole into its cells.
+    """
+    side = F.lit(step) * F.pow(F.lit(2.0), F.col("level"))
+    e = edges.join(fences, "fid").select("fid", "level", side.alias("side"), "ex1", "ey1", "ex2", "ey2")
+    e = e.select("*", F.explode(F.sequence(F.floor(F.least("ey1", "ey2") / F.col("side")), F.floor(F.greatest("ey1", "ey2") / F.col("side")))).alias("gy"))
+    rows = e.groupBy("fid", "level", "side", "gy").agg(
+        F.collect_list(F.struct("ex1", "ey1", "ex2", "ey2")).alias("row"), F.min(F.least("ex1", "ex2")).alias("x0"), F.max(F.greatest("ex1", "ex2")).alias("x1")
+    )
+    cells = rows.select("*", F.explode(F.sequence(F.floor(F.col("x0") / F.col("side")), F.floor(F.col("x1") / F.col("side")))).alias("gx"))
+    margin = F.col("side") * 1e-6
+    west, south = F.col("gx") * F.col("side") - margin, F.col("gy") * F.col("side") - margin
+    east, north = west + F.col("side") + 2 * margin, south + F.col("side") + 2 * margin
+    spans = lambda x: (F.least(x["ey1"], x["ey2"]) <= south) & (F.greatest(x["ey1"], x["ey2"]) > north) & (F.least(x["ex1"], x["ex2"]) > east)
+    meets = lambda x: (F.greatest(x["ex1"], x["ex2"]) >= west) & ~spans(x)
+    out = cells.select("level", "gx", "gy", "fid", (F.size(F.filter("row", spans)) % 2 == 1).alias("odd"), F.filter("row", meets).alias("edges"))
+    return out.where(F.col("odd") | (F.size("edges") > 0))
+
+
+def _parity(lat: Column, lon: Column, odd: Column, edges: Column) -> Column:
+    crossings = F.size(F.filter(edges, lambda e: geo.ray_crosses(lat, lon, e["ex1"], e["ey1"], e["ex2"], e["ey2"])))
+    return (crossings + odd.cast("int")) % 2 == 1
+
+
 def pip_join(points: DataFrame, edges: DataFrame, keep: list[str], step: float = 0.005) -> DataFrame:
-    """(keep..., fid) of every point inside a fence: bounding-box cells, then ray parity over all rings.
+    """(keep..., fid) of every point inside a fence: an equi-join of cells, then ray parity over the cell's edges.
 
-    The edges of a fence travel as one array, so the parity needs no second shuffle. Holes and several
-    parts follow from parity. Points on no fence, and null coordinates, drop out.
+    A fence's cells are `step` degrees wide, doubled until its bounds have at most FENCE_CELLS a side, so
+    points look into one cell for each width that occurs. Holes and several parts follow from parity.
+    Points on no fence, and null coordinates, drop out.
     """
-    fences = fence_cover(edges, step)
-    p = points.select(*keep, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lon") / F.lit(step)).alias("gx"), F.floor(F.col("lat") / F.lit(step)).alias("gy"))
-    near = p.join(fences, ["gx", "gy"]).where(F.col("p_lon").between(F.col("x0"), F.col("x1")) & F.col("p_lat").between(F.col("y0"), F.col("y1")))
-    crossings = F.size(F.filter("edges", lambda e: geo.ray_crosses(F.col("p_lat"), F.col("p_lon"), e["ex1"], e["ey1"], e["ex2"], e["ey2"])))
-    return near.where(crossings % 2 == 1).select(*keep, "fid")
+    fences, levels = _levels(edges, step)
+    cells = fence_cells(edges, fences, step)
+    side = F.lit(step) * F.pow(F.lit(2.0), F.col("level"))
+    p = points.select(*keep, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.explode(F.array(*map(F.lit, levels)) if levels else F.lit(None).cast("array<int>")).alias("level"))
+    p = p.withColumn("gx", F.floor(F.col("p_lon") / side)).withColumn("gy", F.floor(F.col("p_lat") / side))
+    near = p.join(cells, ["level", "gx", "gy"])
+    return near.where(_parity(F.col("p_lat"), F.col("p_lon"), F.col("odd"), F.col("edges"))).select(*keep, "fid")
 
 
 def within_bounds(points: DataFrame, edges: DataFrame) -> DataFrame:
-    """The points inside the bounding box of all fences, as literal ranges that reach a Parquet scan.
+    """The points near the fences, as literal ranges that reach a Parquet scan.
 
-    Four numbers of the (small) fence table come to the driver; row groups outside the box are then never
-    read where points are stored by place.
+    The bounds of all fences, and of the fences of each of BOXES x BOXES parts of them, come to the driver;
+    row groups outside are then never read where points are stored by place.
     """
-    b = edges.agg(F.min(F.least("ex1", "ex2")), F.max(F.greatest("ex1", "ex2")), F.min(F.least("ey1", "ey2")), F.max(F.greatest("ey1", "ey2"))).first()
+    box = lambda f, g, a, b: f(g(a, b))
+    sides = [box(F.min, F.least, "ex1", "ex2").alias("x0"), box(F.max, F.greatest, "ex1", "ex2").alias("x1"), box(F.min, F.least, "ey1", "ey2").alias("y0"), box(F.max, F.greatest, "ey1", "ey2").alias("y1")]
+    fences = edges.groupBy("fid").agg(*sides)
+    b = fences.agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).first()
     if b[0] is None:
         return points.where("false")
-    return points.where((F.col("lon") >= b[0]) & (F.col("lon") <= b[1]) & (F.col("lat") >= b[2]) & (F.col("lat") <= b[3]))
-
-
-def in_any_fence(points: DataFrame, edges: DataFrame, key: str, step: float = 0.005) -> DataFrame:
-    """The points inside at least one fence, once each."""
-    return points.join(pip_join(points, edges, [key], step).select(key).distinct(), key, "left_semi")
+    part = lambda c, low, high: F.floor((F.col(c) - low) / max(high - low, 1e-9) * BOXES * 0.999999)
+    boxes = fences.groupBy(part("x0", b[0], b[1]).alias("px"), part("y0", b[2], b[3]).alias("py")).agg(F.min("x0"), F.max("x1"), F.min("y0"), F.max("y1")).orderBy("px", "py").collect()
+    within = lambda x0, x1, y0, y1: (F.col("lon") >= x0) & (F.col("lon") <= x1) & (F.col("lat") >= y0) & (F.col("lat") <= y1)
+    return points.where(within(*b)).where(functools.reduce(operator.or_, (within(*x[2:]) for x in boxes)))
+
+
+def in_any_fence(points: DataFrame, edges: DataFrame, step: float = 0.005, inside: bool = True) -> DataFrame:
+    """The points inside at least one fence (or in none), each row once, in one pass: all fences of a cell come as one array."""
+    fences, levels = _levels(edges, step)
+    cells = fence_cells(edges, fences, step).groupBy("level", "gx", "gy").agg(F.collect_list(F.struct("odd", "edges")).alias("fences"))
+    lat, lon = fresh(points, "lat_"), fresh(points, "lon_")
+    out, found = points.withColumn(lat, F.col("lat")).withColumn(lon, F.col("lon")), F.lit(False)
+    for k in levels:
+        side, gx, gy, own = F.lit(step * 2.0**k), fresh(points, "gx"), fresh(points, "gy"), fresh(points, f"fences{k}")
+        here = cells.where(F.col("level") == k).select(F.col("gx").alias(gx), F.col("gy").alias(gy), F.col("fences").alias(own))
+        out = out.withColumn(gx, F.floor(F.col(lon) / side)).withColumn(gy, F.floor(F.col(lat) / side)).join(here, [gx, gy], "left").drop(gx, gy)
+        found = found | F.coalesce(F.exists(own, lambda f: _parity(F.col(lat), F.col(lon), f["odd"], f["edges"])), F.lit(False))
+    return out.where(found if inside else ~found).select(points.columns)
 
 
 def nearest_pairs(tours: DataFrame) -> DataFrame:

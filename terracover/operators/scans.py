@@ -26,7 +26,7 @@ def filtered(points: DataFrame, where: Column, bounds: tuple | None = None, edge
     if bounds:
         rows = rows.where(in_bounds(*bounds))
     if edges is not None:
-        return in_any_fence(within_bounds(rows, edges), edges, key)
+        return in_any_fence(within_bounds(rows, edges), edges)
     return rows if limit is None else rows.orderBy(key).limit(limit)
 
 

@@ -41,7 +41,7 @@ def q_pip_join(v: Views):
 
 @query("spawnpoint edge", f"SELECT DISTINCT id FROM ({inside('spawnpoint')})")
 def q_pip(v: Views):
-    return in_any_fence(v.spawnpoint, v.edge, "id").select("id")
+    return in_any_fence(v.spawnpoint, v.edge).select("id")
 
 
 @query("spawnpoint cluster", over(NEAR, "SELECT DISTINCT id FROM near"))
