@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracover.functions import props
+from terracover.operators.grouping import numbered
 
 
 def id_or_name(key: str) -> Column:
@@ -156,4 +157,4 @@ def related(rows: DataFrame, bridge: DataFrame, left: str, right: str) -> DataFr
 
 def enumerated(points: DataFrame, prefix: Column, order: str) -> DataFrame:
     """(i, lat, lon): compact ids, the prefix and the row number from 0."""
-    return points.select(F.concat(prefix, (F.row_number().over(Window.orderBy(order)) - 1).cast("string")).alias("i"), "lat", "lon")
+    return numbered(points, order, "__i").select(F.concat(prefix, F.col("__i").cast("string")).alias("i"), "lat", "lon")

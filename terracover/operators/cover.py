@@ -345,31 +345,38 @@ def greedy_cover(points: DataFrame, metres: float, min_points: int = 1, mode: st
 
 
 class Plane:
-    """Tangent plane of a group, in units of the disc radius."""
+    """Tangent plane of the ellipsoid at a group's middle, as [east, north] in units of the disc radius."""
 
     def __init__(self, lat: np.ndarray, lon: np.ndarray, metres: float):
-        v = self._ecef(lat, lon).sum(axis=0)
-        self.radius = float(np.linalg.norm(v) / max(1, len(lat)))
-        self.up = v / np.linalg.norm(v)
-        east = np.cross([0.0, 0.0, 1.0], self.up)
-        self.east = east / np.linalg.norm(east) if np.linalg.norm(east) > 1e-12 else np.array([1.0, 0, 0])
+        lat0, lon0 = self._radial(self._ecef(lat, lon).sum(axis=0))
+        self.up = np.array([math.cos(lat0) * math.cos(lon0), math.cos(lat0) * math.sin(lon0), math.sin(lat0)])
+        self.east = np.array([-math.sin(lon0), math.cos(lon0), 0.0])
         self.north = np.cross(self.up, self.east)
-        self.unit = 0.5 * self.radius * math.sin(2 * metres / self.radius)
+        centre = self._ecef(math.degrees(lat0), math.degrees(lon0))
+        self.height, self.offset = float(centre @ self.up), float(centre @ self.north)
+        self.unit = 0.5 * geo.POLAR_RADIUS * math.sin(2 * metres / geo.POLAR_RADIUS)
 
     @staticmethod
     def _ecef(lat, lon) -> np.ndarray:
-        p, q = np.radians(lat), np.radians(lon)
-        return geo.MEAN_RADIUS * np.stack([np.cos(p) * np.cos(q), np.cos(p) * np.sin(q), np.sin(p)], axis=-1)
+        p, q, flat = np.radians(lat), np.radians(lon), (geo.POLAR_RADIUS / geo.EQUATOR_RADIUS) ** 2
+        n = geo.EQUATOR_RADIUS / np.sqrt(np.cos(p) ** 2 + flat * np.sin(p) ** 2)
+        return np.stack([n * np.cos(p) * np.cos(q), n * np.cos(p) * np.sin(q), n * flat * np.sin(p)], axis=-1)
+
+    @staticmethod
+    def _radial(v: np.ndarray):
+        flat = (geo.POLAR_RADIUS / geo.EQUATOR_RADIUS) ** 2
+        return np.arctan2(v[..., 2], flat * np.hypot(v[..., 0], v[..., 1])), np.arctan2(v[..., 1], v[..., 0])
 
     def forward(self, lat, lon) -> np.ndarray:
         v = self._ecef(np.asarray(lat, float), np.asarray(lon, float))
-        v = v * (self.radius / (v @ self.up))[..., None]
-        return np.stack([v @ self.east, v @ self.north], axis=-1) / self.unit
+        v = v * (self.height / (v @ self.up))[..., None]
+        return np.stack([v @ self.east, v @ self.north - self.offset], axis=-1) / self.unit
 
     def reverse(self, xy) -> tuple[np.ndarray, np.ndarray]:
         xy = np.asarray(xy, float) * self.unit
-        v = self.up * self.radius + xy[..., :1] * self.east + xy[..., 1:] * self.north
-        return np.degrees(np.arctan2(v[..., 2], np.hypot(v[..., 0], v[..., 1]))), np.degrees(np.arctan2(v[..., 1], v[..., 0]))
+        v = self.up * self.height + xy[..., :1] * self.east + (xy[..., 1:] + self.offset) * self.north
+        lat, lon = self._radial(v)
+        return np.degrees(lat), np.degrees(lon)
 
 
 def unit_disc_cover(lat: np.ndarray, lon: np.ndarray, metres: float, min_points: int) -> tuple[np.ndarray, np.ndarray]:

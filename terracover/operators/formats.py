@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from terracover.operators.grouping import numbered
+
 POINTS = "array<struct<lat:double,lon:double>>"
 
 
@@ -70,11 +72,11 @@ def deduplicated(points: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 def poracle(fences: DataFrame, polygons: DataFrame, groups: DataFrame) -> DataFrame:
     """Flat fence records: id from 1 by name, group, flags, path of the outer ring or multipath of several."""
     paths = polygons.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("ring", F.transform("points", lambda p: F.array(F.round(p["lat"], 6), F.round(p["lon"], 6))).alias("p")))).alias("rs"))
-    both = fences.select("fid", "name", "parent").join(paths, "fid").join(groups, "parent", "left")
+    both = numbered(fences.select("fid", "name", "parent"), "name", "id").join(paths, "fid").join(groups, "parent", "left")
     one = F.size("rs") == 1
     all_ = F.transform("rs", lambda r: r["p"])
     return both.select(
-        (F.row_number().over(Window.orderBy("name"))).alias("id"), "name", F.coalesce("group", F.lit("")).alias("group"), F.lit(True).alias("userSelectable"), F.lit(True).alias("displayInMatches"),
+        (F.col("id") + 1).alias("id"), "name", F.coalesce("group", F.lit("")).alias("group"), F.lit(True).alias("userSelectable"), F.lit(True).alias("displayInMatches"),
         F.when(one, F.element_at(all_, 1)).alias("path"), F.when(~one, all_).alias("multipath"),
     )
 

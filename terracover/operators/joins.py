@@ -10,13 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracover.functions import geo
-
-
-def fresh(df: DataFrame, name: str) -> str:
-    """The name of a working column that the frame does not have."""
-    while name.lower() in {c.lower() for c in df.columns}:
-        name += "_"
-    return name
+from terracover.operators.grouping import fresh
 
 
 def _turns(band: Column, step: float) -> Column:
@@ -29,8 +23,8 @@ def _slot(lon: Column, turns: Column) -> Column:
     return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) / F.lit(360.0) * turns), turns)
 
 
-def radius_join(points: DataFrame, centers: DataFrame, metres: float, point_key: list[str], center_key: list[str]) -> DataFrame:
-    """point_key, center_key and `metres` of every pair within a distance (inclusive).
+def radius_join(points: DataFrame, centers: DataFrame, metres: float, point_key: list[str], center_key: list[str], on: tuple[str, ...] = ()) -> DataFrame:
+    """point_key, center_key, on and `metres` of every pair within a distance (inclusive) that agrees on the columns `on`.
 
     Points fall into one latitude band and longitude bucket; a centre probes the buckets that its disc
     can reach in the bands around it. Bands have their own bucket width, so both sides agree at any
@@ -39,14 +33,14 @@ def radius_join(points: DataFrame, centers: DataFrame, metres: float, point_key:
     """
     step = math.degrees(metres / geo.GRID_RADIUS) * 1.001
     band = F.floor(F.col("lat") / F.lit(step))
-    p = points.select(*point_key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), band.alias("band"), _slot(F.col("lon"), _turns(band, step)).alias("slot"))
-    c = centers.select(*center_key, F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
+    p = points.select(*point_key, *on, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), band.alias("band"), _slot(F.col("lon"), _turns(band, step)).alias("slot"))
+    c = centers.select(*center_key, *on, F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"))
     c = c.select("*", F.explode(F.sequence(F.floor(F.col("c_lat") / F.lit(step)) - 1, F.floor(F.col("c_lat") / F.lit(step)) + 1)).alias("band"))
     turns = _turns(F.col("band"), step)
     own = _slot(F.col("c_lon"), turns)
     c = c.select("*", F.explode(F.array_distinct(F.array(*(F.pmod(own + k, turns) for k in (-1, 0, 1))))).alias("slot"))
     d = geo.haversine(F.col("p_lat"), F.col("p_lon"), F.col("c_lat"), F.col("c_lon"))
-    return p.join(c, ["band", "slot"]).select(*point_key, *center_key, d.alias("metres")).where(F.col("metres") <= F.lit(metres))
+    return p.join(c, ["band", "slot", *on]).select(*point_key, *center_key, *on, d.alias("metres")).where(F.col("metres") <= F.lit(metres))
 
 
 def fence_cover(edges: DataFrame, step: float) -> DataFrame:
@@ -148,6 +142,22 @@ def in_any_fence(points: DataFrame, edges: DataFrame, step: float = 0.005, insid
     return out.where(found if inside else ~found).select(points.columns)
 
 
+def edge_distances(points: DataFrame, edges: DataFrame, key: list[str], metres: float) -> DataFrame:
+    """(key..., fid, metres): how far each point is from the sides of every fence within a distance.
+
+    Sides are dealt to the grid cells that lie within the distance of their bounds; a point looks into one.
+    """
+    step = math.degrees(metres / geo.GRID_RADIUS) * 1.001
+    high = F.least(F.lit(89.0), F.greatest(F.abs("ey1"), F.abs("ey2")) + F.lit(step))
+    wide = F.lit(step) / F.cos(F.radians(high))
+    cells = lambda a, b, by: F.sequence(F.floor((F.least(a, b) - by) / step), F.floor((F.greatest(a, b) + by) / step))
+    e = edges.select("fid", "ex1", "ey1", "ex2", "ey2", F.explode(cells("ey1", "ey2", F.lit(step))).alias("gy"), wide.alias("wide"))
+    e = e.select("*", F.explode(cells("ex1", "ex2", F.col("wide"))).alias("gx")).drop("wide")
+    p = points.select(*key, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.floor(F.col("lat") / step).alias("gy"), F.floor(F.col("lon") / step).alias("gx"))
+    d = geo.segment_distance(F.col("p_lat"), F.col("p_lon"), F.col("ey1"), F.col("ex1"), F.col("ey2"), F.col("ex2"))
+    return p.join(e, ["gx", "gy"]).select(*key, "fid", d.alias("metres")).where(F.col("metres") <= metres).groupBy(*key, "fid").agg(F.min("metres").alias("metres"))
+
+
 def nearest_pairs(tours: DataFrame) -> DataFrame:
     """For each tour (key, next_key) the closest pair of stops: tours(key, next_key, a_seq, a_lat, a_lon, b_seq, b_lat, b_lon)."""
     d = geo.haversine(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))

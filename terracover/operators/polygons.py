@@ -1,10 +1,18 @@
-"""Polygon union per group, by splitting edges and keeping those on the outside."""
+"""Polygon union per group, by splitting edges and keeping those on the outside.
+
+`union_by` cuts and tests edges as rows: segments that share a grid cell are cut where they meet, both sides
+of every piece are looked up in the polygons, and only the pieces of the outline meet in one task to be
+joined end to end. `union` is the same on a few polygons at hand.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from terracover.operators.joins import FENCE_CELLS, pip_join
 
 PLACES = 9
 
@@ -54,8 +62,13 @@ def union(polygons: list[list[np.ndarray]]) -> list[np.ndarray]:
                 p, q = (tuple(np.round(x, PLACES).tolist()) for x in ((p, q) if left else (q, p)))
                 if p != q:
                     kept[p, q] = (p, q)
+    return _rings(kept)
+
+
+def _rings(pieces) -> list[np.ndarray]:
+    """The rings that directed pieces ((x, y), (x, y)) form, each from its least point on."""
     after: dict[tuple, list[tuple]] = {}
-    for p, q in sorted(kept):
+    for p, q in sorted(pieces):
         after.setdefault(p, []).append(q)
     rings = []
     while after:
@@ -87,13 +100,71 @@ def area(ring: np.ndarray) -> float:
     return float((x * np.roll(y, -1) - y * np.roll(x, -1)).sum() / 2)
 
 
+def _segments(edges: DataFrame, key: str) -> DataFrame:
+    """(key, fid, sid, ax, ay, bx, by): the sides of all rings, without those of no length."""
+    ring = Window.partitionBy(key, "fid", "ring").orderBy("seq")
+    whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    nxt = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))
+    out = edges.select(key, "fid", F.xxhash64(key, "fid", "ring", "seq").alias("sid"), F.col("ex1").alias("ax"), F.col("ey1").alias("ay"), nxt("ex1").alias("bx"), nxt("ey1").alias("by"))
+    return out.where("abs(ax - bx) > 1e-15 or abs(ay - by) > 1e-15")
+
+
+def _in_cells(segments: DataFrame, key: str) -> DataFrame:
+    """Segments in the grid cells of their bounds; a key's longer side has about FENCE_CELLS cells."""
+    low = lambda f: f(F.least("ax", "bx"))
+    extent = F.greatest(F.max(F.greatest("ax", "bx")) - low(F.min), F.max(F.greatest("ay", "by")) - F.min(F.least("ay", "by")))
+    side = segments.groupBy(key).agg(F.greatest(extent / FENCE_CELLS, F.lit(1e-9)).alias("side"))
+    at = lambda f, a, b: F.floor(f(a, b) / F.col("side"))
+    over = lambda a, b: F.sequence(at(lambda x, y: F.least(x, y) - 1e-12, F.col(a), F.col(b)), at(lambda x, y: F.greatest(x, y) + 1e-12, F.col(a), F.col(b)))
+    rows = segments.join(side, key).select("*", F.explode(over("ax", "bx")).alias("gx"))
+    return rows.select("*", F.explode(over("ay", "by")).alias("gy")).drop("side")
+
+
+def _cut_at() -> Column:
+    """Where (from 0 to 1) segment a-b is cut by the other segment p-q: array of positions."""
+    c = {k: F.col(k) for k in ("ax", "ay", "bx", "by", "px", "py", "qx", "qy")}
+    rx, ry, sx, sy, wx, wy = c["bx"] - c["ax"], c["by"] - c["ay"], c["qx"] - c["px"], c["qy"] - c["py"], c["px"] - c["ax"], c["py"] - c["ay"]
+    d, square, off = rx * sy - ry * sx, rx * rx + ry * ry, wx * ry - wy * rx
+    crosses = (F.abs(d) > 1e-18) & (off / d).between(-1e-12, 1 + 1e-12)
+    lies_on = (F.abs(d) <= 1e-18) & (F.abs(off) <= 1e-12 * F.sqrt(F.greatest(square, F.lit(1e-18))))
+    along = lambda x, y: ((x - c["ax"]) * rx + (y - c["ay"]) * ry) / square
+    found = F.when(crosses, F.array((wx * sy - wy * sx) / d)).when(lies_on, F.array(along(c["px"], c["py"]), along(c["qx"], c["qy"])))
+    return F.transform(F.filter(found, lambda t: t.between(0, 1)), lambda t: F.round(t, 12))
+
+
 def union_by(edges: DataFrame, key: str, drop_holes: bool = False) -> DataFrame:
-    """(key, ring, seq, x, y): the union of the fences of each key; edges (key, fid, ring, seq, ex1, ey1, ...)."""
+    """(key, ring, seq, x, y): the union of the fences of each key; edges (key, fid, ring, seq, ex1, ey1, ...).
+
+    Only the outline of a key's union meets in one task.
+    """
+    segments = _segments(edges, key)
+    cells = _in_cells(segments, key)
+    other = cells.select(key, "gx", "gy", F.col("sid").alias("other"), F.col("ax").alias("px"), F.col("ay").alias("py"), F.col("bx").alias("qx"), F.col("by").alias("qy"))
+    met = cells.join(other, [key, "gx", "gy"]).where("sid <> other and least(ax, bx) <= greatest(px, qx) + 1e-12 and least(px, qx) <= greatest(ax, bx) + 1e-12 and least(ay, by) <= greatest(py, qy) + 1e-12 and least(py, qy) <= greatest(ay, by) + 1e-12")
+    cuts = met.select(key, "sid", F.explode(_cut_at()).alias("t")).groupBy(key, "sid").agg(F.collect_set("t").alias("ts"))
+    ends = F.array(F.lit(0.0), F.lit(1.0))
+    whole = segments.join(cuts, [key, "sid"], "left").withColumn("ts", F.array_sort(F.array_distinct(F.concat(ends, F.coalesce("ts", ends)))))
+    between = F.transform(F.sequence(F.lit(1), F.size("ts") - 1), lambda k: F.struct(F.get("ts", k - 1).alias("t0"), F.get("ts", k).alias("t1")))
+    cut = whole.select(key, "sid", "ax", "ay", "bx", "by", F.inline(between))
+    place = lambda a, b, t: F.col(a) + F.col(t) * (F.col(b) - F.col(a))
+    pieces = cut.select(key, "sid", "t0", place("ax", "bx", "t0").alias("px"), place("ay", "by", "t0").alias("py"), place("ax", "bx", "t1").alias("qx"), place("ay", "by", "t1").alias("qy"))
+    # a point next to the middle on either side, and whether any of the key's polygons holds it
+    length = F.hypot(F.col("qx") - F.col("px"), F.col("qy") - F.col("py"))
+    lon, lat = (F.col("px") + F.col("qx")) / 2 - F.col("s") * (F.col("qy") - F.col("py")) / length * 1e-9, (F.col("py") + F.col("qy")) / 2 + F.col("s") * (F.col("qx") - F.col("px")) / length * 1e-9
+    sides = pieces.where(length > 0).select("*", F.explode(F.array(F.lit(1), F.lit(-1))).alias("s")).select("*", lat.alias("lat"), lon.alias("lon"))
+    one = F.xxhash64(key, "fid")  # a fence may belong to several keys
+    held = pip_join(sides.select(F.col(key).alias("own"), "sid", "t0", "s", "lat", "lon"), segments.select(one.alias("fid"), F.col("ax").alias("ex1"), F.col("ay").alias("ey1"), F.col("bx").alias("ex2"), F.col("by").alias("ey2")), ["own", "sid", "t0", "s"])
+    held = held.join(segments.select(F.col(key).alias("own"), one.alias("fid")).distinct(), ["own", "fid"]).groupBy(F.col("own").alias(key), "sid", "t0").agg(F.max("s").alias("left"), F.min("s").alias("right"))
+    outline = pieces.join(held, [key, "sid", "t0"]).where(F.col("left") == F.col("right"))  # covered on one side only
+    near = lambda c: F.round(c, PLACES)
+    p, q = (near(F.col("px")), near(F.col("py"))), (near(F.col("qx")), near(F.col("qy")))
+    turned = lambda a, b: F.when(F.col("left") == 1, a).otherwise(b)
+    outline = outline.select(key, turned(p[0], q[0]).alias("x1"), turned(p[1], q[1]).alias("y1"), turned(q[0], p[0]).alias("x2"), turned(q[1], p[1]).alias("y2")).where("x1 <> x2 or y1 <> y2").distinct()
 
     def run(k: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        polys = [[r.sort_values("seq")[["ex1", "ey1"]].to_numpy(float) for _, r in f.groupby("ring")] for _, f in g.groupby("fid")]
-        rings = [r for r in union(polys) if not drop_holes or area(r) > 0]
+        pieces = [((a, b), (c, d)) for a, b, c, d in zip(g["x1"].tolist(), g["y1"].tolist(), g["x2"].tolist(), g["y2"].tolist(), strict=True)]
+        rings = [r for r in _rings(pieces) if not drop_holes or area(r) > 0]
         rows = [(k[0], i, j, *p) for i, r in enumerate(rings) for j, p in enumerate(r.tolist())]
         return pd.DataFrame(rows, columns=[key, "ring", "seq", "x", "y"])
 
-    return edges.groupBy(key).applyInPandas(run, f"{key} long, ring long, seq long, x double, y double")
+    return outline.groupBy(key).applyInPandas(run, f"{key} long, ring long, seq long, x double, y double")

@@ -61,7 +61,7 @@ def distance_matrix(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
 
 
 def tour_order(lat: np.ndarray, lon: np.ndarray, neighbours: int = 10, rounds: int = 40) -> np.ndarray:
-    """A short closed tour from stop 0: cheapest next arc, then 2-opt and Or-opt moves over near neighbours."""
+    """A short closed tour from stop 0: cheapest next arc, then 2-opt and Or-opt moves over near neighbours in turn."""
     n = len(lat)
     if n < 4:
         return np.arange(n)
@@ -78,35 +78,91 @@ def tour_order(lat: np.ndarray, lon: np.ndarray, neighbours: int = 10, rounds: i
     dist = lambda a, b: np.hypot(y[a] - y[b], x[a] - x[b])
     k = min(neighbours, n - 1)
     near = np.empty((n, k), np.int64)
-    for a in range(0, n, 1024):
-        d = (y[a : a + 1024, None] - y) ** 2 + (x[a : a + 1024, None] - x) ** 2
-        near[a : a + 1024] = np.argsort(d, axis=1, kind="stable")[:, 1 : k + 1]
+    for a in range(0, n, 512):
+        d = (y[a : a + 512, None] - y) ** 2 + (x[a : a + 512, None] - x) ** 2
+        d[np.arange(len(d)), np.arange(a, a + len(d))] = -1.0  # itself first, whatever lies on the same place
+        some = np.argpartition(d, k, axis=1)[:, : k + 1]
+        some = np.take_along_axis(some, np.lexsort((some, np.take_along_axis(d, some, axis=1)), axis=1), axis=1)
+        near[a : a + 512] = some[:, 1:]
     for _ in range(rounds):
-        pos = np.empty(n, np.int64)
-        pos[order] = np.arange(n)
-        nxt = order[(np.arange(n) + 1) % n]
-        after = np.empty(n, np.int64)
-        after[order] = nxt
-        a, c = np.repeat(np.arange(n), k), near.ravel()
-        gain = dist(a, after[a]) + dist(c, after[c]) - dist(a, c) - dist(after[a], after[c])
-        good = np.flatnonzero(gain > 1e-12)
-        if not len(good):
-            break
-        done = np.zeros(n, bool)
-        moved = False
-        for g in good[np.argsort(-gain[good], kind="stable")]:  # reversals that do not overlap in this round
-            i, j = sorted((int(pos[a[g]]), int(pos[c[g]])))
-            if done[i : j + 2].any() or j - i < 1:
-                continue
-            order[i + 1 : j + 1] = order[i + 1 : j + 1][::-1]
-            done[i : j + 2] = True
-            moved = True
-        if not moved:
+        turned, order = _reversals(order, near, dist)
+        moved, order = _moves(order, near, dist)
+        if not turned and not moved:
             break
     start = int(np.flatnonzero(order == 0)[0])
     return np.roll(order, -start)
 
 
+def _reversals(order: np.ndarray, near: np.ndarray, dist) -> tuple[bool, np.ndarray]:
+    """2-opt: the best reversals that do not overlap."""
+    n, k = near.shape
+    pos = np.empty(n, np.int64)
+    pos[order] = np.arange(n)
+    after = np.empty(n, np.int64)
+    after[order] = np.roll(order, -1)
+    a, c = np.repeat(np.arange(n), k), near.ravel()
+    gain = dist(a, after[a]) + dist(c, after[c]) - dist(a, c) - dist(after[a], after[c])
+    good = np.flatnonzero(gain > 1e-12)
+    done, any_ = np.zeros(n + 1, bool), False
+    order = order.copy()
+    for g in good[np.argsort(-gain[good], kind="stable")]:
+        i, j = sorted((int(pos[a[g]]), int(pos[c[g]])))
+        if j - i < 1 or done[i : j + 2].any():
+            continue
+        order[i + 1 : j + 1] = order[i + 1 : j + 1][::-1]
+        done[i : j + 2] = True
+        any_ = True
+    return any_, order
+
+
+def _moves(order: np.ndarray, near: np.ndarray, dist) -> tuple[bool, np.ndarray]:
+    """Or-opt: one to three stops in a row go, either way round, between two others; the best moves that share no stop."""
+    n, k = near.shape
+    if n < 8:
+        return False, order
+    pos = np.empty(n, np.int64)
+    pos[order] = np.arange(n)
+    at = lambda i: order[i % n]
+    found = []
+    for size in (1, 2, 3):
+        i = np.repeat(np.arange(n), k)
+        for end in (0, size - 1) if size > 1 else (0,):  # the stop that comes next to its near neighbour
+            first, last = at(i), at(i + size - 1)
+            c = near[at(i + end), np.tile(np.arange(k), n)]
+            free = (pos[c] - i) % n >= size
+            before, behind = at(i - 1), at(i + size)
+            left = dist(before, first) + dist(last, behind) - dist(before, behind)
+            for way in (0, 1):  # between c and the stop after it, or before it
+                lead, tail = (c, at(pos[c] + 1)) if way == 0 else (at(pos[c] - 1), c)
+                ok = free & ((pos[lead] - i) % n >= size) & ((pos[tail] - i) % n >= size)
+                for flip in (0, 1):
+                    u, v = (first, last) if not flip else (last, first)
+                    gain = left - (dist(lead, u) + dist(v, tail) - dist(lead, tail))
+                    g = np.flatnonzero(ok & (gain > 1e-12))
+                    found.append(np.stack([gain[g], i[g], np.full(len(g), size), pos[lead[g]], np.full(len(g), flip)], axis=1))
+    found = np.concatenate(found)
+    if not len(found):
+        return False, order
+    used = np.zeros(n, bool)
+    gone, put = np.zeros(n, bool), {}
+    for _, i, size, lead, flip in found[np.argsort(-found[:, 0], kind="stable")].tolist():
+        own = (np.arange(int(i) - 1, int(i) + int(size) + 1)) % n
+        ends = np.array([int(lead), (int(lead) + 1) % n])
+        if used[own].any() or used[ends].any():
+            continue
+        used[own] = used[ends] = True
+        seg = own[1:-1]
+        gone[seg] = True
+        put[int(lead)] = seg[::-1] if flip else seg
+    out = []
+    for p in range(n):
+        if not gone[p]:
+            out.append(p)
+        if p in put:
+            out += put[p].tolist()
+    return bool(put), order[np.array(out)]
+
+
 def by_tour(stops: DataFrame, split: Column | None = None) -> DataFrame:
     """A tour per fence, all columns of stops kept; or per split cell with the pieces joined (fid, seq, lat, lon)."""
     if split is None:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracover.functions import geo
+from terracover.operators.grouping import highest_before
 
 
 def cluster_counts(pairs: DataFrame, clusters: DataFrame, cluster: str = "cid", point: str = "id") -> DataFrame:
@@ -28,11 +29,9 @@ def best(counts: DataFrame) -> DataFrame:
 def worst(counts: DataFrame, order: str) -> DataFrame:
     """(worst, clusters): least size and its multiplicity among clusters below the best seen before them; 0 if none.
 
-    The order is part of the statistic. A running maximum needs one order over all clusters, so this
-    runs on per-cluster counts only.
+    The order is part of the statistic: a running maximum, in buckets of the order.
     """
-    before = F.max("n_all").over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    below = counts.withColumn("before", before).where("n_all < before").groupBy("n_all").agg(F.count("*").alias("n"))
+    below = highest_before(counts, order, "n_all", "before").where("n_all < before").groupBy("n_all").agg(F.count("*").alias("n"))
     return below.agg(F.min(F.struct("n_all", "n")).alias("m")).select(F.coalesce("m.n_all", F.lit(0)).alias("worst"), F.coalesce("m.n", F.lit(0)).alias("clusters"))
 
 

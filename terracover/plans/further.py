@@ -10,6 +10,7 @@ from terracover.functions import geo, props, s2
 from terracover.operators import bootstrap, client, cover, formats, plugins, polygons, render
 from terracover.operators.grouping import dealt
 from terracover.operators.joins import pip_join, radius_join
+from terracover.plans import s2sql
 from terracover.plans.registry import Views, inside, query
 from terracover.sources import readers
 from terracover.streaming import live
@@ -157,8 +158,8 @@ def q_area_stats(v: Views):
 def q_clu_dispatch(v: Views):
     """Clusters of every fence per mode."""
     out = None
-    for mode in ("fastest", "fast", "honeycomb"):
-        one = engine.clusters(v.spawnpoint, v.edge, engine.Args(min_points=3, cluster_mode=mode, density=48)).withColumn("mode", F.lit(mode))
+    for mode in engine.CLUSTER_MODES:
+        one = engine.clusters(v.spawnpoint, v.edge, engine.Args(min_points=3, cluster_mode=mode)).withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("mode", "fid").agg(F.count("*").alias("clusters"))
 
@@ -200,11 +201,10 @@ def q_cand_s2(v: Views):
 
 @query()
 def q_cand_honeycomb(v: Views):
-    tiles = bootstrap.by_radius(v.edge, 70.0).withColumn("cid", F.col("fid") * 100_000 + F.col("seq"))
-    return radius_join(v.spawnpoint, tiles, 70.0, ["id"], ["cid"]).groupBy("cid").agg(F.count("*").alias("n"))
+    return _candidates(v, lambda y, x: next(cover.candidates(y, x, 70.0, "honeycomb")))
 
 
-@query()
+@query("spawnpoint cluster", f"SELECT {s2sql.signed(s2sql.cell(17))} AS cell, n FROM ({s2sql.around('SELECT * FROM spawnpoint', 'SELECT * FROM cluster', 17, 1)})")
 def q_cell_hash_join(v: Views):
     return cover.s2_block_cover(v.spawnpoint, v.cluster.select(s2.cell(F.col("lat"), F.col("lon"), 17).alias("cell")), 17, 3, 1)
 
@@ -215,7 +215,7 @@ def q_s2_polygons(v: Views):
     return ids.select(s2.unsigned(F.col("cell")).alias("cell"), s2.corners(F.col("cell")).alias("corners"))
 
 
-@query()
+@query("gym", f"SELECT CAST({s2sql.cell(15)} AS VARCHAR) AS cell, n FROM ({s2sql.around('SELECT * FROM gym', 'SELECT * FROM gym', 15, 7)})")
 def q_s2_cell_coverage(v: Views):
     ids = v.gym.select("id", s2.cell(F.col("lat"), F.col("lon"), 15).alias("cell"))
     near = cover.s2_block_cover(v.gym, ids, 15, 15, 1)
@@ -266,7 +266,7 @@ def q_live_counts(v: Views):
     return out.select("fid", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
 
 
-# One undivided region of about the published benchmark's density; at sf0.1 100,000 points.
+# One undivided region; at sf0.1 100,000 points, four to a disc.
 
 
 @query()

@@ -5,9 +5,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from terracover import engine
 from terracover.functions import geo, geohash, s2
 from terracover.operators import bootstrap, client, cover, formats, plugins, routing, stats
-from terracover.operators.joins import in_any_fence, nearest_pairs, pip_join, radius_join
+from terracover.operators.grouping import dealt
+from terracover.operators.joins import edge_distances, in_any_fence, nearest_pairs, pip_join, radius_join
+from terracover.plans import s2sql
 from terracover.plans.registry import Views, haversine, inside, query
 
 RADIUS, MIN_POINTS = 70.0, 3
@@ -132,7 +135,7 @@ def q_agg_area(v: Views):
     return stats.area(v.edge)
 
 
-@query()
+@query("spawnpoint", f"SELECT {s2sql.signed('c')} AS cell, count(*) AS n FROM (SELECT {s2sql.cell(15)} AS c FROM ({s2sql.ij('SELECT * FROM spawnpoint')})) GROUP BY c")
 def q_agg_s2_cell_count(v: Views):
     return cover.s2_counts(v.spawnpoint, 15)
 
@@ -168,31 +171,29 @@ def q_clu_fastest(v: Views):
 
 @query()
 def q_clu_fast(v: Views):
-    return cover.greedy_cover(_inside(v), RADIUS, MIN_POINTS, "fast", density=64)
+    return cover.greedy_cover(_inside(v), RADIUS, MIN_POINTS, "fast")
 
 
 @query()
 def q_clu_split(v: Views):
-    return cover.greedy_cover(_inside(v), RADIUS, MIN_POINTS, "fast", split=s2.cell(F.col("lat"), F.col("lon"), 14), density=48)
+    return cover.greedy_cover(_inside(v), RADIUS, MIN_POINTS, "fast", split=s2.cell(F.col("lat"), F.col("lon"), 14))
 
 
 @query()
 def q_clu_max_clusters(v: Views):
-    return cover.greedy_cover(_inside(v), RADIUS, MIN_POINTS, "fast", max_clusters=10, density=48)
+    return cover.greedy_cover(_inside(v), RADIUS, MIN_POINTS, "fast", max_clusters=10)
 
 
 @query()
 def q_clu_missing(v: Views):
-    return cover.greedy_cover(_inside(v), RADIUS, 1, "fast", density=32)
+    return cover.greedy_cover(_inside(v), RADIUS, 1, "fast")
 
 
 @query()
 def q_clu_center(v: Views):
-    found = cover.fastest_cover(_inside(v), RADIUS, MIN_POINTS).select((F.col("fid") * (1 << 32) + F.col("cid")).alias("cid"), "lat", "lon")
-    pairs = radius_join(_inside(v), found, RADIUS, ["id"], ["cid"])
-    claims = cover.first_claims(pairs, pairs.groupBy("cid").agg(F.count("*").alias("n_all")))
-    members = claims.join(v.spawnpoint.select("id", F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon")), "id").select("cid", "p_lat", "p_lon")
-    return cover.centred(found, members, RADIUS)
+    inside = _inside(v)
+    found = cover.fastest_cover(inside, RADIUS, MIN_POINTS).select("fid", F.col("cid").alias("seq"), "lat", "lon")
+    return engine.centred(found, inside, RADIUS)
 
 
 @query("spawnpoint cluster", over(COUNTS, "SELECT id, min(c.cid) AS cid FROM (SELECT v.id, max(n_all) AS top FROM cov v JOIN cnt USING (cid) GROUP BY v.id) m JOIN cov c USING (id) JOIN cnt k ON k.cid = c.cid AND k.n_all = m.top GROUP BY id"))
@@ -200,9 +201,9 @@ def q_clu_first_claims(v: Views):
     return cover.first_claims(_pairs(v), _counts(v))
 
 
-@query()
+@query("spawnpoint edge", s2sql.block_counts(f"SELECT DISTINCT id, lat, lon FROM ({inside('spawnpoint')})", 17, 3, MIN_POINTS))
 def q_clu_s2(v: Views):
-    return cover.s2_block_cover(v.spawnpoint, bootstrap.by_s2(v.edge, 17, 3), 17, 3, MIN_POINTS)
+    return cover.s2_block_cover(in_any_fence(v.spawnpoint, v.edge), bootstrap.by_s2(v.edge, 17, 3), 17, 3, MIN_POINTS)
 
 
 @query("spawnpoint cluster", over(NEAR, "SELECT cid, count(*) AS n FROM near GROUP BY cid HAVING count(*) >= 3"))
@@ -225,17 +226,36 @@ def q_greedy_missing(v: Views):
     return v.spawnpoint.select("id").join(_pairs(v), "id", "left_anti")
 
 
-@query()
-def q_proj_plane(v: Views):
+def _on_plane(v: Views, out):
+    """out(plane, lat, lon) of every stop on its fence's tangent plane."""
+    import pandas as pd
+
     def run(key, g):
-        import numpy as np
-        import pandas as pd
+        g = g.sort_values("seq")
+        a, b = out(cover.Plane(g["lat"].to_numpy(float), g["lon"].to_numpy(float), RADIUS), g["lat"].to_numpy(float), g["lon"].to_numpy(float))
+        return pd.DataFrame({"fid": key[0], "seq": g["seq"].to_numpy(), "a": a, "b": b})
 
-        plane = cover.Plane(g["lat"].to_numpy(float), g["lon"].to_numpy(float), RADIUS)
-        lat, lon = plane.reverse(plane.forward(g["lat"], g["lon"]))
-        return pd.DataFrame({"fid": key[0], "n": [len(g)], "error": [float(np.round(np.abs(lat - g["lat"]).max() + np.abs(lon - g["lon"]).max(), 9))]})
+    return dealt(v.route_point.select("fid", "seq", "lat", "lon"), "fid").groupBy("fid").applyInPandas(run, "fid long, seq long, a double, b double")
+
+
+_FLAT = "(40408299984659.15/40680631590769.0)"
+_PLANE = f"""p AS (SELECT fid, seq, {_N}*cos(radians(lat))*cos(radians(lon)) AS x, {_N}*cos(radians(lat))*sin(radians(lon)) AS y, {_N}*{_FLAT}*sin(radians(lat)) AS z FROM route_point),
+m AS (SELECT fid, degrees(atan2(sum(z), {_FLAT}*sqrt(sum(x)*sum(x)+sum(y)*sum(y)))) AS lat, degrees(atan2(sum(y), sum(x))) AS lon FROM p GROUP BY fid),
+c AS (SELECT fid, cos(radians(lat)) AS cp, sin(radians(lat)) AS sp, cos(radians(lon)) AS cq, sin(radians(lon)) AS sq, {_N} AS n FROM m),
+o AS (SELECT *, n*(cp*cp + {_FLAT}*sp*sp) AS height, n*sp*cp*({_FLAT} - 1) AS north FROM c),
+xy AS (SELECT fid, seq, (y*cq - x*sq)*s/u AS e, ((z*cp - x*sp*cq - y*sp*sq)*s - north)/u AS n FROM (SELECT *, height/(x*cp*cq + y*cp*sq + z*sp) AS s, 0.5*6356752.314245179*sin(2*70/6356752.314245179) AS u FROM p JOIN o USING (fid)))"""
+
+
+@query("route_point", over(_PLANE, "SELECT fid, seq, round(e, 6) AS a, round(n, 6) AS b FROM xy"))
+def q_proj_plane(v: Views):
+    """Stops on the plane: east and north in radii."""
+    return _on_plane(v, lambda plane, lat, lon: plane.forward(lat, lon).T).select("fid", "seq", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
-    return v.route_point.select("fid", "lat", "lon").groupBy("fid").applyInPandas(run, "fid long, n long, error double")
+
+@query("route_point", "SELECT fid, seq, round(lat, 6) AS a, round(lon, 6) AS b FROM route_point")
+def q_proj_reverse(v: Views):
+    """Stops taken to the plane and back."""
+    return _on_plane(v, lambda plane, lat, lon: plane.reverse(plane.forward(lat, lon))).select("fid", "seq", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"))
 
 
 # --- tiling ---------------------------------------------------------------------------------------
@@ -251,11 +271,14 @@ def q_boot_s2(v: Views):
     return bootstrap.by_s2(v.edge, 17, 3)
 
 
-@query("gym edge", "SELECT g.id, round(min(2*6371008.8*asin(least(1.0, sqrt(pow(sin(radians(fy-g.lat)/2),2)+cos(radians(g.lat))*cos(radians(fy))*pow(sin(radians(fx-g.lon)/2),2))))), 3) AS metres FROM (SELECT g.id, g.lat, g.lon, e.ey1 + t*(e.ey2-e.ey1) AS fy, e.ex1 + t*(e.ex2-e.ex1) AS fx FROM (SELECT g.id, g.lat, g.lon, e.*, greatest(0.0, least(1.0, ((g.lon-e.ex1)*(e.ex2-e.ex1)+(g.lat-e.ey1)*(e.ey2-e.ey1))/((e.ex2-e.ex1)*(e.ex2-e.ex1)+(e.ey2-e.ey1)*(e.ey2-e.ey1)))) AS t FROM gym g CROSS JOIN edge e WHERE e.fid = 7) g, LATERAL (SELECT g.ey1, g.ey2, g.ex1, g.ex2) e) g GROUP BY g.id")
+_FOOT = "greatest(0.0, least(1.0, ((g.lon-e.ex1)*(e.ex2-e.ex1)+(g.lat-e.ey1)*(e.ey2-e.ey1))/((e.ex2-e.ex1)*(e.ex2-e.ex1)+(e.ey2-e.ey1)*(e.ey2-e.ey1))))"
+_FEET = f"SELECT id, fid, lat, lon, ey1 + t*(ey2-ey1) AS fy, ex1 + t*(ex2-ex1) AS fx FROM (SELECT g.id, g.lat, g.lon, e.fid, e.ex1, e.ey1, e.ex2, e.ey2, {_FOOT} AS t FROM gym g CROSS JOIN edge e)"
+
+
+@query("gym edge", f"SELECT id, fid, round(min(m), 3) AS metres FROM (SELECT id, fid, 2*6371008.8*asin(least(1.0, sqrt(pow(sin(radians(fy-lat)/2),2)+cos(radians(lat))*cos(radians(fy))*pow(sin(radians(fx-lon)/2),2)))) AS m FROM ({_FEET})) WHERE m <= 300 GROUP BY id, fid")
 def q_seg_distance(v: Views):
-    e = v.edge.where("fid = 7").agg(F.collect_list(F.struct("ex1", "ey1", "ex2", "ey2")).alias("edges"))
-    d = F.array_min(F.transform("edges", lambda x: geo.segment_distance(F.col("lat"), F.col("lon"), x["ey1"], x["ex1"], x["ey2"], x["ex2"])))
-    return v.gym.crossJoin(F.broadcast(e)).select("id", F.round(d, 3).alias("metres"))
+    """Distances to the sides of every fence within 300 m of a point."""
+    return edge_distances(v.gym, v.edge, ["id"], 300.0).select("id", "fid", F.round("metres", 3).alias("metres"))
 
 
 # --- routing --------------------------------------------------------------------------------------
@@ -290,7 +313,7 @@ def q_sort_point_count(v: Views):
     return routing.by_point_count(stops).select("cid", "seq")
 
 
-@query()
+@query("stop_in_fence", f"SELECT fid, row_number() OVER (PARTITION BY fid ORDER BY c, pk) - 1 AS seq, lat, lon FROM (SELECT fid, pk, lat, lon, {s2sql.cell(30)} AS c FROM ({s2sql.ij('SELECT * FROM stop_in_fence')}))")
 def q_sort_s2(v: Views):
     return routing.by_s2(_stops(v))
 
@@ -315,10 +338,10 @@ def q_route_join(v: Views):
     return routing.by_tour(_stops(v), s2.cell(F.col("lat"), F.col("lon"), 15))
 
 
-@query("route_point", f"SELECT a.fid, a.seq AS a, b.seq AS b, CAST(round({haversine('a', 'b')} * (6372800.0/6371008.8)) AS BIGINT) AS metres FROM route_point a JOIN route_point b ON a.fid = b.fid WHERE a.fid < 3")
+@query("route_point", f"SELECT a.fid, a.seq AS a, b.seq AS b, CAST(round({haversine('a', 'b')} * (6372800.0/6371008.8)) AS BIGINT) AS metres FROM route_point a JOIN route_point b ON a.fid = b.fid")
 def q_dist_matrix(v: Views):
-    a = v.route_point.where("fid < 3").select("fid", F.col("seq").alias("a"), "lat", "lon")
-    b = v.route_point.where("fid < 3").select("fid", F.col("seq").alias("b"), F.col("lat").alias("y"), F.col("lon").alias("x"))
+    a = v.route_point.select("fid", F.col("seq").alias("a"), "lat", "lon")
+    b = v.route_point.select("fid", F.col("seq").alias("b"), F.col("lat").alias("y"), F.col("lon").alias("x"))
     return a.join(b, "fid").select("fid", "a", "b", F.round(geo.haversine(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"), geo.MATRIX_RADIUS)).cast("long").alias("metres"))
 
 
@@ -388,9 +411,13 @@ def q_to_text(v: Views):
     return formats.rings(v.edge).where("ring = 0").select("fid", formats.to_text(F.col("points")).alias("t"))
 
 
-@query("fence", "SELECT fid, 'ST_CONTAINS(ST_GeomFromGeoJSON(''{\"type\":\"Polygon\",\"coordinates\":[' || printf('[[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f]]', x0, y0, x1, y0, x1, y1, x0, y1, x0, y0) || ']}'', 2, 0), POINT(lon, lat))' AS sql FROM fence WHERE fid%2=0")
+_BOX = "printf('[[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f],[%.6f,%.6f]]', x0, y0, x1, y0, x1, y1, x0, y1, x0, y0)"
+
+
+@query("ring", "SELECT fid, 'ST_CONTAINS(ST_GeomFromGeoJSON(''{\"type\":\"Polygon\",\"coordinates\":[' || string_agg(" + _BOX + ", ',' ORDER BY ring) || ']}'', 2, 0), POINT(lon, lat))' AS sql FROM ring GROUP BY fid")
 def q_gen_sql_st_contains(v: Views):
-    return formats.sql_contains(formats.rings(v.edge)).where("fid % 2 = 0")
+    """Every fence, holes as further rings."""
+    return formats.sql_contains(formats.rings(v.edge))
 
 
 @query("fence geofence", "SELECT row_number() OVER (ORDER BY f.name) AS id, f.name, p.name AS \"group\", fid%2=0 AS single FROM fence f JOIN geofence p ON f.parent = p.id")
@@ -446,6 +473,13 @@ def q_s2_cells(v: Views):
     return rows.select("id", s2.unsigned(F.col("leaf")).alias("leaf"), s2.unsigned(s2.parent_of(F.col("leaf"), 15)).alias("cell"), s2.center(s2.parent_of(F.col("leaf"), 15)).alias("center"), s2.corners(s2.parent_of(F.col("leaf"), 15)).alias("corners"))
 
 
+@query("gym", f"SELECT id, CAST({s2sql.cell(30)} AS VARCHAR) AS leaf, CAST({s2sql.cell(15)} AS VARCHAR) AS cell FROM ({s2sql.ij('SELECT * FROM gym')})")
+def q_s2_ids(v: Views):
+    """Leaf cells and their ancestors."""
+    rows = v.gym.select("id", s2.cell(F.col("lat"), F.col("lon"), 30).alias("leaf"))
+    return rows.select("id", s2.unsigned(F.col("leaf")).alias("leaf"), s2.unsigned(s2.parent_of(F.col("leaf"), 15)).alias("cell"))
+
+
 @query()
 def q_s2_cover_rect(v: Views):
     return v.spark.createDataFrame([(int(c),) for c in s2.cover_rect(40.0, -74.0, 40.04, -73.96, 15, 100_000)], "cell long").select(s2.unsigned(F.col("cell")).alias("cell"))
@@ -456,7 +490,7 @@ def q_s2_circle_coverage(v: Views):
     return v.gym.select("id", F.explode(s2.cells_within(F.col("lat"), F.col("lon"), 200.0, 17)).alias("cell"))
 
 
-@query()
+@query("gym", over(f"g AS (SELECT id, enabled, {s2sql.cell(15)} AS c FROM ({s2sql.ij('SELECT * FROM gym')}))", f"SELECT {s2sql.signed('c')} AS cell, id FROM g WHERE c IN (SELECT c FROM g WHERE enabled = 1)"))
 def q_flt_s2_ids(v: Views):
     wanted = v.gym.where("enabled = 1").select(s2.cell(F.col("lat"), F.col("lon"), 15).alias("cell"))
     return v.gym.select("id", s2.cell(F.col("lat"), F.col("lon"), 15).alias("cell")).join(wanted, "cell", "left_semi")
@@ -545,7 +579,7 @@ def q_plugin_routing(v: Views):
 
 def flagship(v: Views):
     """Points in fences, covered greedily, toured and scored per fence: one pass over the points."""
-    found = cover.greedy_cover(_inside(v), RADIUS, MIN_POINTS, "fast", density=64)
+    found = cover.greedy_cover(_inside(v), RADIUS, MIN_POINTS, "fast")
     tours = routing.by_tour(found.select("fid", F.col("cid").alias("seq"), "lat", "lon", "points", "covered"))
     sizes = [F.max("points").alias("points"), F.count("*").alias("clusters"), F.max("covered").alias("covered")]
     out = stats.tour(tours, "fid", also=sizes)
