@@ -1,10 +1,12 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells.
 
 Only vectors of one label are compared. Equal vectors are first folded into one with a weight. Centroids
-are fitted on at most `fit_rows` vectors (chosen by a hash of the vector); every vector is assigned.
+are fitted on at most `fit_rows` vectors (chosen by a hash of the vector); every vector is assigned. Their
+number grows with the largest label, up to `max_cells`, which bounds what is broadcast.
 A vector is at home in the cell of its nearest centroid and is sent to each further cell in which a
 vector within the threshold could be at home: x at home in a means x.a >= x.c for all c, and |x - y| is
-at most d = sqrt(2 - 2 * least), so y.a >= y.h - d |a - h| for y's own home h. No link is lost.
+at most d = sqrt(2 - 2 * least), so y.a >= y.c - d |a - c| for all c. No link is lost. Of two cells only
+one gets the other's vectors, so that a pair meets once, and one product decides for both its ends.
 
 Cells larger than `block` are dealt out in block x block pieces. A piece counts links per vector and
 sends on a spanning forest of its links, never all pairs. The least vec_id of a group is kept.
@@ -12,7 +14,8 @@ sends on a spanning forest of its links, never all pairs. The least vec_id of a
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, rows with a
 null label and rows with a null vec_id link with nothing and are their own group; vectors of different
 length never link; repeated rows count as vectors of their own (they link with each other), but share
-their group's vec_id; extra columns are ignored.
+their group's vec_id; rows of one vec_id with other labels or vectors are told apart; vectors are scaled
+before their length is taken, so that no finite one is too large or too small; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +29,13 @@ from pyspark.sql import functions as F
 
 from terracover.llm.common import components, stored
 
+#: Cosines this near to the threshold are summed again in one fixed order.
+CLOSE = 1e-12
+
 
 def _unit(rows) -> np.ndarray:
-    x = np.array([np.asarray(r, np.float64) for r in rows])
+    x = np.stack([np.asarray(r, np.float64) for r in rows])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
@@ -44,103 +51,135 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def _valid(vectors: DataFrame) -> DataFrame:
+def _typed(vectors: DataFrame) -> DataFrame:
+    """vec_id, label, e (in the table's own precision) and good: whether the vector may link."""
+    kind = dict(vectors.dtypes)["embedding"]
+    e = F.col("embedding") if kind == "array<float>" else F.col("embedding").cast("array<double>")
+    out = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), e.alias("e"))
     e = F.col("e")
-    norm = F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)
-    return (
-        vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("e"))
-        .where("vec_id is not null and label is not null and e is not null and size(e) > 0")
-        .where(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-        .where((norm > 0) & (norm < float("inf")))
-    )
-
-
-def links(vectors: DataFrame, least: float = 0.98, fit_rows: int = 20_000, cell_rows: int = 2000, max_cells: int = 1024, block: int = 2048) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Folded vectors (k1, k2, id, w, label, cells, e), their link counts (id, n) and linking edges (u, v)."""
-    valid = _valid(vectors)
-    key = F.array_join(F.transform("e", lambda x: x.cast("string")), " ")
-    keyed = valid.select("vec_id", "label", "e", F.xxhash64("label", key).alias("k1"), F.xxhash64(key, "label").alias("k2"))
-    folded = keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("e").alias("e"))
-    folded = stored(folded, "vectors")
-    n = folded.count()
-    sample = folded.select("k1", "e").orderBy("k1").limit(fit_rows).toPandas()
-    shared = {}
-    for dim, part in sample.groupby(sample["e"].map(len)) if len(sample) else ():
-        x = _unit(part["e"])
-        shared[dim] = kmeans(x, max(1, min(max_cells, n // cell_rows, len(x))))
-    centroids = folded.sparkSession.sparkContext.broadcast(shared)
-    reach = math.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(e) > 0) & finite & F.exists(e, lambda x: x != 0)
+    return out.withColumn("good", F.coalesce(good, F.lit(False)))
+
+
+def _cells(shared, reach: float):
+    """The home cell of each vector, then the further cells to which it is sent."""
 
     def cells(e: pd.Series) -> pd.Series:
         out = np.empty(len(e), object)
         size = e.map(len).to_numpy()
         for dim in np.unique(size):
             at = np.flatnonzero(size == dim)
-            c = centroids.value.get(int(dim))
+            c = shared.value.get(int(dim))
             if c is None:  # a length that the sample does not hold: one cell
                 out[at] = [[0]] * len(at)
                 continue
-            far = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))
+            far = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) * reach + 1e-9
+            k = np.arange(len(c))
             dots = _unit(e.iloc[at]) @ c.T
-            home = np.argmax(dots, axis=1)
-            near = dots >= dots[np.arange(len(at)), home][:, None] - reach * far[home]
+            best = np.argsort(-dots, axis=1, kind="stable")[:, :8]  # the nearest centroids rule out most cells
+            home = best[:, 0]
+            near = (k[None] < home[:, None]) == ((k[None] + home[:, None]) % 2 == 0)
+            for b in best.T:
+                near &= dots >= dots[np.arange(len(at)), b][:, None] - far[b]
             near[np.arange(len(at)), home] = False
             for i, h, row in zip(at, home, near, strict=True):
                 out[i] = [int(h), *np.flatnonzero(row).tolist()]
         return pd.Series(out)
 
     cells.__annotations__ = {"e": pd.Series, "return": pd.Series}
-    assigned = stored(folded.withColumn("cells", F.pandas_udf(cells, "array<int>")(F.col("e"))), "cells")
-    spread = assigned.select("id", "w", "label", F.size("e").alias("dim"), "e", F.posexplode("cells").alias("at", "cell")).withColumn("home", F.col("at") == 0).drop("at")
-    keys = ["label", "dim", "cell"]
-    size = spread.groupBy(keys).agg(F.count("*").alias("n"), F.count_if("home").alias("h")).where("n > 1 and h > 0")
-    dealt = spread.join(size.select(*keys, F.ceil(F.col("n") / block).cast("int").alias("nj"), F.ceil(F.col("h") / block).cast("int").alias("ni")), keys)
-    x = F.xxhash64("id")
-    own_i, own_j = F.pmod(x, F.col("ni")).cast("int"), F.pmod(x, F.col("nj")).cast("int")
-    none = F.expr("cast(array() as array<struct<i:int,j:int,role:int>>)")
-    rows = F.when(F.col("home"), F.transform(F.sequence(F.lit(0), F.col("nj") - 1), lambda j: F.struct(own_i.alias("i"), j.alias("j"), F.lit(1).alias("role")))).otherwise(none)
-    cols = F.transform(F.sequence(F.lit(0), F.col("ni") - 1), lambda i: F.struct(i.alias("i"), own_j.alias("j"), F.lit(2).alias("role")))
-    pieces = dealt.select(*keys, "id", "w", "e", F.inline(F.concat(rows, cols)))
-
-    def compare(b: pd.DataFrame) -> pd.DataFrame:
-        a, c = b[b["role"] == 1], b[b["role"] == 2]
+    return F.pandas_udf(cells, "array<int>")
+
+
+def _pieces(sent: DataFrame, keys: list[str], block: int) -> DataFrame:
+    """Rows of sent dealt to pieces (keys, i, j) with a role: 1 row side, 2 column side, 3 both.
+
+    Vectors at home are cut into ni blocks and meet each other in the pieces i <= j < ni; vectors sent to
+    the cell are cut into nk blocks, which all blocks at home meet. One block at home meets the first
+    block of those in the same piece in which it meets itself.
+    """
+    size = sent.groupBy(keys).agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("p")).where("h > 0 and h + p > 1")
+    parts = lambda c: F.ceil(F.col(c) / block).cast("int")
+    dealt = sent.join(size.select(*keys, parts("h").alias("ni"), parts("p").alias("nk")), keys)
+    ni, nk, x = F.col("ni"), F.col("nk"), F.xxhash64("key")
+    own, at = F.pmod(x, ni).cast("int"), F.when(nk > 0, F.pmod(x, nk)).cast("int")
+    piece = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+    upto = lambda n: F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda k: k < n)
+    role = lambda j: F.when(j == own, 3).when(j > own, 1).otherwise(2)
+    among = F.transform(upto(ni), lambda j: piece(F.least(own, j), F.greatest(own, j), role(j)))
+    first = F.when(ni == 1, F.lit(0)).otherwise(ni)  # where the blocks of vectors sent here begin
+    with_sent = F.transform(F.filter(upto(nk), lambda k: first + k > 0), lambda k: piece(own, first + k, F.lit(1)))
+    as_sent = F.transform(upto(ni), lambda i: piece(i, first + at, F.lit(2)))
+    return dealt.select(*keys, "key", "w", "e", F.inline(F.when(F.col("home"), F.concat(among, with_sent)).otherwise(as_sent)))
+
+
+def _compare(least: float, rows: int = 512):
+    """Links of one piece: (key, n, root), n the links' weight and root the least key reached within the piece."""
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        b = b.sort_values("key")
+        role = b["role"].to_numpy()
+        a, c = b[role != 2], pd.concat([b[role == 3], b[role == 2]])
+        own = int((role == 3).sum())
         if not len(a) or not len(c):
-            return pd.DataFrame({"id": [], "n": [], "root": []})
-        ia, ic = a["id"].to_numpy(), c["id"].to_numpy()
-        hit = (_unit(a["e"]) @ _unit(c["e"]).T >= least) & (ia[:, None] != ic[None, :])
-        counts = hit @ c["w"].to_numpy()
-        ra, rc = np.flatnonzero(hit.any(axis=1)), np.flatnonzero(hit.any(axis=0))
+            return pd.DataFrame({"key": [], "n": [], "root": []})
+        xa, xc = _unit(a["e"]), _unit(c["e"])
+        hit = np.empty((len(a), len(c)), bool)
+        for k in range(0, len(a), rows):
+            s = xa[k : k + rows] @ xc.T
+            for i, j in zip(*np.nonzero(np.abs(s - least) <= CLOSE), strict=True):
+                s[i, j] = (xa[k + i] * xc[j]).sum()
+            hit[k : k + rows] = s >= least
+        if own:
+            hit[:, :own] &= np.arange(len(a))[:, None] < np.arange(own)[None]  # a pair of one block once
+        ia, ic = a["key"].to_numpy(), c["key"].to_numpy()
+        na, nc = hit @ c["w"].to_numpy(), a["w"].to_numpy() @ hit
+        ra, rc = np.flatnonzero(na), np.flatnonzero(nc)
         hit = hit[np.ix_(ra, rc)]
-        la, lc = ia[ra].copy(), ic[rc].copy()
-        big = np.iinfo(np.int64).max
-        while len(ra):  # least id reachable within the piece
-            na = np.minimum(la, np.where(hit, lc[None, :], big).min(axis=1))
-            nc = np.minimum(lc, np.where(hit, na[:, None], big).min(axis=0))
-            same = (na == la).all() and (nc == lc).all()
-            la, lc = na, nc
-            if same:
+        both, where = np.unique(np.r_[ia[ra], ic[rc]], return_inverse=True)
+        wa, wc = where[: len(ra)], where[len(ra) :]
+        label, big = np.arange(len(both)), len(both)
+        while len(both):
+            old = label.copy()
+            np.minimum.at(label, wa, np.where(hit, label[wc][None], big).min(axis=1))
+            np.minimum.at(label, wc, np.where(hit, label[wa][:, None], big).min(axis=0))
+            if (label == old).all():
                 break
-        mine = pd.DataFrame({"id": ia[ra], "n": counts[ra], "root": la})
-        theirs = pd.DataFrame({"id": ic[rc], "n": 0, "root": lc})
-        return pd.concat([mine, theirs[theirs["id"] != theirs["root"]]])
+        n = np.bincount(wa, na[ra], len(both)) + np.bincount(wc, nc[rc], len(both))
+        return pd.DataFrame({"key": both, "n": n.astype(np.int64), "root": both[label]})
 
-    found = pieces.groupBy(*keys, "i", "j").applyInPandas(compare, "id long, n long, root long")
-    found = stored(found, "links")
-    return keyed, folded, found
+    return run
+
+
+def links(vectors: DataFrame, least: float = 0.98, fit_rows: int = 20_000, cell_rows: int = 4096, max_cells: int = 4096, block: int = 4096) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Valid rows (vec_id, k1, k2), folded vectors (k1, k2, key, id, w, label, e) and their links (key, n, root)."""
+    valid = _typed(vectors).where("good")
+    keyed = valid.select("vec_id", "label", "e", F.xxhash64("label", "e").alias("k1"), F.xxhash64("e", "label").alias("k2"))
+    folded = keyed.groupBy("k1", "k2").agg(F.min("vec_id").alias("id"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("e").alias("e"))
+    folded = stored(folded.withColumn("key", F.monotonically_increasing_id()), "vectors")
+    most = folded.groupBy("label", F.size("e").alias("dim")).count().agg(F.max("count")).first()[0] or 0
+    sample = folded.select("k1", "e").orderBy("k1").limit(fit_rows).toPandas()
+    centroids = {}
+    for dim, part in sample.groupby(sample["e"].map(len)) if len(sample) else ():
+        x = _unit(part["e"])
+        centroids[dim] = kmeans(x, max(1, min(max_cells, -(-most // cell_rows), len(x))))
+    shared = folded.sparkSession.sparkContext.broadcast(centroids)
+    found = _cells(shared, math.sqrt(max(0.0, 2 - 2 * least)))(F.col("e"))
+    sent = folded.select("key", "w", "label", F.size("e").alias("dim"), "e", F.posexplode(found).alias("at", "cell")).withColumn("home", F.col("at") == 0).drop("at")
+    keys = ["label", "dim", "cell"]
+    out = _pieces(sent, keys, block).groupBy(*keys, "i", "j").applyInPandas(_compare(least), "key long, n long, root long")
+    return keyed.select("vec_id", "k1", "k2"), folded, stored(out, "links")
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.98, **options) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
     keyed, folded, found = links(vectors, least, **options)
-    counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    roots = components(found.select(F.col("id").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("id"), "root")
-    known = folded.select("k1", "k2", "id", "w").join(counts, "id", "left").join(roots, "id", "left")
-    known = known.select("k1", "k2", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    linked = keyed.select("vec_id", "k1", "k2").join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
-    ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
-    e = F.col("embedding").cast("array<double>")
-    norm = F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x)
-    good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size(e) > 0) & F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (norm > 0) & (norm < float("inf")), F.lit(False))
-    alone = ids.where(~good).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    counts = found.groupBy("key").agg(F.sum("n").alias("n"))
+    roots = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("key"), "root")
+    known = folded.select("k1", "k2", "key", "id", "w").join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    named = known.groupBy("root").agg(F.min("id").alias("component_id"))
+    known = known.join(named, "root").select("k1", "k2", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    linked = keyed.join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
+    alone = _typed(vectors).where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
