@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracover.functions import geo, s2
-from terracover.operators.grouping import dealt
+from terracover.operators.grouping import dealt, settled
+from terracover.operators.joins import radius_join
 
 IDENTITY_LEVEL = 20
 DENSITY = {"fast": 512, "balanced": 1024}
@@ -63,26 +64,21 @@ def meeting_points(lat: np.ndarray, lon: np.ndarray, metres: float) -> Iterator[
     yield lat, lon
     where = np.unique(np.stack([lat, lon], axis=1), axis=0)
     y, x = where[:, 0], where[:, 1]
-    r = metres * (1 - 1e-7) / geo.MEAN_RADIUS
+    rim = (2 * math.sin(metres * (1 - 1e-7) / geo.MEAN_RADIUS / 2)) ** 2  # squared chord
     step = max(1, CHUNK // 256)
     for a in range(0, len(y), step):
         ptr, other = disc_members(y[a : a + step], x[a : a + step], y, x, 2 * metres * (1 - 1e-7))
         own = np.repeat(np.arange(a, a + len(ptr) - 1), np.diff(ptr))
         own, other = own[other > own], other[other > own]
-        # the rim's two meeting points in the plane that touches the sphere between the two points
-        p = _unit_vectors(y[own], x[own])
-        q = _unit_vectors(y[other], x[other])
-        mid = p + q
-        length = np.linalg.norm(mid, axis=1, keepdims=True)
-        mid, half = mid / length, np.linalg.norm(q - p, axis=1) / 2
-        along = np.cos(r) / (length[:, 0] / 2)
-        ok = (along <= 1) & (half > 1e-12)
-        side = np.cross(p[ok], q[ok])
-        side = side / np.linalg.norm(side, axis=1, keepdims=True)
-        height = np.sqrt(np.maximum(0, 1 - along[ok] ** 2))[:, None]
-        for k in range(0, len(height), CHUNK):
+        p, q = _unit_vectors(y[own], x[own]), _unit_vectors(y[other], x[other])
+        half = ((q - p) ** 2).sum(axis=1) / 4
+        away = (rim - half - rim * rim / 4) / (1 - half)  # squared sine of the way from the middle to the meeting points
+        ok = away >= 0
+        mid, side, away = (p + q)[ok], np.cross(p, q)[ok], away[ok, None]
+        mid, side = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (mid, side))
+        for k in range(0, len(away), CHUNK):
             for sign in (1, -1):
-                v = mid[ok][k : k + CHUNK] * along[ok][k : k + CHUNK, None] + sign * height[k : k + CHUNK] * side[k : k + CHUNK]
+                v = mid[k : k + CHUNK] * np.sqrt(1 - away[k : k + CHUNK]) + sign * np.sqrt(away[k : k + CHUNK]) * side[k : k + CHUNK]
                 yield np.degrees(np.arctan2(v[:, 2], np.hypot(v[:, 0], v[:, 1]))), np.degrees(np.arctan2(v[:, 1], v[:, 0]))
 
 
@@ -250,7 +246,7 @@ def _gather(ptr: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(ptr[c] - start, n) + np.arange(n.sum()), start
 
 
-def greedy(ptr: np.ndarray, members: np.ndarray, identity: np.ndarray, min_points: int, max_clusters: int = 0) -> list[int]:
+def greedy(ptr: np.ndarray, members: np.ndarray, identity: np.ndarray, min_points: int, max_clusters: int = 0, prune: bool = True) -> list[int]:
     """Candidates in the order of acceptance: most uncovered distinct points first, then most points.
 
     Residuals only fall, so a candidate is re-counted only when its last count is the current level, a
@@ -286,7 +282,7 @@ def greedy(ptr: np.ndarray, members: np.ndarray, identity: np.ndarray, min_point
             else:
                 at, size = at + len(block), min(2 * size, 8192)
         level = min(level - 1, int(left.max(initial=0)))
-    return _pruned(taken, ptr, own, np.arange(distinct), min_points)
+    return _pruned(taken, ptr, own, np.arange(distinct), min_points) if prune else taken
 
 
 def _pruned(taken: list[int], ptr, members, identity, min_points: int) -> list[int]:
@@ -341,6 +337,68 @@ def greedy_cover(points: DataFrame, metres: float, min_points: int = 1, mode: st
     return _groups(points, split).applyInPandas(run, COVER)
 
 
+def _tile_turns(band: Column, side: float) -> Column:
+    """An even number of tiles around the Earth in a band of latitude, none narrower than the band is high."""
+    top = F.least(F.lit(89.0), (F.abs(band.cast("double")) + 1.0) * F.lit(side))
+    return F.greatest(F.lit(2), F.floor(F.lit(180.0) * F.cos(F.radians(top)) / F.lit(side)) * 2).cast("long")
+
+
+def _tile_slot(lon: Column, turns: Column) -> Column:
+    return F.pmod(F.floor(F.pmod(lon, F.lit(360.0)) / F.lit(360.0) * turns), turns)
+
+
+def tiled_cover(points: DataFrame, metres: float, min_points: int = 1, mode: str = "fast", side: float = 0.05, density: int | None = None) -> DataFrame:
+    """(fid, cid, lat, lon): a greedy cover of points (fid, id, lat, lon) for groups that no single task can hold.
+
+    The map is cut into tiles of `side` degrees, far wider than a disc, coloured like a two by two board. Colour
+    after colour, each tile is covered greedily on its own: its discs have their centres in it and count the
+    points, in it or next to it, that no earlier colour's disc has covered. Tiles of one colour never reach the
+    same point. At last discs with too few points of their own go, and with min_points 1 points left over get
+    discs of their own. Not for tiles at a pole.
+    """
+    reach = math.degrees(metres / geo.MEAN_RADIUS) * 1.001
+    if side < 4 * reach:
+        raise ValueError("a tile must be at least two discs wide")
+    own = points.select(F.col("fid").cast("long").alias("fid"), "id", "lat", "lon").where("lat is not null and lon is not null")
+    wide = F.lit(reach) / F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + F.lit(reach))))
+    near = own.select("*", F.explode(F.array_distinct(F.array(*(F.floor((F.col("lat") + k * reach) / F.lit(side)) for k in (0, -1, 1))))).alias("ty"), wide.alias("wide"))
+    turns = _tile_turns(F.col("ty"), side)
+    near = near.select("fid", "id", "lat", "lon", "ty", F.explode(F.array_distinct(F.array(*(_tile_slot(F.col("lon") + k * F.col("wide"), turns) for k in (0, -1, 1))))).alias("tx"), turns.alias("turns"))
+    near = near.withColumn("colour", F.pmod("ty", F.lit(2)) * 2 + F.pmod("tx", F.lit(2)))
+    kind = dict(points.dtypes)["id"]
+
+    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["lat", "lon", "id"])
+        ty, tx, turns = key[1], key[2], int(g["turns"].iloc[0])
+        lat, lon = g["lat"].to_numpy(float), g["lon"].to_numpy(float)
+        at = lambda y, x: (np.floor(y / side) == ty) & (np.floor(x % 360.0 / 360.0 * turns) % turns == tx)
+        _, identity = np.unique(s2.cell_ids(lat, lon, IDENTITY_LEVEL), return_inverse=True)
+        blocks = ((y[k], x[k]) for y, x in candidates(lat, lon, metres, mode, density) for k in (at(y, x),))
+        y, x, ptr, members = _kept(blocks, lat, lon, metres, max(1, min_points))
+        taken = greedy(ptr, members, identity, min_points, prune=False)
+        hit = np.unique(np.concatenate([members[ptr[c] : ptr[c + 1]] for c in taken])) if taken else np.zeros(0, int)
+        discs = pd.DataFrame({"fid": key[0], "id": None, "lat": y[taken], "lon": x[taken]})
+        return pd.concat([discs, pd.DataFrame({"fid": key[0], "id": g["id"].to_numpy()[hit], "lat": np.nan, "lon": np.nan})])
+
+    found = None
+    for colour in range(4):
+        left = near.where(F.col("colour") == colour)
+        if found is not None:
+            left = left.join(found.where("id is not null").select("fid", "id"), ["fid", "id"], "left_anti")
+        one = settled(dealt(left, "fid", "ty", "tx").groupBy("fid", "ty", "tx").applyInPandas(run, f"fid long, id {kind}, lat double, lon double"))
+        found = one if found is None else found.unionByName(one)
+    discs = found.where("id is null").select("fid", F.xxhash64("lat", "lon").alias("cid"), "lat", "lon")
+    cells = own.select("fid", s2.cell(F.col("lat"), F.col("lon"), IDENTITY_LEVEL).alias("cell"), "lat", "lon")
+    pairs = radius_join(cells, discs, metres, ["cell"], ["cid"], on=("fid",)).select("fid", "cell", "cid").distinct()
+    alone = pairs.groupBy("fid", "cell").agg(F.count("*").alias("n"), F.min("cid").alias("cid")).where("n = 1").groupBy("fid", "cid").count().where(F.col("count") >= min_points)
+    kept = discs.join(alone.select("fid", "cid"), ["fid", "cid"], "left_semi")
+    if min_points > 1:
+        return kept
+    rest = cells.join(radius_join(cells, kept, metres, ["cell"], ["cid"], on=("fid",)).select("fid", "cell").distinct(), ["fid", "cell"], "left_anti")
+    rest = rest.groupBy("fid", "cell").agg(F.min(F.struct("lat", "lon")).alias("p")).select("fid", F.col("cell").alias("cid"), "p.lat", "p.lon")
+    return kept.unionByName(rest)
+
+
 # --- unit-disc cover on the tangent plane ---------------------------------------------------------
 
 

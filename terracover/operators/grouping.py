@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,17 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """The same rows, worked out once and checkpointed to the shared folder that spark.checkpoint.dir names (in local mode, else a temporary one)."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or "file://" + tempfile.mkdtemp(prefix="terracover-"))
+    return df.checkpoint()
+
+
 #: Buckets of a whole-table order, at most, and how many bounds are looked through at once.
 BUCKETS, STEP = 1024, 32
 

@@ -284,6 +284,12 @@ def q_clu_wide_balanced(v: Views):
     return cover.greedy_cover(v.wide, 70.0, 3, "balanced")
 
 
+@query()
+def q_clu_wide_tiled(v: Views):
+    """The same region cut into tiles, for regions that no single task can hold."""
+    return cover.tiled_cover(v.wide, 70.0, 3, "fast")
+
+
 @query("wide", "SELECT id FROM wide WHERE lat > 40.1")
 def q_flt_wide(v: Views):
     return v.wide.where("lat > 40.1").select("id")

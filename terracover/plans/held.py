@@ -95,3 +95,12 @@ def q_held_score(v: Views):
     points = _inside(v).dropDuplicates(["id"])
     s = engine.route_stats(engine.clusters(v.spawnpoint, v.edge, a), points, a)
     return s.select((F.col("score") - F.col("clusters") * MIN_POINTS + F.col("covered")).alias("points"), "total")
+
+
+@query("wide", "SELECT count(*) AS covered, 0 AS poor FROM wide")
+def q_held_cover_tiled(v: Views):
+    """Tiles cover every point where one point a disc is enough; where three are, no disc has fewer of its own."""
+    one, three = cover.tiled_cover(v.wide, RADIUS, 1, "fast"), cover.tiled_cover(v.wide, RADIUS, MIN_POINTS, "fast")
+    pairs = radius_join(v.wide, three, RADIUS, ["id"], ["cid"], on=("fid",))
+    poor = stats.cluster_counts(pairs, three).agg(F.count_if(F.col("n_unique") < MIN_POINTS).cast("int").alias("poor"))
+    return radius_join(v.wide, one, RADIUS, ["id"], ["cid"], on=("fid",)).agg(F.countDistinct("id").alias("covered")).crossJoin(poor)
