@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terracover.llm import embed_dedup, langid, media, packing, pii, quality, sentencepiece_bpe, simhash, toxicity, warc
-from terracover.llm.common import spread, table
+from terracover.llm.common import spread, stored, table
 from terracover.llm.oracles import ORACLES
 
 
@@ -34,6 +33,8 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
     return sentencepiece_bpe.digest(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
@@ -50,8 +51,9 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    groups = simhash.near_duplicates(_documents(spark, sf_dir)).select("doc_id", F.col("component_id").cast("long").alias("cluster"))
-    return packing.packed(table(spark, sf_dir, "documents"), clusters=groups)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    groups = simhash.near_duplicates(docs, also=(F.col("source").cast("string").alias("source"),))
+    return packing.packed_rows(stored(groups.select("doc_id", "words", "source", F.col("group").alias("cluster")), "lengths"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -197,16 +197,25 @@ class Codec:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self.known: dict[str, tuple[str, int, str]] = {}
+        self.ids: dict[str, list[int]] = {}
 
     def words(self, text: str | None) -> list[str]:
         """The words of the normalised text: a leading blank, blanks as marks."""
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
+    def ids_of(self, split: list[list[str]]) -> dict[str, list[int]]:
+        """The ids of (at least) these words; remembers them within MEMORY."""
+        if len(self.ids) > MEMORY:
+            self.ids.clear()
+        fresh = [w for w in set().union(*split) if w not in self.ids]
+        if fresh:
+            self.ids.update(zip(fresh, self.vocabulary.encode_words(fresh), strict=True))
+        return self.ids
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text with the end id."""
         split = [self.words(t) for t in texts]
-        kinds = list(dict.fromkeys(w for ws in split for w in ws))
-        ids = dict(zip(kinds, self.vocabulary.encode_words(kinds), strict=True)) if kinds else {}
+        ids = self.ids_of(split)
         return [[i for w in ws for i in ids[w]] + [self.vocabulary.end] for ws in split]
 
     def decode(self, ids: list[int]) -> str:
@@ -241,7 +250,7 @@ def codec(path: str) -> Codec:
     return _CODECS[path]
 
 
-def _blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
+def blocks(texts: list[str | None]) -> Iterator[list[str | None]]:
     held, size = [], 0
     for t in texts:
         held.append(t)
@@ -259,7 +268,7 @@ def digest(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = codec(model_path)
         for b in batches:
-            rows = [x for part in _blocks(list(b)) for x in own.digests(part)]
+            rows = [x for part in blocks(list(b)) for x in own.digests(part)]
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
 
     made = F.pandas_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -272,6 +281,6 @@ def encoded(docs: DataFrame, model_path: str) -> DataFrame:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = codec(model_path)
         for b in batches:
-            yield pd.Series([x for part in _blocks(list(b)) for x in own.encode(part)], dtype=object)
+            yield pd.Series([x for part in blocks(list(b)) for x in own.encode(part)], dtype=object)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(run, "array<int>")(F.col("text").cast("string")).alias("ids"))

@@ -23,10 +23,10 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from terracover.llm.common import components, stored
+from terracover.llm.common import components, fresh, stored
 
 #: Bytes of text that are split into words at once.
 CHUNK = 1 << 22
@@ -52,11 +52,12 @@ def _word_chunks(data: bytes) -> Iterator[list[bytes]]:
         start = end
 
 
-def fingerprint(text: str | None) -> int:
-    """The 64-bit fingerprint of a text, unsigned."""
+def measured(text: str | None) -> tuple[int, int]:
+    """The 64-bit fingerprint of a text, unsigned, and its number of words."""
     data = (text or "").encode("utf-8", "surrogatepass").lower()
-    counts, n, tail = np.zeros(64, np.int64), 0, []
+    counts, n, total, tail = np.zeros(64, np.int64), 0, 0, []
     for words in _word_chunks(data):
+        total += len(words)
         words = tail + words
         if len(words) >= 3:
             grams = map(b" ".join, zip(words, words[1:], words[2:], strict=False))
@@ -67,17 +68,24 @@ def fingerprint(text: str | None) -> int:
     if not n and tail:
         counts, n = _bit_counts(np.array([xxhash.xxh64_intdigest(b" ".join(tail), 42)], np.uint64)), 1
     bits = np.packbits(2 * counts > n, bitorder="little") if n else np.zeros(8, np.uint8)
-    return int(bits.view(np.uint64)[0])
+    return int(bits.view(np.uint64)[0]), total
+
+
+def fingerprint(text: str | None) -> int:
+    """The 64-bit fingerprint of a text, unsigned."""
+    return measured(text)[0]
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): one row per document, fp the fingerprint's bits as a long."""
+def fingerprints(docs: DataFrame, *also: Column) -> DataFrame:
+    """(doc_id, fp, words, also...): one row per document, fp the fingerprint's bits as a long."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.Series(np.fromiter(map(fingerprint, b), np.uint64, len(b)).view(np.int64))
+            both = np.array([measured(t) for t in b], np.uint64).reshape(-1, 2).view(np.int64)
+            yield pd.DataFrame({"fp": both[:, 0], "words": both[:, 1]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.pandas_udf(run, "long")(F.col("text").cast("string")).alias("fp"))
+    seen = F.pandas_udf(run, "fp long, words long")(F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), seen.alias("__seen"), *also).select("doc_id", "__seen.*", *(F.col(c) for c in docs.select(*also).columns))
 
 
 def _cells(fps: DataFrame) -> DataFrame:
@@ -173,18 +181,19 @@ def links(fps: DataFrame, bits: int = 3, block: int = 2048) -> DataFrame:
     return blocks.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "fp").mapInPandas(run, "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, bits: int = 3, block: int = 2048) -> DataFrame:
-    """(doc_id, fp, component_id): one row per document; component_id is the least doc_id of its group."""
-    marked = stored(fingerprints(docs), "simhash")
+def near_duplicates(docs: DataFrame, bits: int = 3, block: int = 2048, also: tuple[Column, ...] = ()) -> DataFrame:
+    """(doc_id, fp, words, component_id, group, also...): one row per document; component_id is the least doc_id of its group,
+    group (a fingerprint of it) tells groups with one least doc_id apart."""
+    marked = stored(fingerprints(docs, *also), "simhash")
     least = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
     least = stored(least, "simhash-fps")
     roots = components(links(least.select("fp"), bits, block))
     named = least.join(roots.withColumnRenamed("node", "fp"), "fp")
     groups = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    moved = named.join(groups, "root").select("fp", "component_id")
-    ids = least.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    moved = named.join(groups, "root").select("fp", "component_id", "root")
+    ids = least.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("group"))
     ids = stored(ids, "simhash-ids")  # so that the last join is of two exchanges, and a common fingerprint is split
-    return marked.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return marked.join(ids, "fp").select("doc_id", "fp", "words", "component_id", "group", *marked.columns[3:])
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -193,10 +202,16 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents that name their group; all rows with a null doc_id stay; repeated ids keep one row."""
-    groups = near_duplicates(docs)
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    out = docs.join(kept, "doc_id", "left_semi")
-    again = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    out = out.dropDuplicates(["doc_id"]) if again else out
-    return out.unionByName(docs.where(F.col("doc_id").isNull())).select(docs.columns)
+    """One row of each group: the least doc_id; of several texts with that id the one of least hash, of equal ones the least row.
+
+    All rows with a null doc_id stay, and do not stand for a group that has other ids.
+    """
+    name = fresh(docs, "text_hash")
+    hashed = F.xxhash64(F.col("text").cast("string"))
+    groups = near_duplicates(docs, also=(hashed.alias(name),)).where("doc_id is not null")
+    kept = stored(groups.groupBy("group").agg(F.min(F.struct("doc_id", name)).alias("k"), F.count("*").alias("n")).select("k.*", "n"), "simhash-kept")
+    out = docs.withColumn(name, hashed).join(kept.select("doc_id", name), ["doc_id", name], "left_semi")
+    again = groups.join(kept.where("n > 1").select("doc_id", name), ["doc_id", name], "left_semi").groupBy("doc_id", name).count().where("count > 1").limit(1).count()
+    if again:
+        out = out.groupBy("doc_id", name).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return out.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
