@@ -119,6 +119,12 @@ def centers(ids) -> tuple[np.ndarray, np.ndarray]:
     return _lat_lon(face, i / SIZE + half, j / SIZE + half)
 
 
+def centers_at(face, i, j, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same of cells of one level that are given by their least leaf coordinates."""
+    half = np.ldexp(1.0, -level - 1)
+    return _lat_lon(face, i / SIZE + half, j / SIZE + half)
+
+
 def vertices(ids) -> np.ndarray:
     """(n, 4, 2) corners as [lat, lon], counter-clockwise."""
     face, i, j, level = to_face_ij(ids)

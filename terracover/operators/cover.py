@@ -95,17 +95,16 @@ def _s2_front(lat: np.ndarray, lon: np.ndarray, metres: float) -> np.ndarray:
 
 
 def _s2_below(front: np.ndarray, lat: np.ndarray, lon: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
+    face, i, j, _ = s2.to_face_ij(front)
     for level in range(16, 22):
         if level < 21:
-            y, x = s2.centers(front)
-            ptr, _ = disc_members(y, x, lat, lon, metres)
-            front = front[np.diff(ptr) > 0]
-        if not len(front):
-            break
-        face, i, j, _ = s2.to_face_ij(front)
+            ptr, _ = disc_members(*s2.centers_at(face, i, j, level), lat, lon, metres)
+            near = np.diff(ptr) > 0
+            face, i, j = face[near], i[near], j[near]
         half = 1 << (s2.MAX_LEVEL - level - 1)
-        front = np.concatenate([s2.from_face_ij(face, i + a * half, j + b * half, level + 1) for a in (0, 1) for b in (0, 1)])
-    return s2.centers(front) if len(front) else (np.zeros(0), np.zeros(0))
+        face = np.tile(face, 4)
+        i, j = (np.concatenate([x + k * half for k in steps]) for x, steps in ((i, (0, 0, 1, 1)), (j, (0, 1, 0, 1))))
+    return s2.centers_at(face, i, j, 22)
 
 
 def s2_candidates(lat: np.ndarray, lon: np.ndarray, metres: float) -> tuple[np.ndarray, np.ndarray]:
