@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import struct
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from terracover import engine
@@ -15,7 +18,14 @@ from terracover.plans.registry import Views, inside, query
 from terracover.sources import readers
 from terracover.streaming import live
 
-EDGE_COUNTS = "SELECT fid, count(*) AS edges FROM edge GROUP BY fid"
+SUMS = "count(*) AS edges, round(sum(ex1), 5) AS x, round(sum(ey1), 5) AS y, round(sum(ex1*ey2 - ex2*ey1)*1000000, 2) AS area"
+EDGE_COUNTS = f"SELECT fid, {SUMS} FROM edge GROUP BY fid"
+
+
+def _sums(edges):
+    """Edges per fence with the sums of their coordinates and twice their area."""
+    area = F.col("ex1") * F.col("ey2") - F.col("ex2") * F.col("ey1")
+    return edges.groupBy("fid").agg(F.count("*").alias("edges"), F.round(F.sum("ex1"), 5).alias("x"), F.round(F.sum("ey1"), 5).alias("y"), F.round(F.sum(area) * 1000000, 2).alias("area"))
 
 
 def _features(v: Views):
@@ -25,7 +35,7 @@ def _features(v: Views):
 def _parsed(v: Views, form: str):
     """Edges per fence after rendering in a form and reading it back."""
     docs = render.rendered(_features(v), form).select(F.col("fid").cast("string").alias("path"), F.col("out").alias("text"))
-    return readers.edges_of(readers.parse_areas(docs), "path").groupBy("fid").agg(F.count("*").alias("edges"))
+    return _sums(readers.edges_of(readers.parse_areas(docs), "path"))
 
 
 @query("edge", EDGE_COUNTS)
@@ -48,13 +58,45 @@ def q_from_multi_struct(v: Views):
     return _parsed(v, "multi_struct")
 
 
+@query("edge", EDGE_COUNTS)
+def q_src_shapefile(v: Views):
+    """Fences as the bytes of shapefiles, read again."""
+
+    def packed(batches):
+        for b in batches:
+            for name, rings in zip(b["path"], b["rings"], strict=True):
+                points = [p for r in rings for p in r]
+                starts = np.cumsum([0, *map(len, rings[:-1])])
+                flat = struct.pack(f"<{2 * len(points)}d", *(c for p in points for c in (p["lon"], p["lat"])))
+                body = struct.pack("<i4dii", 5, *(f(p[c] for p in points) for f, c in ((min, "lon"), (min, "lat"), (max, "lon"), (max, "lat"))), len(rings), len(points)) + struct.pack(f"<{len(rings)}i", *starts) + flat
+                yield pd.DataFrame({"path": [name], "content": [bytes(100) + struct.pack(">ii", 1, len(body) // 2) + body]})
+
+    rings = formats.rings(v.edge).groupBy(F.col("fid").cast("string").alias("path")).agg(F.sort_array(F.collect_list(F.struct("ring", "points"))).alias("r"))
+    files = rings.select("path", F.transform("r", lambda r: r["points"]).alias("rings")).mapInPandas(packed, "path string, content binary")
+    return _sums(readers.edges_of(readers.parse_shapefiles(files), "path"))
+
+
+@query("fence", "SELECT name, CASE WHEN fid % 3 = 0 THEN 'alt_text' WHEN fid % 3 = 1 THEN 'feature' ELSE 'single_array' END AS form FROM fence")
+def q_return_type(v: Views):
+    """The asked return type by name, whatever its case and separators; else the input's own."""
+    asked = ("Alt_Text", "feature", "nothing of the kind")
+    known = F.create_map(*(F.lit(x) for k, a in enumerate(asked) for x in (k, formats.return_type(a, "single_array"))))
+    return v.fence.select("name", F.get(F.array(known), F.lit(0))[(F.col("fid") % 3).cast("int")].alias("form"))
+
+
+@query("route_point", "SELECT fid, seq, lat, lon FROM route_point WHERE fid NOT IN (SELECT fid FROM route_point GROUP BY fid HAVING count(*) > 60)")
+def q_ui_remove_this(v: Views):
+    large = v.route_point.groupBy("fid").agg(F.count("*").alias("n")).where("n > 60")
+    return v.route_point.join(large, "fid", "left_anti").select("fid", "seq", "lat", "lon")
+
+
 def _outer(v: Views, form: str):
     one = render.parts_of(formats.rings(v.edge.where("ring = 0")), v.fence)
     docs = render.rendered(one, form).select(F.col("fid").cast("string").alias("path"), F.col("out").alias("text"))
-    return readers.edges_of(readers.parse_areas(docs), "path").groupBy("fid").agg(F.count("*").alias("edges"), F.round(F.sum("ex1"), 5).alias("x"))
+    return _sums(readers.edges_of(readers.parse_areas(docs), "path"))
 
 
-OUTER = "SELECT fid, count(*) AS edges, round(sum(ex1), 5) AS x FROM edge WHERE ring = 0 GROUP BY fid"
+OUTER = f"SELECT fid, {SUMS} FROM edge WHERE ring = 0 GROUP BY fid"
 
 
 @query("edge", OUTER)
@@ -103,10 +145,10 @@ def q_geometry_coerce(v: Views):
     return out
 
 
-@query("instance", "SELECT id, concat_ws('__', CAST(id AS VARCHAR), type, 'SCANNER') AS fid, 1 AS n FROM instance")
+@query("instance", "SELECT id, concat_ws('__', CAST(id AS VARCHAR), type, 'SCANNER') AS fid, 1 AS n, CAST('40.' || (id + 10) AS DOUBLE) AS lat, CAST('-74.' || (id + 10) AS DOUBLE) AS lon FROM instance")
 def q_instance_to_feature(v: Views):
     points = formats.parse_text(F.col("data"))
-    return v.instance.select("id", F.concat_ws("__", F.col("id").cast("string"), "type", F.lit("SCANNER")).alias("fid"), F.size(points).alias("n"))
+    return v.instance.select("id", F.concat_ws("__", F.col("id").cast("string"), "type", F.lit("SCANNER")).alias("fid"), F.size(points).alias("n"), F.get(points, F.lit(0))["lat"].alias("lat"), F.get(points, F.lit(0))["lon"].alias("lon"))
 
 
 @query("instance", "SELECT id, CASE WHEN id % 3 = 0 THEN 70 END AS radius, 1 AS n FROM instance")
@@ -118,10 +160,10 @@ def q_parse_scanner_instance(v: Views):
     return docs.select("id", F.when(is_json, F.get_json_object("d", "$.radius").cast("int")).alias("radius"), F.when(is_json, F.size(area)).otherwise(F.size(formats.parse_text(F.col("d")))).alias("n"))
 
 
-@query("area", "SELECT id, concat_ws('__', CAST(id AS VARCHAR), 'circle_raid', 'SCANNER') AS fid, 1 AS n FROM area WHERE fort_mode_route IS NOT NULL")
+@query("area", "SELECT id, concat_ws('__', CAST(id AS VARCHAR), 'circle_raid', 'SCANNER') AS fid, 1 AS n, CAST(40.5 AS DOUBLE) AS lat, CAST(-74.5 AS DOUBLE) AS lon FROM area WHERE fort_mode_route IS NOT NULL")
 def q_area_to_feature(v: Views):
-    rows = v.area.where("fort_mode_route is not null")
-    return rows.select("id", F.concat_ws("__", F.col("id").cast("string"), F.lit("circle_raid"), F.lit("SCANNER")).alias("fid"), F.size(formats.parse_text(F.col("fort_mode_route"))).alias("n"))
+    rows, points = v.area.where("fort_mode_route is not null"), formats.parse_text(F.col("fort_mode_route"))
+    return rows.select("id", F.concat_ws("__", F.col("id").cast("string"), F.lit("circle_raid"), F.lit("SCANNER")).alias("fid"), F.size(points).alias("n"), F.get(points, F.lit(0))["lat"].alias("lat"), F.get(points, F.lit(0))["lon"].alias("lon"))
 
 
 @query("fence", "SELECT fid, concat('{\"type\":\"Polygon\",\"id\":', CAST(fid AS VARCHAR), '}') AS geometry FROM fence")
@@ -179,8 +221,6 @@ def q_route_stats(v: Views):
 
 def _candidates(v: Views, make):
     def run(key, g):
-        import pandas as pd
-
         g = g.sort_values(["lat", "lon"])
         y, x = make(g["lat"].to_numpy(float), g["lon"].to_numpy(float))
         return pd.DataFrame({"fid": key[0], "cid": np.arange(len(y)), "lat": y, "lon": x})

@@ -67,14 +67,19 @@ def shapes(data: bytes) -> list[dict]:
     return out
 
 
-def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
-    """Features of the .shp files below a path."""
+def parse_shapefiles(files: DataFrame) -> DataFrame:
+    """Features of shapefiles that are there as (path, content)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame([r for p, c in zip(b["path"], b["content"], strict=True) for r in _rows(p, shapes(bytes(c)))], columns=["path", "seq", "name", "geometry", "properties"])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.shp").load(path).select("path", "content").mapInPandas(run, FEATURES)
+    return files.select("path", "content").mapInPandas(run, FEATURES)
+
+
+def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
+    """Features of the .shp files below a path."""
+    return parse_shapefiles(spark.read.format("binaryFile").option("pathGlobFilter", "*.shp").load(path))
 
 
 def edges_of(features: DataFrame, key: str = "seq") -> DataFrame:
