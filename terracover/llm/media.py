@@ -53,8 +53,8 @@ def to_png(data: bytes, n_bytes: int) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"tEXt", b"n_bytes\0%d" % n_bytes) + _chunk(b"IDAT", zlib.compress(rows.tobytes(), LEVEL)) + _chunk(b"IEND", b"")
 
 
-def from_png(media: bytes) -> tuple[bytes, int]:
-    """The samples and the unpadded length of an image that to_png has made; ValueError if it is damaged."""
+def chunks(media: bytes) -> dict[bytes, bytes]:
+    """The chunks of an image that to_png has made, their checksums tested; ValueError if it is damaged."""
     if media[:8] != SIGNATURE:
         raise ValueError("no PNG signature")
     at, parts, n = 8, {}, len(media)
@@ -65,6 +65,12 @@ def from_png(media: bytes) -> tuple[bytes, int]:
             raise ValueError(f"damaged {kind!r} chunk")
         parts[kind] = data
         at += 12 + size
+    return parts
+
+
+def from_png(media: bytes) -> tuple[bytes, int]:
+    """The samples and the unpadded length of an image that to_png has made; ValueError if it is damaged."""
+    parts = chunks(media)
     width, height = struct.unpack_from(">II", parts[b"IHDR"])
     rows = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(height, width + 1)
     if rows[:, 0].any():
@@ -139,9 +145,9 @@ class ArchiveReader(DataSourceReader):
         with system.open_input_stream(name + ".idx", compression=None) as f:
             index = np.frombuffer(f.read(), "<i8").reshape(-1, 2)
         first, last = np.searchsorted(index[:, 0], [partition.start, partition.end])
-        rows, size = [], 0
+        rows, size, held = [], 0, {}
         for at, n in index[first:last].tolist():
-            rows.append(self._member(system, name, at, n))
+            rows.append(self._member(system, name, at, n, held))
             size += n
             if size >= BATCH:
                 yield _batch(rows)
@@ -149,20 +155,26 @@ class ArchiveReader(DataSourceReader):
         if rows:
             yield _batch(rows)
 
-    def _member(self, system, name: str, at: int, n: int) -> tuple:
-        """doc_id, media, offset and attempts of one member, read by its offset as often as it takes."""
+    def _member(self, system, name: str, at: int, n: int, held: dict | None = None) -> tuple:
+        """doc_id, media, offset and attempts of one member, read by its offset as often as it takes.
+
+        held keeps the archive open from member to member; it is opened anew after a failure only.
+        """
+        held = {} if held is None else held
         for attempt in range(1, ATTEMPTS + 1):
             try:
-                with system.open_input_file(name) as f:
-                    raw = f.read_at(tarfile.BLOCKSIZE + n, at)
+                if "file" not in held:
+                    held["file"] = system.open_input_file(name)
+                raw = held["file"].read_at(tarfile.BLOCKSIZE + n, at)
                 info = tarfile.TarInfo.frombuf(raw[: tarfile.BLOCKSIZE], "utf-8", "strict")  # checks the header's sum
                 media = raw[tarfile.BLOCKSIZE :]
                 if info.size != n or len(media) != n:
                     raise ValueError("short member")
-                from_png(media)
+                chunks(media)  # by checksums; the samples are inflated where they are used
                 doc = info.name.removesuffix(".png")
                 return (None if doc == "none" else int(doc), media, at, attempt)
-            except (OSError, ValueError, tarfile.HeaderError, zlib.error, struct.error, KeyError) as e:
+            except (OSError, ValueError, tarfile.HeaderError, struct.error) as e:
+                held.pop("file", None)
                 if attempt == ATTEMPTS:
                     raise RuntimeError(f"member at {at} of {name}: {e}") from e
         raise AssertionError

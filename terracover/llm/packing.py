@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terracover.llm.common import stored
-from terracover.llm.sentencepiece_bpe import Codec, blocks, codec
+from terracover.llm.sentencepiece_bpe import Codec, codec
 
 CAPACITY, SHARD_ROWS = 2048, 20_000
 SCHEMA = "doc_id long, piece int, n_words int, first_word long, bin_id long, place int"
@@ -176,34 +176,36 @@ def cut(text: str, words: list[str], ids: list[list[int]], own: Codec, room: int
     return out
 
 
-_PIECES = "array<struct<piece:int,n_words:int,first_word:bigint,n_tokens:int,text:string,ids:array<int>>>"
+_PIECES = "doc_id string, source string, cluster long, piece int, n_words int, first_word long, n_tokens int, text string, ids array<int>"
+#: Texts that are cut at once, and rows that go back to Spark at once: workers that are reused keep what they once held.
+TEXTS = 256
 
 
-def _tokens(model_path: str, capacity: int):
-    """array of the pieces of each text with their ids; the end id closes the last. Texts without a word have one empty piece."""
+def _pieces(docs: DataFrame, model_path: str, capacity: int) -> DataFrame:
+    """The pieces of each text with their ids; the end id closes the last. Texts without a word have one empty piece."""
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = codec(model_path)
-        for b in batches:
-            out = []
-            for part in blocks(list(b)):
-                split = [own.words(t) if t and _START.search(t) else [] for t in part]
+        for whole in batches:
+            for first in range(0, len(whole), TEXTS):
+                b, rows = whole.iloc[first : first + TEXTS], []
+                split = [own.words(t) if t and _START.search(t) else [] for t in b["text"]]
                 made = own.ids_of(split)
-                for t, ws in zip(part, split, strict=True):
+                for doc, source, cluster, t, ws in zip(b["doc_id"], b["source"], b["cluster"], b["text"], split, strict=True):
                     got = cut(t, ws, [made[w] for w in ws], own, capacity - 1) if ws else [("", [])]
-                    rows, seen = [], 0
                     starts = np.fromiter((m.start() for m in _START.finditer(t or "")), np.int64)
-                    at = 0
+                    at = seen = 0
                     for k, (piece, ids) in enumerate(got):
                         at += len(piece)
                         n = int(np.searchsorted(starts, at)) - seen
                         ids = [*ids, own.vocabulary.end] if ws and k == len(got) - 1 else ids
-                        rows.append({"piece": k, "n_words": n, "first_word": seen, "n_tokens": len(ids), "text": piece, "ids": np.array(ids, np.int32)})
+                        rows.append((doc, source, cluster, k, n, seen, len(ids), piece, np.array(ids, np.int32)))
                         seen += n
-                    out.append(rows)
-            yield pd.Series(out, dtype=object)
+                yield pd.DataFrame(rows, columns=["doc_id", "source", "cluster", "piece", "n_words", "first_word", "n_tokens", "text", "ids"])
+        own.ids.clear()
 
-    return F.pandas_udf(run, _PIECES)
+    cols = docs.select(*_own(docs), F.col("text").cast("string").alias("text")).withColumn("doc_id", F.col("doc_id").cast("string"))
+    return cols.mapInPandas(run, _PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def sequences(docs: DataFrame, model_path: str, capacity: int = CAPACITY, shard_rows: int = SHARD_ROWS, clusters: DataFrame | None = None) -> DataFrame:
@@ -212,7 +214,7 @@ def sequences(docs: DataFrame, model_path: str, capacity: int = CAPACITY, shard_
     Lengths are tokens of the SentencePiece model with an end id after each document; a word counts where it
     begins; a document's pieces put together are its text. clusters as in `packed`.
     """
-    made = docs.select(*_own(docs), F.inline(_tokens(model_path, capacity)(F.col("text").cast("string"))))
+    made = _pieces(docs, model_path, capacity)
     made = stored(_clustered(made, clusters).withColumn("key", F.monotonically_increasing_id()), "tokens")
     narrow = made.where("n_tokens > 0").select("key", "doc_id", "piece", F.col("n_tokens").alias("n_words"), "source", "cluster")
     placed = _placed(narrow, capacity, shard_rows, ["key"], "key long, bin_id long, place int")

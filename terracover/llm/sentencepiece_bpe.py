@@ -204,8 +204,8 @@ class Codec:
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def ids_of(self, split: list[list[str]]) -> dict[str, list[int]]:
-        """The ids of (at least) these words; remembers them within MEMORY."""
-        if len(self.ids) > MEMORY:
+        """The ids of (at least) these words; remembers a third of MEMORY."""
+        if len(self.ids) > MEMORY // 3:
             self.ids.clear()
         fresh = [w for w in set().union(*split) if w not in self.ids]
         if fresh:
