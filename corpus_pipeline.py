@@ -1,7 +1,8 @@
 """The corpus pipeline: language, toxicity, near-duplicates, personal data, packing.
 
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns the documents that
-it keeps (the last: their places in the packed sequences), all columns of documents but for the last.
+it keeps (the last: their pieces, texts and token ids with their places in the packed sequences), all
+columns of documents but for the last.
 """
 
 from __future__ import annotations
@@ -33,8 +34,10 @@ def by_privacy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def by_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's pieces with their sequence and place."""
-    return packing.packed(docs)
+    """Each document's pieces, as text and token ids, with their sequence and place in it."""
+    import public_tokenizers
+
+    return packing.sequences(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
