@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracover.llm import embed_dedup, langid, media, packing, pii, quality, sentencepiece_bpe, simhash, toxicity, warc
+from terracover.llm import divergence, embed_dedup, langid, media, packing, pii, quality, sentencepiece_bpe, simhash, toxicity, warc
 from terracover.llm.common import spread, stored, table
 from terracover.llm.oracles import ORACLES
 
@@ -60,8 +60,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.digest(_documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(spread(table(spark, sf_dir, "documents").select("lang", "source", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_langid, op3_embed_dedup, op4_warc, op5_sentencepiece, op6_quality, op7_media, op8_simhash, op9_packing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_pii, op2_langid, op3_embed_dedup, op4_warc, op5_sentencepiece, op6_quality, op7_media, op8_simhash, op9_packing, op10_toxicity, op12_divergence)}
 
 
 def oracle_sql() -> dict[str, str]:
