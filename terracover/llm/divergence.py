@@ -1,9 +1,9 @@
 """Source divergence audit: which sources of a language use other words, and which words.
 
 Terms are runs of ASCII letters (A-Z lower-cased) and characters beyond ASCII. A partition counts its
-terms in a byte radix trie whose leaves have a counter (occurrences, documents) for each (lang, source).
-A trie of `leaves` leaves is walked in byte order, which is the order of UTF-8, its leaves handed on and
-a new one begun, so memory is bounded. Leaves are merged by ranges of prefixes: a range's leaves arrive
+terms in a byte radix trie whose leaves have counters (occurrences, documents) for each (lang, source),
+kept in flat arrays. A trie of `leaves` terms is walked in byte order, which is the order of UTF-8, its
+leaves are handed on and a new one begins, so memory is bounded. Leaves are merged by ranges of prefixes: a range's leaves arrive
 in order, equal terms are summed and merge into a trie of their own, whose walk streams the terms that a
 language keeps (those in at least `least_docs` of its documents).
 
@@ -21,8 +21,9 @@ ignored; a language of one source has no pairs and, as its shares are the langua
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -41,14 +42,10 @@ Group = tuple[str, str]
 
 
 class Trie:
-    """Byte radix trie; node: [edge label, children by first byte or None, counters of the term that ends here or None].
-
-    Counters: (lang, source) -> [occurrences, documents]. `leaves` is the number of counters.
-    """
+    """Byte radix trie; node: [edge label, children by first byte or None, value of the term that ends here or None]."""
 
     def __init__(self):
         self.root: list = [b"", None, None]
-        self.leaves = 0
 
     def node(self, term: bytes) -> list:
         """The node of a term, made where it is not there."""
@@ -76,79 +73,113 @@ class Trie:
         return node
 
     def add(self, term: bytes, group: Group, n: int, docs: int) -> None:
+        """Counts of a group at a term's leaf, which holds (lang, source) -> [occurrences, documents]."""
         node = self.node(term)
         if node[2] is None:
             node[2] = {}
-        held = node[2].get(group)
-        if held is None:
-            node[2][group] = [n, docs]
-            self.leaves += 1
-        else:
-            held[0] += n
-            held[1] += docs
+        held = node[2].setdefault(group, [0, 0])
+        held[0] += n
+        held[1] += docs
 
     def merge(self, other: Trie) -> None:
         for term, counters in other.walk():
             for group, (n, docs) in counters.items():
                 self.add(term, group, n, docs)
 
-    def walk(self) -> Iterator[tuple[bytes, dict[Group, list[int]]]]:
-        """Terms in byte order with their counters."""
+    def walk(self) -> Iterator[tuple[bytes, object]]:
+        """Terms in byte order with their values."""
         stack = [(b"", self.root)]
         while stack:
-            prefix, (label, children, counters) = stack.pop()
+            prefix, (label, children, value) = stack.pop()
             term = prefix + label
-            if counters is not None:
-                yield term, counters
+            if value is not None:
+                yield term, value
             if children:
                 stack += [(term, children[b]) for b in sorted(children, reverse=True)]
 
 
-def _rows(trie: Trie, size: int = 1 << 16) -> Iterator[pd.DataFrame]:
-    held = []
-    for term, counters in trie.walk():
-        held += [(term, lang, source, n, docs) for (lang, source), (n, docs) in sorted(counters.items())]
-        if len(held) >= size:
-            yield pd.DataFrame(held, columns=["term", "lang", "source", "n", "docs"])
-            held = []
-    if held:
-        yield pd.DataFrame(held, columns=["term", "lang", "source", "n", "docs"])
-
+class Counts:
+    """Counts of a partition's terms: a number for each term and group, occurrences and documents for each pair of them.
 
-def counted(docs: DataFrame, leaves: int = 150_000) -> DataFrame:
-    """(term binary, lang, source, n, docs): the leaves of each partition's tries. The empty term has a leaf of zeros for each group that occurs."""
-    limit = leaves * 100  # bytes of counters, so that long terms count too
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        groups: dict[Group, tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
-        held = 0
+    The counters lie in flat arrays (group and term in one key, sorted); `leaves` walks the trie of the terms and
+    has each leaf's counters in its order.
+    """
 
-        def trie() -> Trie:
-            out = Trie()
-            for group, (n, d) in groups.items():
-                out.add(b"", group, 0, 0)
-                for term, k in n.items():
-                    out.add(term, group, k, d[term])
-            return out
+    def __init__(self):
+        self.terms: defaultdict[bytes, int] = defaultdict(count().__next__)
+        self.groups: defaultdict[Group, int] = defaultdict(count().__next__)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = self.bytes = 0
+        _ = self.terms[b""]
+
+    def add(self, groups: list[Group], texts: list[str]) -> None:
+        """Counts a block of texts."""
+        split = [t.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split() for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        own = np.array([self.groups[g] for g in groups], np.int64)
+        before = len(self.terms)
+        ids = np.fromiter(map(self.terms.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        self.bytes += sum(map(len, islice(self.terms, before, None)))
+        pairs, n = np.unique((np.repeat(np.arange(len(split)), sizes) << 32) | ids, return_counts=True)
+        keys = (own[pairs >> 32] << 32) | (pairs & 0xFFFFFFFF)
+        self._hold(np.r_[keys, own << 32], np.r_[n, np.zeros(len(own), np.int64)], np.r_[np.ones(len(n), np.int64), np.zeros(len(own), np.int64)])
+
+    def _hold(self, *part: np.ndarray) -> None:
+        self.parts.append(part)
+        self.rows += len(part[0])
+        if self.rows > 1 << 20 and self.rows > 2 * len(self.parts[0][0]):
+            self._compact()
+
+    def _compact(self) -> None:
+        keys, n, docs = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        by = np.argsort(keys, kind="stable")
+        keys = keys[by]
+        at = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        self.parts = [(keys[at], np.add.reduceat(n[by], at), np.add.reduceat(docs[by], at))]
+        self.rows = len(at)
+
+    def leaves(self, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+        if not self.parts:
+            return
+        self._compact()
+        keys, n, docs = self.parts[0]
+        trie = Trie()
+        for term, number in self.terms.items():
+            trie.node(term)[2] = number
+        order = np.fromiter((number for _, number in trie.walk()), np.int64, len(self.terms))
+        del trie
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        term, group = keys & 0xFFFFFFFF, keys >> 32
+        by = np.lexsort((group, place[term]))
+        terms = pa.array(self.terms, pa.binary())
+        langs, sources = (pa.array([g[k] for g in self.groups], pa.string()) for k in (0, 1))
+        for k in range(0, len(by), size):
+            part = by[k : k + size]
+            own = pa.array(group[part])
+            yield pa.RecordBatch.from_arrays([terms.take(pa.array(term[part])), langs.take(own), sources.take(own), pa.array(n[part]), pa.array(docs[part])], names=["term", "lang", "source", "n", "docs"])
+
+
+def counted(docs: DataFrame, leaves: int = 300_000, block: int = 1 << 20) -> DataFrame:
+    """(term binary, lang, source, n, docs): the leaves of each partition's tries. The empty term has a leaf of zeros for each group that occurs.
+
+    A trie ends at `leaves` terms, or where its terms have 64 bytes for each of these.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts()
         for b in batches:
-            for lang, source, text in zip(b["lang"], b["source"], b["text"], strict=True):
-                n, d = groups[lang, source]
-                before = len(n)
-                data = text.encode("utf-8", "surrogatepass")
-                terms = data.translate(TERM_BYTES).split()
-                n.update(terms)
-                d.update(set(terms))
-                new = len(n) - before
-                held += new * 100 + len(data) * new // max(1, len(terms))
-                if held >= limit:
-                    yield from _rows(trie())
-                    groups.clear()
-                    held = 0
-        yield from _rows(trie())
+            groups = list(zip(b["lang"].to_pylist(), b["source"].to_pylist(), strict=True))
+            ends = np.cumsum(pc.binary_length(b["text"]).to_numpy()) // block  # texts of a block are counted together
+            for own in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(ends)) + 1) if b.num_rows else []:
+                counts.add([groups[k] for k in own], b["text"].take(pa.array(own)).to_pylist())
+                if len(counts.terms) >= leaves or counts.bytes >= 64 * leaves or counts.rows >= 8 * leaves:
+                    yield from counts.leaves()
+                    counts = Counts()
+        yield from counts.leaves()
 
     text = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*text).mapInPandas(run, "term binary, lang string, source string, n long, docs long")
+    return docs.select(*text).mapInArrow(run, "term binary, lang string, source string, n long, docs long")
 
 
 def _summed(b: pa.RecordBatch, least_docs: int) -> tuple[list, ...]:
@@ -191,33 +222,24 @@ def kept(leaves: DataFrame, least_docs: int = 30, block: int = 1 << 17) -> DataF
         yield pa.RecordBatch.from_pydict(rows, schema=pa.schema([("lang", pa.string()), ("term", pa.string()), ("sources", pa.list_(pa.string())), ("counts", pa.list_(pa.int64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, last = Trie(), None
+        trie, last, leaves = Trie(), None, 0
         for b in batches:
             if not b.num_rows:
                 continue
             for term, lang, source, n, d in zip(*_summed(b, least_docs), strict=True):
                 if term != last:
-                    if last:
-                        _forget(trie, last, least_docs)
-                    if trie.leaves >= block:
+                    if leaves >= block:
                         yield from emitted(trie)
-                        trie = Trie()
+                        trie, leaves = Trie(), 0
                     last = term
                 trie.add(term, (lang, source), n, d)
+                leaves += 1
         yield from emitted(trie)
 
     ranged = leaves.repartitionByRange("term").sortWithinPartitions("term", "lang", "source")
     return ranged.mapInArrow(run, "lang string, term string, sources array<string>, counts array<long>")
 
 
-def _forget(trie: Trie, term: bytes, least_docs: int) -> None:
-    """Empties the counters of a finished term that no language keeps, so that a trie holds kept terms only."""
-    node = trie.node(term)
-    if node[2] is not None and sum(d for _, d in node[2].values()) < least_docs:
-        trie.leaves -= len(node[2])
-        node[2] = None
-
-
 def share(count: np.ndarray, total: int) -> np.ndarray:
     """1 + floor(10^9 * (count + 5) / total), exact for totals below 9 * 10^15."""
     out, rest = np.divmod(count.astype(np.int64) + PRIOR, total)
@@ -227,7 +249,7 @@ def share(count: np.ndarray, total: int) -> np.ndarray:
     return out + 1
 
 
-def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, leaves: int = 150_000) -> DataFrame:
+def audit(docs: DataFrame, least_docs: int = 30, top: int = 50, leaves: int = 300_000) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank; see the module."""
     terms = stored(kept(stored(counted(docs, leaves), "leaves"), least_docs), "kept-terms")
     flat = terms.select("lang", "term", F.inline(F.arrays_zip(F.col("sources").alias("source"), F.col("counts").alias("n")))).toDF("lang", "term", "source", "n")
