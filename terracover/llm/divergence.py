@@ -23,7 +23,7 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
+from itertools import count
 
 import numpy as np
 import pandas as pd
@@ -42,14 +42,23 @@ Group = tuple[str, str]
 
 
 class Trie:
-    """Byte radix trie; node: [edge label, children by first byte or None, value of the term that ends here or None]."""
+    """Byte radix trie; node: [edge label, children by first byte or None, value of the term that ends here or None].
+
+    The root has a child for each prefix of HEAD bytes (a shorter term is its own), so that no step is spent on the first bytes.
+    """
+
+    HEAD = 3
 
     def __init__(self):
-        self.root: list = [b"", None, None]
+        self.heads: dict[bytes, list] = {}
 
     def node(self, term: bytes) -> list:
         """The node of a term, made where it is not there."""
-        node, at, end = self.root, 0, len(term)
+        head = term[: self.HEAD]
+        node = self.heads.get(head)
+        if node is None:
+            node = self.heads[head] = [head, None, None]
+        at, end = len(head), len(term)
         while at < end:
             first = term[at]
             child = node[1].get(first) if node[1] is not None else None
@@ -88,7 +97,7 @@ class Trie:
 
     def walk(self) -> Iterator[tuple[bytes, object]]:
         """Terms in byte order with their values."""
-        stack = [(b"", self.root)]
+        stack = [(b"", self.heads[h]) for h in sorted(self.heads, reverse=True)]
         while stack:
             prefix, (label, children, value) = stack.pop()
             term = prefix + label
@@ -112,15 +121,19 @@ class Counts:
         self.rows = self.bytes = 0
         _ = self.terms[b""]
 
-    def add(self, groups: list[Group], texts: list[str]) -> None:
-        """Counts a block of texts."""
-        split = [t.encode("utf-8", "surrogatepass").translate(TERM_BYTES).split() for t in texts]
-        sizes = np.fromiter(map(len, split), np.int64, len(split))
+    def add(self, groups: list[Group], texts: pa.StringArray) -> None:
+        """Counts a block of texts: other bytes become blanks, and the terms between them are numbered by Arrow."""
+        _, offsets, data = texts.buffers()
+        blanked = pa.py_buffer(data.to_pybytes().translate(TERM_BYTES)) if data else data
+        split = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(texts), offsets, blanked, offset=texts.offset))
+        found = split.flatten().dictionary_encode()
+        terms, before = found.dictionary.cast(pa.binary()), len(self.terms)
+        numbers = np.fromiter(map(self.terms.__getitem__, terms.to_pylist()), np.int64, len(terms))
+        self.bytes += int(pc.binary_length(terms).to_numpy()[numbers >= before].sum())
+        ids = numbers[found.indices.to_numpy()]
+        sizes = pc.list_value_length(split).to_numpy()
         own = np.array([self.groups[g] for g in groups], np.int64)
-        before = len(self.terms)
-        ids = np.fromiter(map(self.terms.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
-        self.bytes += sum(map(len, islice(self.terms, before, None)))
-        pairs, n = np.unique((np.repeat(np.arange(len(split)), sizes) << 32) | ids, return_counts=True)
+        pairs, n = np.unique(((np.repeat(np.arange(len(texts)), sizes) << 32) | ids)[ids > 0], return_counts=True)  # 0: nothing, before or after a blank
         keys = (own[pairs >> 32] << 32) | (pairs & 0xFFFFFFFF)
         self._hold(np.r_[keys, own << 32], np.r_[n, np.zeros(len(own), np.int64)], np.r_[np.ones(len(n), np.int64), np.zeros(len(own), np.int64)])
 
@@ -160,7 +173,7 @@ class Counts:
             yield pa.RecordBatch.from_arrays([terms.take(pa.array(term[part])), langs.take(own), sources.take(own), pa.array(n[part]), pa.array(docs[part])], names=["term", "lang", "source", "n", "docs"])
 
 
-def counted(docs: DataFrame, leaves: int = 300_000, block: int = 1 << 20) -> DataFrame:
+def counted(docs: DataFrame, leaves: int = 300_000, block: int = 1 << 22) -> DataFrame:
     """(term binary, lang, source, n, docs): the leaves of each partition's tries. The empty term has a leaf of zeros for each group that occurs.
 
     A trie ends at `leaves` terms, or where its terms have 64 bytes for each of these.
@@ -172,7 +185,7 @@ def counted(docs: DataFrame, leaves: int = 300_000, block: int = 1 << 20) -> Dat
             groups = list(zip(b["lang"].to_pylist(), b["source"].to_pylist(), strict=True))
             ends = np.cumsum(pc.binary_length(b["text"]).to_numpy()) // block  # texts of a block are counted together
             for own in np.split(np.arange(b.num_rows), np.flatnonzero(np.diff(ends)) + 1) if b.num_rows else []:
-                counts.add([groups[k] for k in own], b["text"].take(pa.array(own)).to_pylist())
+                counts.add([groups[k] for k in own], b["text"].take(pa.array(own)))
                 if len(counts.terms) >= leaves or counts.bytes >= 64 * leaves or counts.rows >= 8 * leaves:
                     yield from counts.leaves()
                     counts = Counts()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terracover.llm import divergence, embed_dedup, langid, media, packing, periodic, pii, quality, sentencepiece_bpe, simhash, toxicity, warc
+from terracover.llm import byte_bpe, divergence, embed_dedup, langid, media, packing, periodic, pii, quality, sentencepiece_bpe, simhash, toxicity, warc
 from terracover.llm.common import spread, stored, table
 from terracover.llm.oracles import ORACLES
 
@@ -91,8 +91,14 @@ def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(spread(table(spark, sf_dir, "documents").select("lang", "source", "text")))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return byte_bpe.digest(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pii, op2_langid, op3_embed_dedup, op4_warc, op5_sentencepiece, op6_quality, op7_media, op8_simhash, op9_packing, op10_toxicity, op11_periodic, op12_divergence)}
+    return {f.__name__: f for f in (op1_pii, op2_langid, op3_embed_dedup, op4_warc, op5_sentencepiece, op6_quality, op7_media, op8_simhash, op9_packing, op10_toxicity, op11_periodic, op12_divergence, op13_byte_bpe)}
 
 
 def oracle_sql() -> dict[str, str]:
