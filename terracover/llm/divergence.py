@@ -21,6 +21,7 @@ ignored; a language of one source has no pairs and, as its shares are the langua
 
 from __future__ import annotations
 
+import gc
 from collections import defaultdict
 from collections.abc import Iterator
 from itertools import count
@@ -156,11 +157,15 @@ class Counts:
             return
         self._compact()
         keys, n, docs = self.parts[0]
-        trie = Trie()
-        for term, number in self.terms.items():
-            trie.node(term)[2] = number
-        order = np.fromiter((number for _, number in trie.walk()), np.int64, len(self.terms))
-        del trie
+        gc.disable()  # else the collector goes over all nodes again and again
+        try:
+            trie = Trie()
+            for term in sorted(self.terms):  # neighbours share their path
+                trie.node(term)[2] = self.terms[term]
+            order = np.fromiter((number for _, number in trie.walk()), np.int64, len(self.terms))
+            del trie
+        finally:
+            gc.enable()
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         term, group = keys & 0xFFFFFFFF, keys >> 32
