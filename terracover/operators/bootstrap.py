@@ -30,15 +30,22 @@ def ring_distance(p: np.ndarray, e: np.ndarray) -> np.ndarray:
 
 
 def by_radius(edges: DataFrame, metres: float) -> DataFrame:
-    """Disc centres per fence: lattice points inside it or within the radius of any of its rings."""
+    """Disc centres per fence, part by part: lattice points inside a part or within the radius of any of its rings.
+
+    A part has a lattice of its own, over its own bounds, and is a task of its own.
+    """
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         e = g.sort_values(["ring", "seq"])[["ex1", "ey1", "ex2", "ey2"]].to_numpy(float)
         p = lattice(e[:, [0, 2]].min(), e[:, [1, 3]].min(), e[:, [0, 2]].max(), e[:, [1, 3]].max(), metres)
         p = p[_parity(p, e) | (ring_distance(p, e) <= metres)]
-        return pd.DataFrame({"fid": key[0], "seq": np.arange(len(p)), "lat": p[:, 0], "lon": p[:, 1]})
+        return pd.DataFrame({"fid": key[0], "seq": np.arange(len(p)), "lat": p[:, 0], "lon": p[:, 1], **({"part": key[1]} if len(key) > 1 else {})})
 
-    return dealt(edges, "fid").groupBy("fid").applyInPandas(run, SCHEMA)
+    if "part" not in edges.columns:
+        return dealt(edges, "fid").groupBy("fid").applyInPandas(run, SCHEMA)
+    found = dealt(edges, "fid", "part").groupBy("fid", "part").applyInPandas(run, f"{SCHEMA}, part int")
+    order = Window.partitionBy("fid").orderBy("part", "seq")
+    return found.withColumn("seq", (F.row_number().over(order) - 1).cast("long"))
 
 
 #: Levels between a coarse cell, the unit that one row of by_s2's work covers, and the blocks' cells.

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracover.functions import geo
+from terracover.operators.formats import with_part
 from terracover.operators.joins import in_any_fence
 
 
@@ -15,8 +16,14 @@ def filter_points(points: DataFrame, edges: DataFrame, keep_inside: bool) -> Dat
 
 
 def cutouts(edges: DataFrame) -> DataFrame:
-    """Holes as polygons of their own."""
-    return edges.where("ring > 0").select("fid", "ring", "seq", "ex1", "ey1", "ex2", "ey2")
+    """The holes of all parts as polygons of their own."""
+    return edges.where("ring > 0").select("fid", *(["part"] if "part" in edges.columns else []), "ring", "seq", "ex1", "ey1", "ex2", "ey2")
+
+
+def split_parts(edges: DataFrame, fences: DataFrame) -> DataFrame:
+    """Each part of a fence as a fence: (name, fid, ring, seq, sides), named after the fence and the number of the part."""
+    own = with_part(edges).join(fences.select("fid", "name"), "fid")
+    return own.select(F.concat_ws("__", "name", F.col("part").cast("string")).alias("name"), "fid", "ring", "seq", "ex1", "ey1", "ex2", "ey2")
 
 
 def split_lines(stops: DataFrame, key: str) -> DataFrame:

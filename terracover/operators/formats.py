@@ -48,19 +48,37 @@ def trim_precision(points: Column, places: int = 6) -> Column:
     return F.transform(points, lambda p: F.struct(F.round(p["lat"], places).alias("lat"), F.round(p["lon"], places).alias("lon")))
 
 
+def with_part(edges: DataFrame) -> DataFrame:
+    """An edge table with the number of the polygon that a ring belongs to; without one, all rings are of one polygon."""
+    return edges if "part" in edges.columns else edges.withColumn("part", F.lit(0))
+
+
 def rings(edges: DataFrame) -> DataFrame:
-    """(fid, ring, points): closed rings of an edge table."""
-    own = edges.groupBy("fid", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("ey1").alias("lat"), F.col("ex1").alias("lon")))).alias("p"))
-    return own.select("fid", "ring", closed(F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))).alias("points"))
+    """(fid, part, ring, points): closed rings of an edge table."""
+    own = with_part(edges).groupBy("fid", "part", "ring").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("ey1").alias("lat"), F.col("ex1").alias("lon")))).alias("p"))
+    return own.select("fid", "part", "ring", closed(F.transform("p", lambda x: F.struct(x["lat"].alias("lat"), x["lon"].alias("lon")))).alias("points"))
+
+
+def nested(polygons: DataFrame, ring: Column | str = "points") -> DataFrame:
+    """(fid, polys): each fence's polygons in order, each an array of its rings, the outline first."""
+    own = polygons.select("fid", "part", "ring", F.col(ring).alias("r") if isinstance(ring, str) else ring.alias("r"))
+    parts = own.groupBy("fid", "part").agg(F.sort_array(F.collect_list(F.struct("ring", "r"))).alias("rs"))
+    return parts.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("part", "rs"))).alias("ps")).select("fid", F.transform("ps", lambda p: F.transform(p["rs"], lambda r: r["r"])).alias("polys"))
+
+
+def exploded(edges: DataFrame) -> DataFrame:
+    """(fid, part, rings): each polygon of each fence as a feature of its own, its rings with the outline first."""
+    return nested(rings(edges)).select("fid", F.posexplode("polys").alias("part", "rings"))
 
 
 def sql_contains(polygons: DataFrame) -> DataFrame:
-    """(fid, sql): an ST_CONTAINS condition per fence."""
+    """(fid, sql): an ST_CONTAINS condition per fence, on a Polygon or, of several parts, a MultiPolygon."""
     fixed = lambda c: F.format_string("%.6f", c)
-    ring = F.concat(F.lit("["), F.array_join(F.transform("points", lambda p: F.concat(F.lit("["), fixed(p["lon"]), F.lit(","), fixed(p["lat"]), F.lit("]"))), ","), F.lit("]"))
-    own = polygons.select("fid", F.struct("ring", ring.alias("t")).alias("r")).groupBy("fid").agg(F.sort_array(F.collect_list("r")).alias("rs"))
-    body = F.array_join(F.transform("rs", lambda r: r["t"]), ",")
-    return own.select("fid", F.concat(F.lit("ST_CONTAINS(ST_GeomFromGeoJSON('{\"type\":\"Polygon\",\"coordinates\":["), body, F.lit("]}', 2, 0), POINT(lon, lat))")).alias("sql"))
+    listed = lambda x: F.concat(F.lit("["), F.array_join(x, ","), F.lit("]"))
+    ring = listed(F.transform("points", lambda p: F.concat(F.lit("["), fixed(p["lon"]), F.lit(","), fixed(p["lat"]), F.lit("]"))))
+    own = nested(polygons, ring).select("fid", F.size("polys").alias("n"), F.transform("polys", listed).alias("polys"))
+    body = F.when(F.col("n") == 1, F.concat(F.lit('Polygon","coordinates":'), F.get("polys", F.lit(0)))).otherwise(F.concat(F.lit('MultiPolygon","coordinates":'), listed(F.col("polys"))))
+    return own.select("fid", F.concat(F.lit("ST_CONTAINS(ST_GeomFromGeoJSON('{\"type\":\""), body, F.lit("}', 2, 0), POINT(lon, lat))")).alias("sql"))
 
 
 def deduplicated(points: DataFrame, key: str, seq: str = "seq") -> DataFrame:
@@ -71,7 +89,7 @@ def deduplicated(points: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 
 def poracle(fences: DataFrame, polygons: DataFrame, groups: DataFrame) -> DataFrame:
     """Flat fence records: id from 1 by name, group, flags, path of the outer ring or multipath of several."""
-    paths = polygons.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("ring", F.transform("points", lambda p: F.array(F.round(p["lat"], 6), F.round(p["lon"], 6))).alias("p")))).alias("rs"))
+    paths = polygons.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("part", "ring", F.transform("points", lambda p: F.array(F.round(p["lat"], 6), F.round(p["lon"], 6))).alias("p")))).alias("rs"))
     both = numbered(fences.select("fid", "name", "parent"), "name", "id").join(paths, "fid").join(groups, "parent", "left")
     one = F.size("rs") == 1
     all_ = F.transform("rs", lambda r: r["p"])
@@ -81,9 +99,13 @@ def poracle(fences: DataFrame, polygons: DataFrame, groups: DataFrame) -> DataFr
     )
 
 
+def geometry_of(geo_type: str, coordinates: Column) -> Column:
+    return F.struct(F.lit(geo_type).alias("type"), coordinates.alias("coordinates"))
+
+
 def collection(geo_type: str, fid: Column, name: Column, coordinates: Column) -> Column:
     """A Feature's JSON text."""
-    geometry = F.struct(F.lit(geo_type).alias("type"), coordinates.alias("coordinates"))
+    geometry = geometry_of(geo_type, coordinates)
     return F.to_json(F.struct(F.lit("Feature").alias("type"), fid.alias("id"), geometry.alias("geometry"), F.struct(name.alias("name")).alias("properties")))
 
 

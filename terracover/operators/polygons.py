@@ -102,6 +102,8 @@ def area(ring: np.ndarray) -> float:
 
 def _segments(edges: DataFrame, key: str) -> DataFrame:
     """(key, fid, sid, ax, ay, bx, by): the sides of all rings, without those of no length."""
+    if "part" in edges.columns:
+        edges = edges.withColumn("ring", F.struct("part", "ring"))
     ring = Window.partitionBy(key, "fid", "ring").orderBy("seq")
     whole = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     nxt = lambda c: F.coalesce(F.lead(c).over(ring), F.first(c).over(whole))

@@ -1,4 +1,4 @@
-"""Rendering features (fid, name, parts: array<array<struct<lat, lon>>>) in every return type."""
+"""Rendering features (fid, name, parts: rings, polys: polygons of rings) in every return type."""
 
 from __future__ import annotations
 
@@ -7,32 +7,41 @@ from pyspark.sql import functions as F
 
 from terracover.operators import formats
 
-PARTS = "array<array<struct<lat:double,lon:double>>>"
-
 
 def parts_of(polygons: DataFrame, fences: DataFrame) -> DataFrame:
-    """(fid, name, parts): outer rings and holes of each fence in ring order."""
-    own = polygons.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("ring", "points"))).alias("rs"))
-    return own.join(fences.select("fid", "name"), "fid").select("fid", "name", F.transform("rs", lambda r: r["points"]).alias("parts"))
+    """(fid, name, parts, polys): all rings of each fence in order, and the same by polygon."""
+    own = formats.nested(polygons).withColumn("parts", F.flatten("polys"))
+    return own.join(fences.select("fid", "name"), "fid").select("fid", "name", "parts", "polys")
+
+
+def _flip(p: Column) -> Column:
+    return F.array(p["lon"], p["lat"])
+
 
+def coerced(parts: Column, geo_type: str, polys: Column | None = None) -> Column:
+    """GeoJSON coordinates as Point, MultiPoint, Polygon or MultiPolygon.
 
-def coerced(parts: Column, geo_type: str) -> Column:
-    """GeoJSON coordinates as Point, MultiPoint, Polygon or MultiPolygon; several parts become several polygons."""
-    flip = lambda p: F.array(p["lon"], p["lat"])
+    A Polygon takes all rings, of several polygons too; a MultiPolygon keeps its polygons and their holes where
+    these are given (polys), else every ring becomes a polygon.
+    """
     if geo_type == "Point":
-        return flip(F.element_at(F.flatten(parts), 1))
+        return _flip(F.element_at(F.flatten(parts), 1))
     if geo_type == "MultiPoint":
-        return F.transform(F.flatten(parts), flip)
-    rings = F.transform(parts, lambda r: F.transform(r, flip))
-    return rings if geo_type == "Polygon" else F.transform(rings, lambda r: F.array(r))
+        return F.transform(F.flatten(parts), _flip)
+    ring = lambda r: F.transform(r, _flip)
+    if geo_type == "Polygon":
+        return F.transform(parts, ring)
+    return F.transform(parts, lambda r: F.array(ring(r))) if polys is None else F.transform(polys, lambda p: F.transform(p, ring))
 
 
 def rendered(features: DataFrame, form: str) -> DataFrame:
     """(fid, out): each feature in a return type, as text."""
     parts, one = F.col("parts"), F.flatten("parts")
     pair = lambda p: F.array(p["lat"], p["lon"])
-    geometry = F.to_json(F.struct(F.lit("Polygon").alias("type"), coerced(parts, "Polygon").alias("coordinates")))
-    feature = formats.collection("Polygon", F.col("fid"), F.col("name"), coerced(parts, "Polygon"))
+    single, several = coerced(parts, "Polygon"), coerced(parts, "MultiPolygon", F.col("polys"))
+    by_parts = lambda make: F.when(F.size("polys") == 1, make("Polygon", single)).otherwise(make("MultiPolygon", several))
+    geometry = by_parts(lambda kind, at: F.to_json(formats.geometry_of(kind, at)))
+    feature = by_parts(lambda kind, at: formats.collection(kind, F.col("fid"), F.col("name"), at))
     by = {
         "text": formats.to_text(one, ",", "\n"),
         "alt_text": formats.to_text(one, " ", ","),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracover.functions import geo
+from terracover.operators.formats import with_part
 from terracover.operators.grouping import highest_before
 
 
@@ -81,10 +82,11 @@ def ecef_center(points: DataFrame) -> DataFrame:
 
 
 def area(edges: DataFrame) -> DataFrame:
-    """(fid, area): square metres of each fence, its outer ring less its holes."""
-    ring = Window.partitionBy("fid", "ring").orderBy("seq")
+    """(fid, area): square metres of each fence, the outlines of its parts less their holes."""
+    edges = with_part(edges)
+    ring = Window.partitionBy("fid", "part", "ring").orderBy("seq")
     full = ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     before = F.coalesce(F.lag("ex1").over(ring), F.last("ex1").over(full))
     terms = edges.withColumn("term", geo.ring_area_term(before, F.col("ex2"), F.col("ey1")))
-    rings = terms.groupBy("fid", "ring").agg(F.abs(F.sum("term")).alias("a"))
+    rings = terms.groupBy("fid", "part", "ring").agg(F.abs(F.sum("term")).alias("a"))
     return rings.groupBy("fid").agg(F.round(F.sum(F.when(F.col("ring") == 0, F.col("a")).otherwise(-F.col("a"))), 0).alias("area"))

@@ -21,6 +21,10 @@ def _corner(index: str, offset: int, base: int) -> str:
     return f"CAST({base} AS DOUBLE)+(CAST({index} AS DOUBLE)*CAST(8000 AS DOUBLE)+CAST({offset} AS DOUBLE))/CAST(1000000 AS DOUBLE)"
 
 
+def _micro(n: int) -> str:
+    return f"CAST({n} AS DOUBLE)/CAST(1000000 AS DOUBLE)"
+
+
 _COL, _ROW = "n_nationkey%5", "(n_nationkey-n_nationkey%5)/5"
 _INSET = "CAST(2600 AS DOUBLE)/CAST(1000000 AS DOUBLE)"
 _PROPERTY = "(1,'name','database',NULL),(2,'color','color','#ffffff'),(3,'priority','number','5'),(4,'active','boolean','true'),(5,'tags','array','[]'),(6,'meta','object','{}'),(7,'parent','string',NULL)"
@@ -35,6 +39,10 @@ VIEWS: dict[str, str] = {
     "fence": f"SELECT CAST(n_nationkey AS BIGINT) AS fid, n_name AS name, CAST(100 + n_regionkey AS BIGINT) AS parent, {_corner(_COL, 301, -74)} AS x0, {_corner(_COL, 7701, -74)} AS x1, {_corner(_ROW, 301, 40)} AS y0, {_corner(_ROW, 7701, 40)} AS y1 FROM nation",
     "ring": f"SELECT fid, 0 AS ring, x0, y0, x1, y1 FROM fence UNION ALL SELECT fid, 1 AS ring, x0+{_INSET}, y0+{_INSET}, x1-{_INSET}, y1-{_INSET} FROM fence WHERE fid%2=1",
     "edge": "SELECT fid, ring, 0 AS seq, x0 AS ex1, y0 AS ey1, x1 AS ex2, y0 AS ey2 FROM ring UNION ALL SELECT fid, ring, 1, x1, y0, x1, y1 FROM ring UNION ALL SELECT fid, ring, 2, x1, y1, x0, y1 FROM ring UNION ALL SELECT fid, ring, 3, x0, y1, x0, y0 FROM ring",
+    # fences of one or two polygons: of every fifth fence the halves beside a gap, each with a hole where fid is odd
+    "part_box": f"SELECT fid, 0 AS part, x0, y0, x1, y1 FROM fence WHERE fid%5<>4 UNION ALL SELECT fid, 0, x0, y0, x0+{_micro(3400)}, y1 FROM fence WHERE fid%5=4 UNION ALL SELECT fid, 1, x0+{_micro(4000)}, y0, x1, y1 FROM fence WHERE fid%5=4",
+    "part_ring": f"SELECT fid, part, 0 AS ring, x0, y0, x1, y1 FROM part_box UNION ALL SELECT fid, part, 1, x0+{_micro(1000)}, y0+{_micro(1000)}, x1-{_micro(1000)}, y1-{_micro(1000)} FROM part_box WHERE fid%2=1",
+    "part_edge": "SELECT fid, part, ring, 0 AS seq, x0 AS ex1, y0 AS ey1, x1 AS ex2, y0 AS ey2 FROM part_ring UNION ALL SELECT fid, part, ring, 1, x1, y0, x1, y1 FROM part_ring UNION ALL SELECT fid, part, ring, 2, x1, y1, x0, y1 FROM part_ring UNION ALL SELECT fid, part, ring, 3, x0, y1, x0, y0 FROM part_ring",
     "geofence": "SELECT fid AS id, name, parent, CASE WHEN fid%2=0 THEN 'auto_quest' ELSE 'pokemon_iv' END AS mode, CASE WHEN fid%5=4 THEN 'MultiPolygon' ELSE 'Polygon' END AS geo_type FROM fence UNION ALL SELECT CAST(100+r_regionkey AS BIGINT), r_name, CAST(NULL AS BIGINT), 'unset', 'Polygon' FROM region",
     "project": "SELECT * FROM (VALUES (1,'alpha',true,'http://a'),(2,'beta',false,CAST(NULL AS :string)),(3,'gamma',false,'http://c')) AS t(id, name, scanner, api_endpoint)",
     "geofence_project": "SELECT g.id AS geofence_id, p.id AS project_id FROM geofence g CROSS JOIN project p WHERE g.id < 24 AND (g.id + p.id) % 3 = 0",
