@@ -7,29 +7,40 @@ as a map is searched entry by entry. In long arrays a round merges all of the pa
 once, unless a vocabulary piece of lower rank begins or ends with the merged piece; then, as in short
 arrays, the leftmost alone. Long words are cut first between bytes that are neighbours in no piece.
 
-The corpus's `remembered` most frequent words (each of at most `LONG` bytes) are folded once and kept as
-a literal too; all other words are folded where they stand, so no occurrence is ever shuffled and the
-result does not depend on what is remembered. Decoding concatenates the pieces of the ids.
+Each distinct word of the corpus is folded once, wherever it occurs; its ids are then written for every split
+of the input (a file's byte range that one task reads) that has the word, and the task that reads the split
+again looks its words up in that split's dictionary alone. So no occurrence is shuffled, only each split's
+distinct words, and a dictionary is bounded by its split. Decoding concatenates the pieces of the ids.
 
 The pattern's letters and numbers are those of the tokenizer's library: code points that it counts and
 the JVM, whose tables may be older, does not are added as ranges.
 
 Defined results: null and empty texts have no ids and decode to nothing; repeated rows each appear; a
-null doc_id appears; extra columns are kept by `encoded` (an `ids` column is replaced).
+null doc_id appears; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import json
 import zlib
+from collections.abc import Iterator
 from functools import cache
+from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import tiktoken
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terracover.llm.common import scratch_path, stored
+from terracover.llm.files import resolve
+
 #: Maps that a literal is dealt out to, and bytes from which a word is cut and merged many at once.
 BUCKETS = 1 << 14
 LONG = 32
@@ -49,11 +60,6 @@ def _dealt(entries: dict[str, object]) -> str:
     return json.dumps(maps, ensure_ascii=False, separators=(",", ":"))
 
 
-def _literal(text: str, kind: str) -> Column:
-    """A constant of the plan: JSON that the optimizer parses once."""
-    return F.from_json(F.lit(text), kind)
-
-
 def _found(maps: Column, key: Column) -> Column:
     """The value of a key, null where there is none."""
     return F.get(maps, F.crc32(key.cast("binary")).bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))[key]
@@ -73,10 +79,10 @@ def rank_maps(path: str) -> str:
 
 
 @cache
-def piece_table(path: str) -> str:
-    """By id: a piece's bytes and the id's four bytes, least first, in hex."""
+def piece_table(path: str) -> pa.BinaryArray:
+    """The pieces by id."""
     own = {r: p for p, r in ranks(path).items()}
-    return json.dumps([{"piece": own[i].hex(), "id": i.to_bytes(4, "little").hex()} if i in own else None for i in range(max(own) + 1)])
+    return pa.array([own.get(i) for i in range(max(own) + 1)], pa.binary())
 
 
 def _ranges(points: np.ndarray) -> str:
@@ -87,11 +93,14 @@ def _ranges(points: np.ndarray) -> str:
 @cache
 def _members(cls: str) -> np.ndarray:
     """Code points beyond ASCII of a class, as the tokenizer's library has it: with a rank for 'a' and a byte, they join an 'a' before them."""
-    points = np.array([c for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000])
     own = {bytes([b]): b for b in range(256)} | {bytes([0x61, b]): 256 + b for b in range(256)}
     probe = tiktoken.Encoding("probe", pat_str=rf"a{cls}|[\s\S]", mergeable_ranks=own, special_tokens={})
-    ids = np.array(probe.encode_ordinary("".join(f"a{chr(c)}" for c in points)))
-    return points[ids[(ids == 0x61) | (ids >= 256)] >= 256]
+    found = []
+    for start in range(0x80, 0x110000, 1 << 14):
+        points = np.array([c for c in range(start, min(start + (1 << 14), 0x110000)) if not 0xD800 <= c < 0xE000], np.int64)
+        ids = np.array(probe.encode_ordinary("".join(f"a{chr(c)}" for c in points.tolist())), np.int64)
+        found.append(points[ids[(ids == 0x61) | (ids >= 256)] >= 256])
+    return np.concatenate(found)
 
 
 @cache
@@ -171,51 +180,133 @@ def _cut(maps: Column, hexes: Column) -> Column:
     return _bound(F.regexp_extract_all(hexes, F.lit(".."), F.lit(0)), joined)
 
 
-def word_ids(word: Column, maps: Column) -> Column:
+def word_ids(word: Column, path: str) -> Column:
     """Ids of a word: its own where it is a piece, else those of its folded bytes."""
 
     def of(x: Column) -> Column:
-        hexes = x["h"]
+        hexes, maps = x["h"], x["maps"]
         pieces = F.when(F.length(hexes) > 2 * LONG, F.flatten(F.transform(_cut(maps, hexes), lambda h: _folded(maps, h)))).otherwise(_folded(maps, hexes))
-        whole = F.shiftright(x["own"], 1)
+        whole = F.shiftright(_found(maps, hexes), 1)
         return F.when(whole.isNotNull(), F.array(whole)).otherwise(F.transform(pieces, lambda y: F.shiftright(_found(maps, y), 1)))
 
-    return _bound(F.hex(word.cast("binary")), lambda h: _bound(F.struct(h.alias("h"), _found(maps, h).alias("own")), of))
+    maps = F.from_json(F.lit(rank_maps(path)), "array<map<string,int>>")  # a constant: parsed once, by the optimizer
+    return _bound(F.struct(F.hex(word.cast("binary")).alias("h"), maps.alias("maps")), of)
+
+
+def _split() -> Column:
+    """The split that a row is read from; two splits of one hash would only share their dictionaries."""
+    return F.xxhash64("_metadata.file_path", "_metadata.file_block_start")
+
+
+def _on_files(docs: DataFrame) -> DataFrame:
+    """The documents as rows of files; others, and those of fewer files than cores, are stored first."""
+    try:
+        docs.select("_metadata.file_path")
+        enough = len(docs.inputFiles()) >= docs.sparkSession.sparkContext.defaultParallelism
+    except AnalysisException:
+        enough = False
+    return docs if enough else stored(docs.repartition(docs.sparkSession.sparkContext.defaultParallelism), "documents")
+
+
+def _dictionaries(split_words: DataFrame, path: str) -> str:
+    """Folds each distinct word once; the folder of each split's words and ids, as dictionaries split=hash."""
+    spark = split_words.sparkSession
+    own = split_words.select("split", F.explode("words").alias("word")).distinct()
+    folded = own.groupBy("word").agg(F.collect_list("split").alias("splits")).select("word", "splits", word_ids(F.col("word"), path).alias("ids"))
+    folder = scratch_path(spark, "dictionaries")
+    folded.select(F.explode("splits").alias("split"), "word", "ids").repartition("split").write.partitionBy("split").parquet(folder)
+    return folder
 
 
-def remembered_words(docs: DataFrame, path: str, pattern: str, size: int) -> dict[str, list[int]]:
-    """The ids of the `size` most frequent words of the corpus, those of at most LONG bytes."""
-    maps = _literal(rank_maps(path), "array<map<string,int>>")
-    words = docs.select(F.explode(words_of(F.col("text"), pattern)).alias("w")).where(F.octet_length("w") <= LONG)
-    top = words.groupBy("w").count().orderBy(F.desc("count"), "w").limit(size).select("w")
-    top = top.repartition(docs.sparkSession.sparkContext.defaultParallelism)
-    return {r.w: r.ids for r in top.select("w", word_ids(F.col("w"), maps).alias("ids")).collect()}
+def _looked_up(folder: str):
+    """A function from a split and its words to their ids as bytes, four each; the last split's dictionary is kept."""
+    held: dict[int, tuple] = {}
 
+    def find(split: int, words: pa.StringArray) -> pa.BinaryArray:
+        if not len(words):
+            return pa.array([], pa.binary())  # its split may have no dictionary
+        if split not in held:
+            held.clear()
+            system, name = resolve(f"{folder}/split={split}")
+            own = pq.read_table(name, filesystem=system, columns=["word", "ids"], partitioning=None)
+            ids = own["ids"].combine_chunks()
+            ids = ids.chunk(0) if isinstance(ids, pa.ChunkedArray) else ids
+            flat = ids.flatten().cast(pa.int32())
+            offsets = (ids.offsets.to_numpy() - ids.offsets[0].as_py()) * 4
+            held[split] = own["word"].combine_chunks(), pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(flat.to_numpy().astype("<u4").tobytes())])
+        keys, values = held[split]
+        at = pc.index_in(words, value_set=keys)
+        if at.null_count:
+            raise RuntimeError("a split was read otherwise the second time")
+        return values.take(at)
 
-def encoded(docs: DataFrame, path: str, pattern: str, remembered: int = 1 << 16) -> DataFrame:
-    """The documents with `ids` (array of int) of the whole text, without special tokens."""
-    known = _literal(_dealt(remembered_words(docs, path, pattern, remembered)), "array<map<string,array<int>>>")
-    maps = _literal(rank_maps(path), "array<map<string,int>>")
+    return find
 
-    def ids(x: Column) -> Column:
-        each = lambda w: F.coalesce(_found(x["known"], w), word_ids(w, x["maps"]))
-        return F.flatten(F.transform(x["words"], each))
 
-    return docs.withColumn("ids", _bound(F.struct(words_of(F.col("text"), pattern).alias("words"), known.alias("known"), maps.alias("maps")), ids))
+def _encoded_batches(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Batches with the ids of their rows, and where each row's begin and end."""
+    find = _looked_up(folder)
+    for b in batches:
+        splits = b["split"].to_numpy()
+        cuts = np.flatnonzero(np.r_[True, splits[1:] != splits[:-1]]) if len(splits) else np.zeros(0, np.int64)
+        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(splits)], strict=True):
+            part = b.slice(i, j - i)
+            lists = part["words"]
+            found = find(int(splits[i]), lists.flatten())
+            starts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            ends = np.frombuffer(found.buffers()[1], np.int32)[found.offset : found.offset + len(found) + 1] if len(found) else np.zeros(1, np.int32)
+            ids = np.frombuffer(found.buffers()[2], "<u4") if len(found) and found.buffers()[2] else np.zeros(0, np.uint32)
+            yield part, ids, ends[starts] // 4
 
 
-def _joined(ids: Column, path: str, field: str) -> Column:
-    """A field of the pieces of ids, concatenated, as bytes."""
-    table = _literal(piece_table(path), "array<struct<piece:string,id:string>>")
-    return F.unhex(_bound(table, lambda t: F.array_join(F.transform(ids, lambda i: F.get(t, i)[field]), "")))
+def _words(docs: DataFrame, pattern: str, *keep: Column) -> DataFrame:
+    return docs.select(*keep, _split().alias("split"), words_of(F.col("text"), pattern).alias("words"))
+
+
+def encoded(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """(doc_id, ids): the ids (array of int) of each whole text, without special tokens."""
+    docs = _on_files(docs)
+    folder = _dictionaries(_words(docs, pattern), path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, ends in _encoded_batches(folder, batches):
+            lists = pa.ListArray.from_arrays(pa.array(ends - ends[0], pa.int32()), pa.array(ids[ends[0] : ends[-1]].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([part["doc_id"], lists], names=["doc_id", "ids"])
+
+    return _words(docs, pattern, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, ids array<int>")
+
+
+def pieces_of(ids: np.ndarray, path: str) -> tuple[pa.Buffer, np.ndarray]:
+    """The pieces of ids, concatenated, and where each begins (and the last ends)."""
+    found = piece_table(path).take(pa.array(ids.astype(np.int64)))
+    return found.buffers()[2] or pa.py_buffer(b""), np.frombuffer(found.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
 
 
 def decoded(frame: DataFrame, path: str) -> DataFrame:
-    """The frame with `decoded` (binary): the pieces of its `ids`, concatenated."""
-    return frame.withColumn("decoded", _joined(F.col("ids"), path, "piece"))
+    """(doc_id, decoded binary): the pieces of `ids`, concatenated."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b["ids"]
+            data, begins = pieces_of(lists.flatten().to_numpy(), path)
+            ends = begins[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.BinaryArray.from_buffers(pa.binary(), b.num_rows, [None, pa.py_buffer(np.ascontiguousarray(ends)), data])], names=["doc_id", "decoded"])
+
+    return frame.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (ids as four bytes each, least first), decoded_sha256."""
-    made = decoded(encoded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), path, pattern).select("doc_id", "ids"), path)
-    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(_joined(F.col("ids"), path, "id"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = _on_files(docs)
+    folder = _dictionaries(_words(docs, pattern), path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, ids, ends in _encoded_batches(folder, batches):
+            data, begins = pieces_of(ids, path)
+            text, raw, at = memoryview(data), memoryview(ids).cast("B"), begins[ends].tolist()
+            ends = ends.tolist()
+            sha = lambda view: hashlib.sha256(view).hexdigest()
+            columns = [[b - a for a, b in pairwise(ends)], [sha(raw[4 * a : 4 * b]) for a, b in pairwise(ends)], [sha(text[a:b]) for a, b in pairwise(at)]]
+            yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array(columns[0], pa.int64()), *(pa.array(c, pa.string()) for c in columns[1:])], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return _words(docs, pattern, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
