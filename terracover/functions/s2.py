@@ -133,28 +133,87 @@ def vertices(ids) -> np.ndarray:
     return np.stack([np.stack(c, axis=1) for c in corners], axis=1)
 
 
-def neighbourhood(cell: int, size: int) -> np.ndarray:
-    """The size x size block of cells of one level around a cell (size odd); clipped at the cube face."""
-    face, i, j, level = (int(a[0]) for a in to_face_ij(np.array([cell])))
-    side, half = 1 << (MAX_LEVEL - level), size // 2
-    di, dj = np.meshgrid(np.arange(-half, half + 1), np.arange(-half, half + 1), indexing="ij")
-    ii, jj = i + di.ravel() * side, j + dj.ravel() * side
-    ok = (ii >= 0) & (ii < SIZE) & (jj >= 0) & (jj < SIZE)
-    return from_face_ij(np.full(ok.sum(), face), ii[ok], jj[ok], level)
+def wrapped(face, i, j) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(face, i, j) of leaf coordinates that may lie outside their face: those go over its edge to the leaf next to it.
+
+    A coordinate outside is taken just beyond the edge, put on the cube's side and projected onto the face that
+    it lies on; at a corner, where no leaf is diagonally opposite, that is one of the leaves around the corner.
+    """
+    face, i, j = np.broadcast_arrays(*(np.asarray(a, np.int64) for a in (face, i, j)))
+    out = (i < 0) | (i >= SIZE) | (j < 0) | (j >= SIZE)
+    if not out.any():
+        return face, i, j
+    beyond = np.nextafter(1.0, 2.0)
+    u, v = (np.clip((2.0 * (np.clip(a[out], -1, SIZE) - SIZE // 2) + 1) / SIZE, -beyond, beyond) for a in (i, j))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        other, u, v = _face_uv(*_face_xyz(face[out], u, v))
+    face, i, j = face.copy(), i.copy(), j.copy()
+    face[out] = other
+    i[out], j[out] = (np.clip(np.floor((a + 1) / 2 * SIZE), 0, SIZE - 1).astype(np.int64) for a in (u, v))
+    return face, i, j
 
 
-def edge_neighbours(ids: np.ndarray) -> np.ndarray:
-    """The up to four neighbours over an edge, on the same face."""
+#: Steps to the neighbours over an edge, and to those at a corner.
+EDGE_STEPS = ((1, 0), (-1, 0), (0, 1), (0, -1))
+CORNER_STEPS = ((1, 1), (1, -1), (-1, 1), (-1, -1))
+
+
+def _stepped(ids: np.ndarray, steps: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """Cells of the same levels that the steps lead to, over face edges too, each once."""
+    ids = np.asarray(ids, np.int64)
+    if not len(ids):
+        return ids
     face, i, j, level = to_face_ij(ids)
     side = np.left_shift(1, MAX_LEVEL - level)
     out = []
-    for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1)):
-        ii, jj = i + a * side, j + b * side
-        ok = (ii >= 0) & (ii < SIZE) & (jj >= 0) & (jj < SIZE)
-        for lv in np.unique(level[ok]):
-            m = ok & (level == lv)
-            out.append(from_face_ij(face[m], ii[m], jj[m], int(lv)))
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+    for a, b in steps:
+        f, ii, jj = wrapped(face, i + a * side, j + b * side)
+        for lv in np.unique(level):
+            m = level == lv
+            out.append(from_face_ij(f[m], ii[m], jj[m], int(lv)))
+    return np.unique(np.concatenate(out))
+
+
+def edge_neighbours(ids: np.ndarray) -> np.ndarray:
+    """The four neighbours of each cell over its edges."""
+    return _stepped(ids, EDGE_STEPS)
+
+
+def all_neighbours(ids: np.ndarray) -> np.ndarray:
+    """The neighbours of each cell over its edges and corners: eight, or seven at a corner of the cube."""
+    return _stepped(ids, EDGE_STEPS + CORNER_STEPS)
+
+
+def neighbourhood(cell: int, size: int) -> np.ndarray:
+    """The cells of one level within size // 2 steps, diagonal ones too, of a cell: a block of size x size (size odd).
+
+    Blocks go over the edges of the cube's faces; around its corners, where three cells meet, they have fewer cells.
+    """
+    return neighbourhoods(np.array([cell], np.int64), size)[0]
+
+
+def neighbourhoods(cells: np.ndarray, size: int) -> list[np.ndarray]:
+    """The neighbourhood of each cell: those inside a face as a block of coordinates, the others ring by ring."""
+    cells = np.asarray(cells, np.int64)
+    face, i, j, level = to_face_ij(cells)
+    side, half = np.left_shift(1, MAX_LEVEL - level), size // 2
+    low, high = np.minimum(i, j) - half * side, np.maximum(i, j) + half * side
+    within = (low >= 0) & (high < SIZE)
+    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(cells)
+    di, dj = (a.ravel() for a in np.meshgrid(np.arange(-half, half + 1), np.arange(-half, half + 1), indexing="ij"))
+    for lv in np.unique(level[within]):
+        at = np.flatnonzero(within & (level == lv))
+        ii, jj = (c[at, None] + d[None] * side[at, None] for c, d in ((i, di), (j, dj)))
+        found = from_face_ij(np.repeat(face[at], len(di)), ii.ravel(), jj.ravel(), int(lv)).reshape(len(at), -1)
+        for k, ids in zip(at.tolist(), found, strict=True):
+            out[k] = ids
+    for k in np.flatnonzero(~within).tolist():
+        seen = front = cells[k : k + 1]
+        for _ in range(half):
+            front = np.setdiff1d(all_neighbours(front), seen)
+            seen = np.union1d(seen, front)
+        out[k] = seen
+    return out
 
 
 def cover_rect(min_lat: float, min_lon: float, max_lat: float, max_lon: float, level: int, limit: int | None = None) -> np.ndarray:
@@ -282,6 +341,16 @@ def corners(ids: Column) -> Column:
     return F.pandas_udf(run, "array<array<double>>")(ids)
 
 
+def cells_in_box(y0: Column, x0: Column, y1: Column, x1: Column, level: int) -> Column:
+    """array<long>: the cells of a level that meet each latitude-longitude box."""
+
+    def run(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series([cover_rect(*box, level).tolist() for box in zip(a, b, c, d, strict=True)], dtype=object)
+
+    run.__annotations__ = {"a": pd.Series, "b": pd.Series, "c": pd.Series, "d": pd.Series, "return": pd.Series}
+    return F.pandas_udf(run, "array<long>")(y0, x0, y1, x1)
+
+
 def cells_within(lat: Column, lon: Column, metres: float, level: int) -> Column:
     """array<long>: the cells of a level that meet the circle around each point."""
 

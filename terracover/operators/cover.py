@@ -555,7 +555,7 @@ def s2_block_cover(points: DataFrame, blocks: DataFrame, level: int, size: int,
     """Blocks (cell, ...) whose size x size neighbourhood holds at least max(min_points, 1) points, with n."""
 
     def around(c: pd.Series) -> pd.Series:
-        return pd.Series([s2.neighbourhood(int(i), size).tolist() for i in c], dtype=object)
+        return pd.Series([ids.tolist() for ids in s2.neighbourhoods(c.to_numpy(np.int64), size)], dtype=object)
 
     around.__annotations__ = {"c": pd.Series, "return": pd.Series}
     near = blocks.select("cell").distinct().select(F.col("cell").alias("block"), F.explode(F.pandas_udf(around, "array<long>")("cell")).alias("cell"))

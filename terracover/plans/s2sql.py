@@ -47,3 +47,41 @@ def around(points: str, centres: str, level: int, reach: int) -> str:
     side = 1 << (30 - level)
     at = lambda rows: f"SELECT face, i // {side} AS ci, j // {side} AS cj FROM ({ij(rows)})"
     return f"SELECT c.face, c.ci * {side} AS i, c.cj * {side} AS j, count(*) AS n FROM (SELECT DISTINCT * FROM ({at(centres)})) c JOIN ({at(points)}) p ON p.face = c.face AND abs(p.ci - c.ci) <= {reach} AND abs(p.cj - c.cj) <= {reach} GROUP BY ALL"
+
+
+def corner(i: str, j: str) -> tuple[str, str, str]:
+    """Unnormalised x, y, z of a corner of the cube's grid on a face, by its leaf coordinates (up to the face's far edge)."""
+    uv = lambda s: f"(CASE WHEN {s} >= 0.5 THEN (4*{s}*{s}-1)/3 ELSE (1-4*(1-{s})*(1-{s}))/3 END)"
+    u, v = uv(f"(({i})/1073741824.0)"), uv(f"(({j})/1073741824.0)")
+    by = lambda *c: "CASE face " + " ".join(f"WHEN {k} THEN {x}" for k, x in enumerate(c)) + " END"
+    return by("1.0", f"-{u}", f"-{u}", "-1.0", v, v), by(u, "1.0", f"-{v}", f"-{v}", "-1.0", u), by(v, v, "1.0", f"-{u}", f"-{u}", "-1.0")
+
+
+def corners(cells: str, level: int, keep: str) -> str:
+    """keep, k and lat, lon of the four corners of cells (face, ci, cj) of a level."""
+    side = 1 << (30 - level)
+    one = "SELECT {0}, {1} AS k, {2} AS x, {3} AS y, {4} AS z FROM ({5})"
+    rows = [one.format(keep, k, *corner(f"(ci + {a}) * {side}", f"(cj + {b}) * {side}"), cells) for k, (a, b) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1)))]
+    return f"SELECT {keep}, k, degrees(atan2(z, sqrt(x*x+y*y))) AS lat, degrees(atan2(y, x)) AS lon, x, y, z FROM ({' UNION ALL '.join(rows)})"
+
+
+def domain(points: str, level: int, margin: int) -> str:
+    """(face, ci, cj): the cells of a level in the bounds of the points on each face, and `margin` cells around them on that face."""
+    side, most = 1 << (30 - level), (1 << level) - 1
+    span = lambda c: f"generate_series(greatest(min({c} // {side}) - {margin}, 0), least(max({c} // {side}) + {margin}, {most}))"
+    return f"SELECT face, ci, unnest(js) AS cj FROM (SELECT face, unnest({span('i')}) AS ci, {span('j')} AS js FROM ({ij(points)}) GROUP BY face)"
+
+
+def steps_around(points: str, centres: str, level: int, reach: int) -> str:
+    """(cell, n): centre cells and the points within `reach` steps between cells that share a corner, wherever on the cube."""
+    side = 1 << (30 - level)
+    at = lambda rows: f"SELECT face, i // {side} AS ci, j // {side} AS cj FROM ({ij(rows)})"
+    place = lambda c: f"CAST(round({c} / sqrt(x*x+y*y+z*z) * 1e9) AS BIGINT)"
+    return (
+        f"WITH RECURSIVE dom AS ({domain(f'SELECT lat, lon FROM ({points}) UNION ALL SELECT lat, lon FROM ({centres})', level, reach + 1)}), "
+        f"spot AS (SELECT DISTINCT face, ci, cj, {place('x')} AS px, {place('y')} AS py, {place('z')} AS pz FROM ({corners('SELECT * FROM dom', level, 'face, ci, cj')})), "
+        "beside AS (SELECT DISTINCT a.face, a.ci, a.cj, b.face AS f2, b.ci AS ci2, b.cj AS cj2 FROM spot a JOIN spot b USING (px, py, pz)), "
+        f"walk AS (SELECT DISTINCT face AS f0, ci AS ci0, cj AS cj0, face, ci, cj, 0 AS n FROM ({at(centres)}) UNION SELECT f0, ci0, cj0, f2, ci2, cj2, n + 1 FROM walk JOIN beside USING (face, ci, cj) WHERE n < {reach}), "
+        "near AS (SELECT DISTINCT f0, ci0, cj0, face, ci, cj FROM walk) "
+        f"SELECT {signed(cell(level, f'(ci * {side})', f'(cj * {side})'))} AS cell, n FROM (SELECT f0 AS face, ci0 AS ci, cj0 AS cj, count(*) AS n FROM near JOIN ({at(points)}) p USING (face, ci, cj) GROUP BY f0, ci0, cj0)"
+    )

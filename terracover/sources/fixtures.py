@@ -44,6 +44,11 @@ VIEWS: dict[str, str] = {
     "part_ring": f"SELECT fid, part, 0 AS ring, x0, y0, x1, y1 FROM part_box UNION ALL SELECT fid, part, 1, x0+{_micro(1000)}, y0+{_micro(1000)}, x1-{_micro(1000)}, y1-{_micro(1000)} FROM part_box WHERE fid%2=1",
     "part_edge": "SELECT fid, part, ring, 0 AS seq, x0 AS ex1, y0 AS ey1, x1 AS ex2, y0 AS ey2 FROM part_ring UNION ALL SELECT fid, part, ring, 1, x1, y0, x1, y1 FROM part_ring UNION ALL SELECT fid, part, ring, 2, x1, y1, x0, y1 FROM part_ring UNION ALL SELECT fid, part, ring, 3, x0, y1, x0, y0 FROM part_ring",
     "geofence": "SELECT fid AS id, name, parent, CASE WHEN fid%2=0 THEN 'auto_quest' ELSE 'pokemon_iv' END AS mode, CASE WHEN fid%5=4 THEN 'MultiPolygon' ELSE 'Polygon' END AS geo_type FROM fence UNION ALL SELECT CAST(100+r_regionkey AS BIGINT), r_name, CAST(NULL AS BIGINT), 'unset', 'Polygon' FROM region",
+    # the same gyms and stops around 45 degrees north on the prime meridian, where two faces of the cube meet, and around a corner of three
+    "edge_gym": "SELECT id, lat + CAST(498 AS DOUBLE)/CAST(100 AS DOUBLE) AS lat, lon + CAST(7398 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon FROM gym",
+    "edge_stop": "SELECT id, lat + CAST(498 AS DOUBLE)/CAST(100 AS DOUBLE) AS lat, lon + CAST(7398 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon FROM pokestop",
+    "corner_gym": "SELECT id, lat - CAST(4756 AS DOUBLE)/CAST(1000 AS DOUBLE) AS lat, lon + CAST(11898 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon FROM gym",
+    "corner_stop": "SELECT id, lat - CAST(4756 AS DOUBLE)/CAST(1000 AS DOUBLE) AS lat, lon + CAST(11898 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon FROM pokestop",
     "project": "SELECT * FROM (VALUES (1,'alpha',true,'http://a'),(2,'beta',false,CAST(NULL AS :string)),(3,'gamma',false,'http://c')) AS t(id, name, scanner, api_endpoint)",
     "geofence_project": "SELECT g.id AS geofence_id, p.id AS project_id FROM geofence g CROSS JOIN project p WHERE g.id < 24 AND (g.id + p.id) % 3 = 0",
     "property": f"SELECT * FROM (VALUES {_PROPERTY}) AS t(id, name, category, default_value)",
