@@ -208,13 +208,42 @@ def _on_files(docs: DataFrame) -> DataFrame:
     return docs if enough else stored(docs.repartition(docs.sparkSession.sparkContext.defaultParallelism), "documents")
 
 
+def _distinct(split_words: DataFrame) -> DataFrame:
+    """(split, word): each split's words once. A split is read by one task, so nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def emitted() -> Iterator[pa.RecordBatch]:
+            words = pc.unique(pa.chunked_array(held, pa.string())) if held else []
+            for k in range(0, len(words), 1 << 16):
+                part = words[k : k + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), last, np.int64)), part], names=["split", "word"])
+
+        for b in batches:
+            splits = b["split"].to_numpy()
+            for i, j in _runs(splits):
+                if splits[i] != last:
+                    yield from emitted()
+                    last, held = int(splits[i]), []
+                held.append(pc.unique(b["words"].slice(i, j - i).flatten()))
+        yield from emitted()
+
+    return split_words.mapInArrow(run, "split long, word string")
+
+
+def _runs(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Begin and end of each stretch of equal keys."""
+    cuts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
+    return list(zip(cuts, [*cuts[1:], len(keys)], strict=True))
+
+
 def _dictionaries(split_words: DataFrame, path: str) -> str:
     """Folds each distinct word once; the folder of each split's words and ids, as dictionaries split=hash."""
-    spark = split_words.sparkSession
-    own = split_words.select("split", F.explode("words").alias("word")).distinct()
-    folded = own.groupBy("word").agg(F.collect_list("split").alias("splits")).select("word", "splits", word_ids(F.col("word"), path).alias("ids"))
-    folder = scratch_path(spark, "dictionaries")
-    folded.select(F.explode("splits").alias("split"), "word", "ids").repartition("split").write.partitionBy("split").parquet(folder)
+    folder = scratch_path(split_words.sparkSession, "dictionaries")
+    own = _distinct(split_words.select("split", "words")).repartition("word")
+    folded = own.groupBy("word").agg(F.collect_set("split").alias("splits")).select("word", "splits", word_ids(F.col("word"), path).alias("ids"))
+    folded.select(F.explode("splits").alias("split"), "word", "ids").repartition("split").write.partitionBy("split").option("compression", "zstd").parquet(folder)
     return folder
 
 
@@ -248,8 +277,7 @@ def _encoded_batches(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator
     find = _looked_up(folder)
     for b in batches:
         splits = b["split"].to_numpy()
-        cuts = np.flatnonzero(np.r_[True, splits[1:] != splits[:-1]]) if len(splits) else np.zeros(0, np.int64)
-        for i, j in zip(cuts.tolist(), [*cuts[1:].tolist(), len(splits)], strict=True):
+        for i, j in _runs(splits):
             part = b.slice(i, j - i)
             lists = part["words"]
             found = find(int(splits[i]), lists.flatten())
