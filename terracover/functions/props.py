@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 CATEGORIES = ("boolean", "string", "number", "object", "array", "database", "color")
 MODES = ("circle_pokemon", "circle_smart_pokemon", "circle_raid", "circle_smart_raid", "auto_quest", "circle_quest", "circle_station", "pokemon_iv", "leveling", "auto_pokemon", "auto_tth", "unset")
 AREA_MODES = ("auto_quest", "pokemon_iv", "auto_pokemon", "auto_tth")
-ACRONYMS = {"auto_quest": "AQ", "circle_pokemon": "CP", "circle_smart_pokemon": "CSP", "circle_raid": "CR", "circle_smart_raid": "CSR", "circle_quest": "CQ", "circle_station": "CS", "pokemon_iv": "IV", "auto_pokemon": "AP", "auto_tth": "AT", "leveling": "L"}
+ACRONYMS = {"auto_quest": "AQ", "circle_pokemon": "CP", "circle_smart_pokemon": "CSP", "circle_raid": "CR", "circle_smart_raid": "CSR", "circle_quest": "CQ", "pokemon_iv": "IV", "auto_pokemon": "AP", "auto_tth": "ATTH", "leveling": "L"}
 LEGACY_MODES = {"AutoQuest": "auto_quest", "PokemonIv": "pokemon_iv", "CirclePokemon": "circle_pokemon", "CircleRaid": "circle_raid", "ManualQuest": "circle_quest"}
 
 

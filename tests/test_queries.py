@@ -5,7 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 import oracle
 import pytest
 
-from terracover.plans import cells, further, held, parts, relational, spatial  # noqa: F401
+from terracover.plans import cells, changes, further, held, parts, relational, spatial  # noqa: F401
 from terracover.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
