@@ -199,13 +199,14 @@ def _split() -> Column:
 
 
 def _on_files(docs: DataFrame) -> DataFrame:
-    """The documents as rows of files; others, and those of fewer files than cores, are stored first."""
+    """The documents as rows of files; others, and those planned for fewer tasks than cores, are stored first."""
+    n = docs.sparkSession.sparkContext.defaultParallelism
     try:
         docs.select("_metadata.file_path")
-        enough = len(docs.inputFiles()) >= docs.sparkSession.sparkContext.defaultParallelism
+        enough = docs.rdd.getNumPartitions() >= n
     except AnalysisException:
         enough = False
-    return docs if enough else stored(docs.repartition(docs.sparkSession.sparkContext.defaultParallelism), "documents")
+    return docs if enough else stored(docs.repartition(n), "documents")
 
 
 def _distinct(split_words: DataFrame) -> DataFrame:

@@ -72,9 +72,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows of fewer files than cores dealt out evenly, so that Python work on them uses all cores."""
+    """Rows planned for fewer tasks than cores dealt out evenly, so that Python work on them uses all cores."""
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if len(df.inputFiles()) < n else df
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
 
 
 def crc_mod(doc_id, n: int):
@@ -101,9 +101,10 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (u long, v long) as rows (node, root), root the least node.
 
     Alternating large-star and small-star contraction. Neighbours are never gathered: each star takes
-    the minimum with a pre-aggregated groupBy and one join, so a hub holding a third of the edges is
-    split by adaptive skew joins. Every round is checkpointed to the shared folder; rounds go on until
-    one changes nothing. Nulls and loops are dropped; nodes without edges do not appear.
+    the minimum with a pre-aggregated groupBy, which is checkpointed, and one join of two plain exchanges,
+    so that adaptive skew joins split a hub holding a third of the edges. Every round is checkpointed to the
+    shared folder; rounds go on until one changes nothing. Nulls and loops are dropped; nodes without edges
+    do not appear.
     """
     spark = edges.sparkSession
     scratch_root(spark)
@@ -115,9 +116,9 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(cur)
     while seen[0]:
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).checkpoint()
+        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
+        low = large.groupBy("u").agg(F.min("v").alias("m")).checkpoint()
         small = large.join(low, "u").select(F.col("v"), F.col("m")).where("v <> m").union(low.select(F.col("u").alias("v"), "m"))
         cur = small.select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().checkpoint()
         now = mark(cur)

@@ -5,8 +5,9 @@ are fitted on at most `fit_rows` vectors (chosen by a hash of the vector); every
 number grows with the largest label, up to `max_cells`, which bounds what is broadcast.
 A vector is at home in the cell of its nearest centroid and is sent to each further cell in which a
 vector within the threshold could be at home: x at home in a means x.a >= x.c for all c, and |x - y| is
-at most d = sqrt(2 - 2 * least), so y.a >= y.c - d |a - c| for all c. No link is lost. Of two cells only
-one gets the other's vectors, so that a pair meets once, and one product decides for both its ends.
+at most d = sqrt(2 - 2 * least), so y.a >= y.c - d |a - c| for all c; and y is within the link's angle of a
+vector of the cell, so no farther from its centroid than the cell's farthest vector and that angle. No link
+is lost. Of two cells only one gets the other's vectors, so that a pair meets once, and one product decides for both its ends.
 
 Cells larger than `block` are dealt out in block x block pieces. A piece counts links per vector and
 sends on a spanning forest of its links, never all pairs. The least vec_id of a group is kept.
@@ -21,6 +22,7 @@ before their length is taken, so that no finite one is too large or too small; e
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,8 +31,8 @@ from pyspark.sql import functions as F
 
 from terracover.llm.common import components, stored
 
-#: Cosines this near to the threshold are summed again in one fixed order.
-CLOSE = 1e-12
+#: Cosines this near to the threshold are summed again in one fixed order; dots that are held at once.
+CLOSE, PAIRS = 1e-12, 1 << 22
 
 
 def _unit(rows) -> np.ndarray:
@@ -62,6 +64,64 @@ def _typed(vectors: DataFrame) -> DataFrame:
     return out.withColumn("good", F.coalesce(good, F.lit(False)))
 
 
+def _nearest(c: np.ndarray, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Where a stretch of unit vectors begins, and its dots with all centroids; PAIRS of them at most at once."""
+    rows = max(1, PAIRS // len(c))
+    for k in range(0, len(x), rows):
+        yield k, x[k : k + rows] @ c.T
+
+
+def _homes(shared):
+    """struct<cells, dot>: the home cell of each vector (several if nearly tied, as rounding may decide otherwise later) and its dot with the centroid."""
+
+    def homes(e: pd.Series) -> pd.DataFrame:
+        cells, dot, size = np.empty(len(e), object), np.ones(len(e)), e.map(len).to_numpy()
+        for dim in np.unique(size):
+            at = np.flatnonzero(size == dim)
+            c = shared.value.get(int(dim))
+            if c is None:  # a length that the sample does not hold: one cell
+                for i in at.tolist():
+                    cells[i] = [0]
+                continue
+            for k, dots in _nearest(c, _unit(e.iloc[at])):
+                best = dots.max(axis=1)
+                i, j = np.nonzero(dots >= best[:, None] - 1e-9)
+                for row, own in zip(at[k : k + len(best)].tolist(), np.split(j, np.searchsorted(i, np.arange(1, len(best)))), strict=True):
+                    cells[row] = own.tolist()
+                dot[at[k : k + len(best)]] = best
+        return pd.DataFrame({"cells": cells, "dot": dot})
+
+    homes.__annotations__ = {"e": pd.Series, "return": pd.DataFrame}
+    return F.pandas_udf(homes, "cells array<int>, dot double")
+
+
+def sent_to(x: np.ndarray, c: np.ndarray, low: np.ndarray, reach: float) -> Iterator[list[int]]:
+    """For each unit vector its home cell, then the further cells that may hold a vector within `reach` of it.
+
+    A cell's vectors lie within an angle of its centroid (low: the cosine of that and the link's angle
+    together), and nearer to its centroid than to any other, of which the vector's own nearest are tried.
+    Of two cells, one sends its vectors to the other.
+    """
+    for _, dots in _nearest(c, x):
+        home = dots.argmax(axis=1)
+        best = np.argpartition(-dots, min(8, len(c)) - 1, axis=1)[:, :8]
+        i, k = np.nonzero(dots >= low)
+        some = (k != home[i]) & ((k < home[i]) == ((k + home[i]) % 2 == 0))
+        i, k = i[some], k[some]
+        for b in best.T:
+            keep = np.empty(len(i), bool)
+            for s in range(0, len(i), PAIRS // 64):
+                part = slice(s, s + PAIRS // 64)
+                ii, kk = i[part], k[part]
+                bb = b[ii]
+                gap = np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", c[kk], c[bb])))
+                keep[part] = dots[ii, kk] >= dots[ii, bb] - gap * reach - 1e-9
+            i, k = i[keep], k[keep]
+        cuts = np.searchsorted(i, np.arange(len(dots) + 1)).tolist()
+        others = k.tolist()
+        yield from ([h, *others[a:z]] for h, a, z in zip(home.tolist(), cuts, cuts[1:], strict=False))
+
+
 def _cells(shared, reach: float):
     """The home cell of each vector, then the further cells to which it is sent."""
 
@@ -70,21 +130,10 @@ def _cells(shared, reach: float):
         size = e.map(len).to_numpy()
         for dim in np.unique(size):
             at = np.flatnonzero(size == dim)
-            c = shared.value.get(int(dim))
-            if c is None:  # a length that the sample does not hold: one cell
-                out[at] = [[0]] * len(at)
-                continue
-            far = np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T))) * reach + 1e-9
-            k = np.arange(len(c))
-            dots = _unit(e.iloc[at]) @ c.T
-            best = np.argsort(-dots, axis=1, kind="stable")[:, :8]  # the nearest centroids rule out most cells
-            home = best[:, 0]
-            near = (k[None] < home[:, None]) == ((k[None] + home[:, None]) % 2 == 0)
-            for b in best.T:
-                near &= dots >= dots[np.arange(len(at)), b][:, None] - far[b]
-            near[np.arange(len(at)), home] = False
-            for i, h, row in zip(at, home, near, strict=True):
-                out[i] = [int(h), *np.flatnonzero(row).tolist()]
+            c, low = shared.value.get(int(dim), (None, None))
+            rows = [[0]] * len(at) if c is None else sent_to(_unit(e.iloc[at]), c, low, reach)
+            for i, row in zip(at.tolist(), rows, strict=True):
+                out[i] = row
         return pd.Series(out)
 
     cells.__annotations__ = {"e": pd.Series, "return": pd.Series}
@@ -163,8 +212,13 @@ def links(vectors: DataFrame, least: float = 0.98, fit_rows: int = 20_000, cell_
     for dim, part in sample.groupby(sample["e"].map(len)) if len(sample) else ():
         x = _unit(part["e"])
         centroids[dim] = kmeans(x, max(1, min(max_cells, -(-most // cell_rows), len(x))))
-    shared = folded.sparkSession.sparkContext.broadcast(centroids)
-    found = _cells(shared, math.sqrt(max(0.0, 2 - 2 * least)))(F.col("e"))
+    sc = folded.sparkSession.sparkContext
+    homes = folded.select(F.size("e").alias("dim"), _homes(sc.broadcast(centroids))("e").alias("h"))
+    angle, bounds = math.acos(min(1.0, max(-1.0, least))), {d: np.full(len(c), 2.0) for d, c in centroids.items()}  # 2: no vector, none is sent
+    for r in homes.select("dim", F.explode("h.cells").alias("cell"), "h.dot").groupBy("dim", "cell").agg(F.min("dot").alias("dot")).collect():
+        if r["dim"] in bounds:
+            bounds[r["dim"]][r["cell"]] = math.cos(min(math.pi, math.acos(min(1.0, max(-1.0, r["dot"]))) + angle)) - 1e-8
+    found = _cells(sc.broadcast({d: (c, bounds[d]) for d, c in centroids.items()}), math.sqrt(max(0.0, 2 - 2 * least)))(F.col("e"))
     sent = folded.select("key", "w", "label", F.size("e").alias("dim"), "e", F.posexplode(found).alias("at", "cell")).withColumn("home", F.col("at") == 0).drop("at")
     keys = ["label", "dim", "cell"]
     out = _pieces(sent, keys, block).groupBy(*keys, "i", "j").applyInPandas(_compare(least), "key long, n long, root long")
@@ -177,8 +231,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, **options) -> DataF
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("key").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("key"), "root")
     known = folded.select("k1", "k2", "key", "id", "w").join(counts, "key", "left").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    named = known.groupBy("root").agg(F.min("id").alias("component_id"))
+    known = stored(known, "known")
+    named = stored(known.groupBy("root").agg(F.min("id").alias("component_id")), "named")  # so that both sides are bare exchanges: a large root is split
     known = known.join(named, "root").select("k1", "k2", (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
+    known = stored(known, "components")  # the same for a vector with many copies
     linked = keyed.join(known, ["k1", "k2"]).select("vec_id", "n_links", "component_id")
     alone = _typed(vectors).where("not good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     out = linked.unionByName(alone)

@@ -9,7 +9,7 @@ length and one flag a line, and the messages between blocks of SPAN lines. A lin
 longer than a block is counted piece by piece, into the same numbers.
 
 The field (line weights, two-by-two transitions) and the curve are fitted on at most `fit_rows` labelled
-training rows (chosen by a hash of the id). The field learns from at most RUNS evenly spaced runs of RUN
+training rows (chosen by a hash of the id). The field learns from at most `runs` evenly spaced runs of RUN
 lines of each (every line takes the document's label), the curve from the badness of the whole documents.
 
 Defined results: null and empty texts are one empty line; with no training rows of both kinds the score
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from terracover.llm.common import crc_mod, labelled_sample
 from terracover.llm.toxicity import logistic
 
-BLOCK, LINES, SPAN, RUN, RUNS = 1 << 20, 1 << 16, 1 << 16, 64, 6
+BLOCK, LINES, SPAN, RUN = 1 << 20, 1 << 16, 1 << 16, 64
 #: Byte classes: 0 line end, 1 blank, 2 lower case and non-ASCII, 3 upper case, 4 digit, 5 sentence mark, 6 exclamation mark, 7 bar, 8 other symbol.
 _CLASSES = 9
 _TABLE = np.full(256, 8, np.uint8)
@@ -337,21 +337,22 @@ def mean_marginals(texts: list[str | None], w: np.ndarray, move: np.ndarray) ->
 Model = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
-def _runs(text: str | None) -> list[np.ndarray]:
-    """At most RUNS evenly spaced runs of RUN lines of a text, each line with its neighbours' features."""
+def _runs(text: str | None, most: int | None) -> list[np.ndarray]:
+    """At most `most` (None: all) evenly spaced runs of RUN lines of a text, each line with its neighbours' features."""
     x = np.concatenate([f.astype(np.float32) for f, _ in _rows(*_joined([text]))])
     x = with_neighbours(x, np.array([len(x)]))
     n = -(-len(x) // RUN)
-    return [x[k * RUN : (k + 1) * RUN] for k in np.unique(np.linspace(0, n - 1, min(n, RUNS)).astype(int)).tolist()]
+    return [x[k * RUN : (k + 1) * RUN] for k in np.unique(np.linspace(0, n - 1, min(n, most or n)).astype(int)).tolist()]
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000) -> Model | None:
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000, runs: int | None = 6) -> Model | None:
+    """The model, learned from at most fit_rows labelled rows; the line weights from at most `runs` runs of RUN lines of each (None: from all)."""
     sample = labelled_sample(docs, labels, "quality", 3, 1, fit_rows)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for d, y, t in zip(b["doc_id"], b["y"], b["text"], strict=True):
-                yield pd.DataFrame([(d, int(y), k, x.tobytes()) for k, x in enumerate(_runs(t))], columns=["doc_id", "y", "k", "x"])
+                yield pd.DataFrame([(d, int(y), k, x.tobytes()) for k, x in enumerate(_runs(t, runs))], columns=["doc_id", "y", "k", "x"])
 
     got = sample.mapInPandas(run, "doc_id long, y int, k int, x binary").toPandas().sort_values(["doc_id", "y", "k", "x"])
     if not len(got) or got["y"].min() == got["y"].max():
@@ -388,7 +389,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
     return docs.withColumn("score", F.pandas_udf(run, "double")(F.col("text").cast("string")))
 
 
-def digest(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000) -> DataFrame:
-    """doc_id, held_out, score, predicted."""
-    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, fit_rows))
+def digest(docs: DataFrame, labels: DataFrame, fit_rows: int = 3000, runs: int | None = 6) -> DataFrame:
+    """doc_id, held_out, score, predicted; fit_rows and runs bound the fit alone."""
+    out = scored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels, fit_rows, runs))
     return out.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -18,7 +18,9 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -30,8 +32,8 @@ MARK = "▁"
 WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Characters of text per block, and longest chain of words that is encoded at once.
 BLOCK = 1 << 20
-#: Words whose ids a worker remembers before it starts anew.
-MEMORY = 300_000
+#: Characters of words and their values that a worker remembers before it starts anew (each word counts OVERHEAD more), and of the longest word remembered.
+MEMORY, OVERHEAD, LONGEST = 1 << 27, 256, 64
 NO_RANK = np.int32(2**31 - 1)
 
 
@@ -56,6 +58,7 @@ class Vocabulary:
                 value = int(sp.id_to_piece(i)[3:5], 16)
                 self.bytes[value] = i
                 self.byte_of[i] = value
+        self.raw = {i: p.replace(MARK, " ").encode() for i, p in self.text.items()} | {i: bytes([b]) for i, b in self.byte_of.items()}
         # symbols: the pieces' ids, then characters that occur in pieces only, then (at run time) any other
         self.symbols = dict(self.pieces)
         for p in self.pieces:
@@ -145,23 +148,32 @@ class Vocabulary:
         return self._ids(word, origin, sym, codes, len(words))
 
     def _ids(self, word, origin, sym, codes, n: int) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in range(n)]
-        start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+        """Ids of each word out of its final symbols; a symbol outside the vocabulary is its character's bytes."""
         known = sym < self.size
-        whole = np.logical_and.reduceat(known, start).tolist()
-        ids, cuts = sym.tolist(), [*start.tolist(), len(word)]
-        for w, a, b, ok in zip(word[start].tolist(), cuts, cuts[1:], whole, strict=False):
-            if ok:
-                out[w] = ids[a:b]
-                continue
-            for k in range(a, b):
-                out[w] += [ids[k]] if known[k] else self.bytes[list(chr(codes[origin[k]]).encode("utf-8", "surrogatepass"))].tolist()
-        return out
+        code = codes[origin].astype(np.int64)
+        wide = 1 + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)
+        size = np.where(known, 1, wide)
+        first = np.cumsum(size) - size
+        out = np.empty(int(size.sum()), np.int64)
+        out[first[known]] = sym[known]
+        for w in np.unique(wide[~known]).tolist():
+            at = np.flatnonzero(~known & (wide == w))
+            lead = (0, 0, 0xC0, 0xE0, 0xF0)[w]
+            out[first[at]] = self.bytes[(code[at] >> 6 * (w - 1)) | lead]
+            for k in range(1, w):
+                out[first[at] + k] = self.bytes[((code[at] >> 6 * (w - 1 - k)) & 0x3F) | 0x80]
+        cuts = np.r_[first[np.searchsorted(word, np.arange(n))], len(out)].tolist()  # every word has a symbol
+        ids = out.tolist()
+        return [ids[a:b] for a, b in pairwise(cuts)]
 
     def decode_word(self, ids: list[int]) -> str:
         """The text of a word's ids; runs of byte ids are decoded together."""
         if self.byte_of.keys().isdisjoint(ids):
             return "".join([self.text[i] for i in ids]).replace(MARK, " ")
+        try:
+            return b"".join([self.raw[i] for i in ids]).decode("utf-8")  # valid as a whole: so is every run of bytes
+        except UnicodeDecodeError:
+            pass
         out, held = [], bytearray()
         for i in [*ids, None]:
             if i in self.byte_of:
@@ -191,26 +203,47 @@ def _utf8(data: bytes) -> str:
     return "".join(out)
 
 
+class Memory(dict):
+    """What words of at most LONGEST characters stand for, remembered up to MEMORY characters of words and values."""
+
+    held = 0
+
+    def learn(self, words: list[str], values: list, sizes: list[int]) -> dict:
+        """The values of words of a block, those of long words in it only; forgets first if there are too many."""
+        short = [len(w) <= LONGEST for w in words]
+        self.held += sum(OVERHEAD + len(w) + n for w, n, ok in zip(words, sizes, short, strict=True) if ok)
+        self.update((w, v) for w, v, ok in zip(words, values, short, strict=True) if ok)
+        return {w: v for w, v, ok in zip(words, values, short, strict=True) if not ok}
+
+    def clear(self) -> None:
+        super().clear()
+        self.held = 0
+
+    def trimmed(self) -> None:
+        if self.held > MEMORY:
+            self.clear()
+
+
 class Codec:
     """Encodes and decodes blocks of texts; equal words of a block are worked on once."""
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.known: dict[str, tuple[str, int, str]] = {}
-        self.ids: dict[str, list[int]] = {}
+        self.known, self.ids = Memory(), Memory()
 
     def words(self, text: str | None) -> list[str]:
         """The words of the normalised text: a leading blank, blanks as marks."""
         return WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def ids_of(self, split: list[list[str]]) -> dict[str, list[int]]:
-        """The ids of (at least) these words; remembers a third of MEMORY."""
-        if len(self.ids) > MEMORY // 3:
-            self.ids.clear()
+    def ids_of(self, split: list[list[str]]) -> Mapping[str, list[int]]:
+        """The ids of (at least) these words."""
+        self.ids.trimmed()
         fresh = [w for w in set().union(*split) if w not in self.ids]
-        if fresh:
-            self.ids.update(zip(fresh, self.vocabulary.encode_words(fresh), strict=True))
-        return self.ids
+        if not fresh:
+            return self.ids
+        made = self.vocabulary.encode_words(fresh)
+        long = self.ids.learn(fresh, made, [8 * len(i) for i in made])
+        return ChainMap(self.ids, long) if long else self.ids
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text with the end id."""
@@ -225,13 +258,14 @@ class Codec:
     def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """n_tokens, ids_sha256 and decoded_sha256 of each text, in order."""
         split = [self.words(t) for t in texts]
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        fresh = [w for w in set().union(*split) if w not in known]
+        known: Mapping[str, tuple[str, int, str]] = self.known
+        self.known.trimmed()
+        fresh = [w for w in set().union(*split) if w not in self.known]
         if fresh:
             made = self.vocabulary.encode_words(fresh)
-            known.update((w, (f"{' '.join(map(str, i))} ", len(i), self.vocabulary.decode_word(i))) for w, i in zip(fresh, made, strict=True))
+            values = [(f"{' '.join(map(str, i))} ", len(i), self.vocabulary.decode_word(i)) for i in made]
+            if long := self.known.learn(fresh, values, [7 * len(i) for i in made]):
+                known = ChainMap(self.known, long)
         end = str(self.vocabulary.end)
         for ws in split:
             parts = [known[w] for w in ws]

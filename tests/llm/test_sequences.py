@@ -89,3 +89,21 @@ def test_sequences_hold_whole_texts(spark):
     for k, b in fill.groupby("bin_id"):
         assert list(whole.loc[k, "ids"]) == [i for x in b["ids"] for i in x] and [None if pd.isna(x) else int(x) for x in whole.loc[k, "doc_ids"]] == [None if pd.isna(x) else int(x) for x in b["doc_id"]]
     assert packing.sequences(docs.limit(0), MODEL).count() == 0
+
+
+def test_unbroken_texts_are_not_remembered():
+    """Words of thousands of characters outside the vocabulary: the library's ids, and no memory of them."""
+    import random
+
+    import sentencepiece
+
+    from terracover.llm import sentencepiece_bpe
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    rnd, sp, own = random.Random(4), sentencepiece.SentencePieceProcessor(model_file=path), sentencepiece_bpe.Codec(path)
+    texts = ["".join(chr(rnd.choice([rnd.randrange(0x4E00, 0x9FFF), rnd.randrange(0x1F300, 0x1F5FF), 0x7F, 0xE9])) for _ in range(3000)) for _ in range(20)] + ["a b", "é" * 5000, ""]
+    assert own.encode(texts) == [sp.encode(t, add_eos=True) for t in texts]
+    assert len(list(own.digests(texts))) == len(texts) and max(map(len, own.ids)) <= sentencepiece_bpe.LONGEST and own.ids.held < 10_000 and own.known.held < 10_000
+    own.ids.held = sentencepiece_bpe.MEMORY + 1
+    own.encode(["a b c"])
+    assert len(own.ids) == 3

@@ -53,3 +53,34 @@ def test_vectors_of_any_length_link(spark):
     rows = [(1, [1e300, 1e300], 0), (2, [1e-300, 1e-300], 0), (3, [5e-324, 5e-324], 0), (4, [1.7e308, 0.0], 0), (5, [-1e-320, 0.0], 0), (6, [3.0, 3.0], 0)]
     got = sorted(map(tuple, embed_dedup.near_duplicates(spark.createDataFrame(rows, SCHEMA)).select("vec_id", "n_links", "component_id", "kept").collect()))
     assert got == brute(rows) and [g[1] for g in got] == [3, 3, 3, 0, 0, 3]
+
+
+def test_thousands_of_cells_in_bounded_memory():
+    """4,096 cells of structureless vectors: few copies, no neighbour's cell left out, little memory; in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from terracover.llm import embed_dedup as e
+rng = np.random.default_rng(1)
+x = e._unit(list(rng.normal(size=(8000, 64))))
+c = e.kmeans(x[:4096], 4096, 1)
+y = e._unit(list(x[:400] + rng.normal(0, 0.012, (400, 64))))
+every = np.r_[x, y]
+home, best = np.zeros(len(every), int), np.zeros(len(every))
+for k, dots in e._nearest(c, every):
+    home[k:k + len(dots)], best[k:k + len(dots)] = dots.argmax(1), dots.max(1)
+low = np.full(4096, 2.0)
+np.minimum.at(low, home, best)
+low = np.where(low < 2, np.cos(np.minimum(np.pi, np.arccos(np.clip(low, -1, 1)) + np.arccos(0.98))) - 1e-8, 2.0)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+sent = list(e.sent_to(every, c, low, 0.2))
+more = (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024
+near = (every[:400] * y).sum(1) >= 0.98
+assert near.sum() > 300 and [r[0] for r in sent] == home.tolist()
+assert all(set(sent[i]) & set(sent[8000 + i]) for i in np.flatnonzero(near).tolist())
+assert np.mean([len(r) for r in sent]) < 20 and more < 500, (np.mean([len(r) for r in sent]), more)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-800:]
