@@ -74,7 +74,7 @@ def _by_bucket(sizes: DataFrame, bucket: str, value: str, step, start) -> Column
 
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """df with the row number from 0 in the order of a column (nulls first): the row in its bucket, and the rows before that."""
-    rows, bucket = bucketed(df, order)
+    rows, bucket = bucketed(settled(df), order)  # it is read three times
     before = _by_bucket(rows.groupBy(bucket).count(), bucket, "count", lambda a, b: a + b, 0)
     row = F.row_number().over(Window.partitionBy(bucket).orderBy(order))
     return rows.withColumn(name, (row - 1).cast("long") + before).drop(bucket)
@@ -82,7 +82,7 @@ def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
 
 def highest_before(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
     """df with the greatest value of all rows before, in the order of a column; null for the first."""
-    rows, bucket = bucketed(df, order)
+    rows, bucket = bucketed(settled(df), order)  # it is read three times
     tops = rows.groupBy(bucket).agg(F.max(value).alias("top"))
     before = _by_bucket(tops, bucket, "top", lambda a, b: b if a is None else a if b is None else max(a, b), None)
     own = F.max(value).over(Window.partitionBy(bucket).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))

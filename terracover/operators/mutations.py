@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from terracover.functions import props
 from terracover.operators.catalog import set_sync
-from terracover.operators.grouping import numbered
+from terracover.operators.grouping import numbered, settled
 
 
 def _last(column: str) -> Column:
@@ -54,12 +54,12 @@ def fences_upserted(tables: dict[str, DataFrame], incoming: DataFrame, columns:
     named_id = F.col("id").isNotNull() & (F.col("id") != 0)
     own = incoming.where(named_id).join(fences.select("id", F.col("id").alias("target")), "id", "left")
     free = _by_id_or_name(incoming.where(~F.coalesce(named_id, F.lit(False))), "name", fences, "target")
-    rows = own.unionByName(free).drop("id")
+    rows = settled(own.unionByName(free).drop("id"))
     new = _with_new_ids(rows.where("target is null").groupBy("name").agg(F.min("seq").alias("first")), fences, "first").select("name", F.col("id").alias("made"))
     rows = rows.join(new, "name", "left").withColumn("target", F.coalesce("target", "made"))
 
     fields = ("name", *columns, "projects", "parent", "properties")
-    last = rows.groupBy("target").agg(*(_last(c) for c in fields), F.max("made").isNotNull().alias("made"))
+    last = settled(rows.groupBy("target").agg(*(_last(c) for c in fields), F.max("made").isNotNull().alias("made")))
     come = last.select(F.col("target").alias("id"), *(F.col(c).alias(f"n_{c}") for c in ("name", *columns)), F.col("parent").alias("up"), F.lit(True).alias("comes"))
     both = fences.join(come, "id", "full").withColumn("was", F.col("name").isNotNull())
     action = F.when(~F.col("was"), "insert").when(F.col("comes"), "update").otherwise("keep")
