@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from terracover.functions import geo
 from terracover.operators.formats import with_part
 from terracover.operators.joins import in_any_fence
+from terracover.operators.polygons import intersecting
 
 
 def filter_points(points: DataFrame, edges: DataFrame, keep_inside: bool) -> DataFrame:
@@ -50,15 +51,10 @@ def leg_colours(stops: DataFrame, key: str) -> DataFrame:
     return stops.select(key, d.alias("d")).where("d is not null").groupBy(key, colour.alias("colour")).agg(F.count("*").alias("legs"))
 
 
-def intersecting(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(a, b): pairs of boxes (fid, x0, y0, x1, y1) that share area, over the grid cells that they meet."""
-    step = 0.005
-    cell = lambda c: F.floor(F.col(c) / F.lit(step))
-
-    def dealt(df: DataFrame, p: str) -> DataFrame:
-        rows = df.select(F.col("fid").alias(p), *(F.col(c).alias(f"{p}_{c}") for c in ("x0", "y0", "x1", "y1")))
-        rows = rows.select("*", F.explode(F.sequence(cell(f"{p}_x0"), cell(f"{p}_x1"))).alias("gx"))
-        return rows.select("*", F.explode(F.sequence(cell(f"{p}_y0"), cell(f"{p}_y1"))).alias("gy"))
-
-    both = dealt(a, "a").join(dealt(b, "b"), ["gx", "gy"])
-    return both.where("a_x0 < b_x1 and b_x0 < a_x1 and a_y0 < b_y1 and b_y0 < a_y1").select("a", "b").distinct()
+def filter_polygons(selected: DataFrame, shapes: DataFrame, keep_inside: bool = True) -> DataFrame:
+    """The sides of the shapes that share area with a selected fence other than themselves, or of those that do not; the selected stay."""
+    hit = intersecting(selected, shapes).where("a <> b").select(F.col("b").alias("fid")).distinct()
+    own = selected.select("fid").distinct()
+    if keep_inside:
+        return shapes.join(hit.unionByName(own).distinct(), "fid", "left_semi")
+    return shapes.join(hit.join(own, "fid", "left_anti"), "fid", "left_anti")

@@ -94,14 +94,14 @@ def _parity(lat: Column, lon: Column, odd: Column, edges: Column) -> Column:
     return (crossings + odd.cast("int")) % 2 == 1
 
 
-def pip_join(points: DataFrame, edges: DataFrame, keep: list[str], step: float = 0.005) -> DataFrame:
+def pip_join(points: DataFrame, edges: DataFrame, keep: list[str], step: float = 0.005, known: tuple[DataFrame, list[int]] | None = None) -> DataFrame:
     """(keep..., fid) of every point inside a fence: an equi-join of cells, then ray parity over the cell's edges.
 
     A fence's cells are `step` degrees wide, doubled until its bounds have at most FENCE_CELLS a side, so
     points look into one cell for each width that occurs. Holes and several parts follow from parity.
-    Points on no fence, and null coordinates, drop out.
+    Points on no fence, and null coordinates, drop out. known: the fences' levels, where they are worked out already.
     """
-    fences, levels = _levels(edges, step)
+    fences, levels = known or _levels(edges, step)
     cells = fence_cells(edges, fences, step)
     side = F.lit(step) * F.pow(F.lit(2.0), F.col("level"))
     p = points.select(*keep, F.col("lat").alias("p_lat"), F.col("lon").alias("p_lon"), F.explode(F.array(*map(F.lit, levels)) if levels else F.lit(None).cast("array<int>")).alias("level"))

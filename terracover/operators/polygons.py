@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terracover.operators.joins import FENCE_CELLS, pip_join
+from terracover.operators.formats import with_part
+from terracover.operators.grouping import settled
+from terracover.operators.joins import FENCE_CELLS, _levels, pip_join
 
 PLACES = 9
 
@@ -170,3 +172,71 @@ def union_by(edges: DataFrame, key: str, drop_holes: bool = False) -> DataFrame:
         return pd.DataFrame(rows, columns=[key, "ring", "seq", "x", "y"])
 
     return outline.groupBy(key).applyInPandas(run, f"{key} long, ring long, seq long, x double, y double")
+
+
+def _sided(edges: DataFrame) -> DataFrame:
+    """(fid, ring, side, ax, ay, bx, by): the sides of all parts, with a name for each ring and side of a fence."""
+    name = F.concat_ws(":", F.col("part").cast("string"), F.col("ring").cast("string"))
+    own = with_part(edges).where("abs(ex1 - ex2) > 1e-15 or abs(ey1 - ey2) > 1e-15")
+    return own.select("fid", name.alias("ring"), F.concat_ws(":", name, F.col("seq").cast("string")).alias("side"), F.col("ex1").alias("ax"), F.col("ey1").alias("ay"), F.col("ex2").alias("bx"), F.col("ey2").alias("by"))
+
+
+def _edges(sides: DataFrame) -> DataFrame:
+    return sides.select("fid", F.col("ax").alias("ex1"), F.col("ay").alias("ey1"), F.col("bx").alias("ex2"), F.col("by").alias("ey2"))
+
+
+def intersecting(a: DataFrame, b: DataFrame, step: float = 0.005) -> DataFrame:
+    """(a, b): the fences of two edge tables that share area; holes and several parts count as they are.
+
+    Fences have at most some 64 x 64 grid cells, whatever their size; sides meet in the cells of the larger of
+    two fences. Where sides touch, cross or overlap they are cut, and the pair shares area if a point next to a
+    piece, on either side, lies in both fences. A ring that touches none of the other fence's sides lies in it or
+    outside as a whole: one of its points tells.
+    """
+    sa, sb = _sided(a), _sided(b)
+    la, lb = _levels(_edges(sa), step), _levels(_edges(sb), step)
+    levels = sorted({*la[1], *lb[1]})
+    if not la[1] or not lb[1]:
+        return sa.select(F.col("fid").alias("a"), F.col("fid").alias("b")).limit(0)
+
+    def dealt(sides: DataFrame, of: DataFrame, p: str) -> DataFrame:
+        own = sides.join(of, "fid").select(*(F.col(c).alias(f"{p}_{c}") for c in ("fid", "ring", "side", "ax", "ay", "bx", "by", "level")))
+        rows = own.select("*", F.explode(F.filter(F.array(*map(F.lit, levels)), lambda k: k >= F.col(f"{p}_level"))).alias("level"))
+        width = F.lit(step) * F.pow(F.lit(2.0), F.col("level"))
+        over = lambda u, v: F.sequence(F.floor((F.least(u, v) - 1e-12) / width), F.floor((F.greatest(u, v) + 1e-12) / width))
+        return rows.select("*", F.explode(over(F.col(f"{p}_ax"), F.col(f"{p}_bx"))).alias("gx")).select("*", F.explode(over(F.col(f"{p}_ay"), F.col(f"{p}_by"))).alias("gy"))
+
+    near = dealt(sa, la[0], "a").join(dealt(sb, lb[0], "b"), ["level", "gx", "gy"]).where("a_level = level or b_level = level")
+    apart = [f"least(a_{c[0]}, a_{c[1]}) > greatest(b_{c[0]}, b_{c[1]}) + 1e-12 or least(b_{c[0]}, b_{c[1]}) > greatest(a_{c[0]}, a_{c[1]}) + 1e-12" for c in (("ax", "bx"), ("ay", "by"))]
+    near = near.where(f"not ({' or '.join(apart)})").drop("level", "gx", "gy", "a_level", "b_level").distinct()
+
+    def cuts(own: str, other: str) -> DataFrame:
+        """Where each side of one table is cut by those of the other's fences that it meets."""
+        names = {f"{own}_{k}": k for k in ("ax", "ay", "bx", "by")} | {f"{other}_{k}": n for k, n in (("ax", "px"), ("ay", "py"), ("bx", "qx"), ("by", "qy"))}
+        rows = near.select("a_fid", "b_fid", F.col(f"{own}_ring").alias("ring"), F.col(f"{own}_side").alias("side"), *(F.col(k).alias(n) for k, n in names.items()))
+        return rows.select("a_fid", "b_fid", "ring", "side", "ax", "ay", "bx", "by", F.explode(_cut_at()).alias("t"))
+
+    # a side that another's end lies on is cut there, the other at its end: each contact is seen from both
+    met = settled(cuts("a", "b").withColumn("of", F.lit("a")).unionByName(cuts("b", "a").withColumn("of", F.lit("b"))))
+    ends = F.array(F.lit(0.0), F.lit(1.0))
+    whole = met.groupBy("a_fid", "b_fid", "of", "side", "ax", "ay", "bx", "by").agg(F.array_sort(F.array_distinct(F.concat(ends, F.collect_set("t")))).alias("ts"))
+    middle = F.transform(F.sequence(F.lit(1), F.size("ts") - 1), lambda k: (F.get("ts", k - 1) + F.get("ts", k)) / 2)
+    pieces = whole.select("a_fid", "b_fid", "ax", "ay", "bx", "by", F.explode(middle).alias("t"))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    beside = pieces.select("*", F.explode(F.array(F.lit(1e-9), F.lit(-1e-9))).alias("s"))
+    points = beside.select("a_fid", "b_fid", (F.col("ay") + F.col("t") * dy + F.col("s") * dx / F.hypot(dx, dy)).alias("lat"), (F.col("ax") + F.col("t") * dx - F.col("s") * dy / F.hypot(dx, dy)).alias("lon"))
+    points = points.withColumn("p", F.struct("lat", "lon"))
+    keys = ["a_fid", "b_fid", "p"]
+    in_a = pip_join(points, _edges(sa), keys, step, la).where("fid = a_fid").drop("fid")
+    in_b = pip_join(points, _edges(sb), keys, step, lb).where("fid = b_fid").drop("fid")
+    touching = in_a.join(in_b, keys, "left_semi").select(F.col("a_fid").alias("a"), F.col("b_fid").alias("b"))
+
+    def within(sides: DataFrame, other: DataFrame, known: tuple[DataFrame, list[int]], own: str, theirs: str) -> DataFrame:
+        """Fences with a ring inside a fence of the other table, free of its sides."""
+        one = sides.groupBy("fid", "ring").agg(F.min(F.struct("side", "ax", "ay")).alias("m"))
+        seed = one.select(F.col("fid").alias(f"{own}_fid"), "ring", F.col("m.ay").alias("lat"), F.col("m.ax").alias("lon"))
+        found = pip_join(seed, _edges(other), [f"{own}_fid", "ring"], step, known).withColumnRenamed("fid", f"{theirs}_fid")
+        free = found.join(met.where(F.col("of") == own).select("a_fid", "b_fid", "ring").distinct(), ["a_fid", "b_fid", "ring"], "left_anti")
+        return free.select(F.col("a_fid").alias("a"), F.col("b_fid").alias("b"))
+
+    return touching.unionByName(within(sa, sb, lb, "a", "b")).unionByName(within(sb, sa, la, "b", "a")).distinct()

@@ -330,6 +330,6 @@ def q_clu_wide_tiled(v: Views):
     return cover.tiled_cover(v.wide, 70.0, 3, "fast")
 
 
-@query("wide", "SELECT id FROM wide WHERE lat > 40.1")
+@query("wide", "SELECT id FROM wide WHERE lat > 40.01")
 def q_flt_wide(v: Views):
-    return v.wide.where("lat > 40.1").select("id")
+    return v.wide.where("lat > 40.01").select("id")

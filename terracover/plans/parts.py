@@ -136,3 +136,31 @@ def q_parts_boot(v: Views):
     alone = alone.select(F.floor(F.col("fid") / 2).alias("fid"), (F.col("fid") % 2).cast("int").alias("part"), "lat", "lon", F.lit(1).alias("same"))
     each = tiles.join(good, ["fid", "seq"], "left").join(alone, ["fid", "part", "lat", "lon"], "full")
     return each.groupBy("fid").agg(F.count_if(F.col("good").isNull()).cast("int").alias("outside"), (F.max("seq") == F.count("seq") - 1).alias("numbered"), (F.count("same") == F.count("*")).alias("by_part"))
+
+
+def _share(a: str, b: str) -> str:
+    """Pairs of fences of straight angles that share area: some cell between their corners' coordinates has its middle in both."""
+    both = f"SELECT DISTINCT a.fid AS a, b.fid AS b FROM ({a}) a JOIN ({b}) b ON a.fid <= b.fid + 2000"
+    grid = lambda c, n: f"SELECT a, b, ({n} + lead({n}) OVER (PARTITION BY a, b ORDER BY {n})) / 2 AS m{n} FROM (SELECT a, b, {c}1 AS {n} FROM pairs JOIN ({a}) e ON e.fid = a UNION SELECT a, b, {c}1 FROM pairs JOIN ({b}) e ON e.fid = b)"
+    box = lambda t: f"SELECT fid, min(ex1) AS w, max(ex1) AS e, min(ey1) AS s, max(ey1) AS n FROM ({t}) GROUP BY fid"
+    inside = lambda t, k: f"(SELECT count(*) FROM ({t}) e WHERE e.fid = {k} AND ((e.ey1 > mn) <> (e.ey2 > mn)) AND me < (e.ex2-e.ex1)*(mn-e.ey1)/(e.ey2-e.ey1)+e.ex1) % 2 = 1"
+    return (
+        f"SELECT DISTINCT a, b FROM (WITH pairs AS (SELECT p.a, p.b FROM ({both}) p JOIN ({box(a)}) x ON x.fid = p.a JOIN ({box(b)}) y ON y.fid = p.b WHERE x.w < y.e AND y.w < x.e AND x.s < y.n AND y.s < x.n), "
+        f"xs AS ({grid('ex', 'e')}), ys AS ({grid('ey', 'n')}) SELECT a, b, me, mn FROM xs JOIN ys USING (a, b) WHERE me IS NOT NULL AND mn IS NOT NULL) WHERE {inside(a, 'a')} AND {inside(b, 'b')}"
+    )
+
+
+@query("shape_edge inner_edge", _share("SELECT * FROM shape_edge", "SELECT * FROM inner_edge"))
+def q_ui_filter_shapes(v: Views):
+    """Ls, boxes and outlines against fences with holes and small boxes: nested, in a hole, in an L's corner, equal."""
+    return polygons.intersecting(v.shape_edge, v.inner_edge)
+
+
+_MOVED = "SELECT fid, part, ring, seq, ex1 + CAST(0.0042 AS DOUBLE) AS ex1, ey1 + CAST(0.0012 AS DOUBLE) AS ey1, ex2 + CAST(0.0042 AS DOUBLE) AS ex2, ey2 + CAST(0.0012 AS DOUBLE) AS ey2 FROM part_edge"
+
+
+@query("part_edge", _share(_MOVED, "SELECT * FROM part_edge"))
+def q_parts_intersecting(v: Views):
+    """Fences of several parts, moved, and those that they share area with."""
+    moved = v.part_edge.select("fid", "part", "ring", "seq", *(F.expr(f"{c} + cast({d} as double)").alias(c) for c, d in (("ex1", 0.0042), ("ey1", 0.0012), ("ex2", 0.0042), ("ey2", 0.0012))))
+    return polygons.intersecting(moved, v.part_edge)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from terracover import engine
 from terracover.functions import geo, geohash, s2
-from terracover.operators import bootstrap, client, cover, formats, plugins, routing, stats
+from terracover.operators import bootstrap, client, cover, formats, plugins, polygons, routing, stats
 from terracover.operators.grouping import dealt
 from terracover.operators.joins import edge_distances, in_any_fence, nearest_pairs, pip_join, radius_join
 from terracover.plans import s2sql
@@ -524,8 +524,10 @@ def q_ui_filter_points(v: Views):
 
 @query("fence", "SELECT a.fid AS a, b.fid AS b FROM fence a JOIN fence b ON a.x0 + 0.004 < b.x1 AND b.x0 < a.x1 + 0.004 AND a.y0 + 0.004 < b.y1 AND b.y0 < a.y1 + 0.004")
 def q_ui_filter_polys(v: Views):
-    moved = v.fence.select("fid", *(F.expr(f"{c} + cast(0.004 as double)").alias(c) for c in ("x0", "y0", "x1", "y1")))
-    return client.intersecting(moved, v.fence)
+    """Outlines moved north-east, and those that they share area with."""
+    outer = v.edge.where("ring = 0")
+    moved = outer.select("fid", "ring", "seq", *(F.expr(f"{c} + cast(0.004 as double)").alias(c) for c in ("ex1", "ey1", "ex2", "ey2")))
+    return polygons.intersecting(moved, outer)
 
 
 @query("edge", "SELECT fid, ring, seq, ex1, ey1, ex2, ey2 FROM edge WHERE ring > 0")

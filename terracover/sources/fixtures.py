@@ -32,7 +32,8 @@ _PROPERTY = "(1,'name','database',NULL),(2,'color','color','#ffffff'),(3,'priori
 #: View name -> SQL over tables and earlier views.
 VIEWS: dict[str, str] = {
     "spawnpoint": f"SELECT event_id AS id, {_point('event_id', 7919, 104729)}, :epoch AS last_seen, CASE WHEN event_id % 3 = 0 THEN NULL ELSE CAST(event_id % 3600 AS INT) END AS despawn_sec FROM events",
-    "wide": "SELECT event_id AS id, CAST(0 AS BIGINT) AS fid, CAST(40 AS DOUBLE) + CAST((event_id*7919) % 20011 AS DOUBLE)/CAST(100000 AS DOUBLE) AS lat, CAST(-74 AS DOUBLE) + CAST((event_id*104729) % 20021 AS DOUBLE)/CAST(100000 AS DOUBLE) AS lon FROM events",
+# as many points to a disc at any size
+    "wide": "SELECT event_id AS id, CAST(0 AS BIGINT) AS fid, CAST(40 AS DOUBLE) + CAST((event_id*7919) % 20011 AS DOUBLE)/CAST(100000 AS DOUBLE)*side AS lat, CAST(-74 AS DOUBLE) + CAST((event_id*104729) % 20021 AS DOUBLE)/CAST(100000 AS DOUBLE)*side AS lon FROM events CROSS JOIN (SELECT sqrt(CAST(count(*) AS DOUBLE)/CAST(100000 AS DOUBLE)) AS side FROM events) AS n",
     "gym": f"SELECT concat('g', CAST(s_suppkey AS :string)) AS id, {_point('s_suppkey', 6661, 15013)}, s_name AS name, s_suppkey*1000 AS updated, CASE WHEN s_suppkey%10<>0 THEN 1 ELSE 0 END AS enabled, CASE WHEN s_suppkey%17=0 THEN 1 ELSE 0 END AS deleted FROM supplier",
     "pokestop": f"SELECT concat('p', CAST(p_partkey AS :string)) AS id, p_partkey AS pk, {_point('p_partkey', 3571, 7907)}, p_name AS name, p_partkey*1000 AS updated, CASE WHEN p_partkey%11<>0 THEN 1 ELSE 0 END AS enabled, CASE WHEN p_partkey%19=0 THEN 1 ELSE 0 END AS deleted FROM part",
     "station": f"SELECT concat('s', CAST(c_custkey AS :string)) AS id, {_point('c_custkey', 9973, 12289)}, c_name AS name, c_custkey*1000 AS updated, CASE WHEN c_custkey%7=0 THEN 1 ELSE 0 END AS is_inactive, 1700000000+c_custkey*86400 AS end_time FROM customer WHERE c_custkey%5=0",
@@ -43,6 +44,9 @@ VIEWS: dict[str, str] = {
     "part_box": f"SELECT fid, 0 AS part, x0, y0, x1, y1 FROM fence WHERE fid%5<>4 UNION ALL SELECT fid, 0, x0, y0, x0+{_micro(3400)}, y1 FROM fence WHERE fid%5=4 UNION ALL SELECT fid, 1, x0+{_micro(4000)}, y0, x1, y1 FROM fence WHERE fid%5=4",
     "part_ring": f"SELECT fid, part, 0 AS ring, x0, y0, x1, y1 FROM part_box UNION ALL SELECT fid, part, 1, x0+{_micro(1000)}, y0+{_micro(1000)}, x1-{_micro(1000)}, y1-{_micro(1000)} FROM part_box WHERE fid%2=1",
     "part_edge": "SELECT fid, part, ring, 0 AS seq, x0 AS ex1, y0 AS ey1, x1 AS ex2, y0 AS ey2 FROM part_ring UNION ALL SELECT fid, part, ring, 1, x1, y0, x1, y1 FROM part_ring UNION ALL SELECT fid, part, ring, 2, x1, y1, x0, y1 FROM part_ring UNION ALL SELECT fid, part, ring, 3, x0, y1, x0, y0 FROM part_ring",
+    # shapes of straight angles: an L along the west and south of a fence, a box well inside it, or its outline
+    "shape_edge": f"SELECT fid, 0 AS ring, seq, ex1, ey1, ex2, ey2 FROM edge WHERE ring = 0 AND fid%3=2 UNION ALL SELECT fid, 0, seq, CASE WHEN seq IN (0, 3) THEN x0+{_micro(3000)} ELSE x1-{_micro(3000)} END, CASE WHEN seq IN (0, 1) THEN y0+{_micro(3000)} ELSE y1-{_micro(3000)} END, CASE WHEN seq IN (2, 3) THEN x0+{_micro(3000)} ELSE x1-{_micro(3000)} END, CASE WHEN seq IN (0, 3) THEN y0+{_micro(3000)} ELSE y1-{_micro(3000)} END FROM fence, (VALUES (0), (1), (2), (3)) AS k(seq) WHERE fid%3=1 UNION ALL SELECT fid, 0, seq, CASE WHEN seq IN (0, 5) THEN x0 WHEN seq IN (1, 2) THEN x1 ELSE x0+{_micro(1100)} END, CASE WHEN seq IN (0, 1) THEN y0 WHEN seq IN (2, 3) THEN y0+{_micro(1100)} ELSE y1 END, CASE WHEN seq IN (5, 4) THEN x0 WHEN seq IN (0, 1) THEN x1 ELSE x0+{_micro(1100)} END, CASE WHEN seq IN (0, 5) THEN y0 WHEN seq IN (1, 2) THEN y0+{_micro(1100)} ELSE y1 END FROM fence, (VALUES (0), (1), (2), (3), (4), (5)) AS k(seq) WHERE fid%3=0",
+    "inner_edge": f"SELECT fid, ring, seq, ex1, ey1, ex2, ey2 FROM edge UNION ALL SELECT fid + 1000, 0, seq, CASE WHEN seq IN (0, 3) THEN x0+{_micro(3200)} ELSE x1-{_micro(3200)} END, CASE WHEN seq IN (0, 1) THEN y0+{_micro(3200)} ELSE y1-{_micro(3200)} END, CASE WHEN seq IN (2, 3) THEN x0+{_micro(3200)} ELSE x1-{_micro(3200)} END, CASE WHEN seq IN (0, 3) THEN y0+{_micro(3200)} ELSE y1-{_micro(3200)} END FROM fence, (VALUES (0), (1), (2), (3)) AS k(seq)",
     "geofence": "SELECT fid AS id, name, parent, CASE WHEN fid%2=0 THEN 'auto_quest' ELSE 'pokemon_iv' END AS mode, CASE WHEN fid%5=4 THEN 'MultiPolygon' ELSE 'Polygon' END AS geo_type FROM fence UNION ALL SELECT CAST(100+r_regionkey AS BIGINT), r_name, CAST(NULL AS BIGINT), 'unset', 'Polygon' FROM region",
     # the same gyms and stops around 45 degrees north on the prime meridian, where two faces of the cube meet, and around a corner of three
     "edge_gym": "SELECT id, lat + CAST(498 AS DOUBLE)/CAST(100 AS DOUBLE) AS lat, lon + CAST(7398 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon FROM gym",
