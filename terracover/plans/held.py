@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from terracover import engine
 from terracover.functions import s2
 from terracover.operators import bootstrap, cover, routing, stats
-from terracover.operators.joins import pip_join, radius_join
+from terracover.operators.grouping import settled
+from terracover.operators.joins import edge_distances, pip_join, radius_join
 from terracover.plans.registry import Views, inside, query
+from terracover.plans.spatial import LEG, RING, over
 
 RADIUS, MIN_POINTS = 70.0, 3
 INSIDE = inside("spawnpoint")
@@ -30,21 +32,31 @@ def q_held_cover_all(v: Views):
 _MODES = ", ".join(f"('{m}')" for m in engine.CLUSTER_MODES)
 
 
-@query("spawnpoint edge", f"SELECT mode, count(*) AS points, 0 AS poor, 0 AS far, true AS scored FROM (SELECT id, fid FROM ({INSIDE})), (VALUES {_MODES}) AS m(mode) GROUP BY mode")
+#: Buckets of some 55 m, so that a disc near a bucket's middle holds it whole: a greedy cover leaves at most two of its points.
+_BUCKET = "floor(lat * 2000), floor(lon * 1500)"
+
+
+@query("spawnpoint edge", f"SELECT mode, points, least, 0 AS poor, 0 AS far, true AS scored, true AS enough FROM (SELECT CAST(sum(n) AS BIGINT) AS points, CAST(sum(greatest(n - 2, 0)) AS BIGINT) AS least FROM (SELECT fid, count(*) AS n FROM ({INSIDE}) GROUP BY fid, {_BUCKET})), (VALUES {_MODES}) AS m(mode)")
 def q_held_cover_modes(v: Views):
-    """Per mode: no greedy disc with fewer points of its own than asked for, none far from its fence's points, covered counts as joined anew."""
-    points = _inside(v)
+    """Per mode: no greedy disc with fewer points of its own than asked for, none far from its fence's points, covered counts as
+    joined anew, and enough points covered: all but two of each bucket (modes without candidates everywhere: half as many)."""
+    points = settled(_inside(v))
     out = None
+    sizes = points.groupBy("fid", F.floor(F.col("lat") * 2000).alias("y"), F.floor(F.col("lon") * 1500).alias("x")).agg(F.count("*").alias("n"))
+    whole = sizes.agg(F.sum("n").alias("points"), F.sum(F.greatest(F.col("n") - 2, F.lit(0))).alias("least"))
     for mode in engine.CLUSTER_MODES:
         found = cover.fastest_cover(points, RADIUS, MIN_POINTS) if mode == "fastest" else cover.greedy_cover(points, RADIUS, MIN_POINTS, mode)
+        found = settled(found)
         discs = found.withColumn("cid", F.struct("fid", "cid"))
         pairs = radius_join(points, discs, RADIUS, ["id"], ["cid"], on=("fid",)).withColumn("id", F.struct("fid", "id"))
         counts = stats.cluster_counts(pairs, discs)
         poor = F.count_if(F.col("n_unique") < MIN_POINTS) if mode != "fastest" else F.lit(0)
         each = counts.agg(poor.cast("int").alias("poor"), F.count_if(F.col("n_all") == 0).cast("int").alias("far"))
         covered = pairs.select("id").distinct().groupBy("id.fid").agg(F.count("*").alias("n"))
-        told = found.groupBy("fid").agg(F.max("covered").alias("told")).join(covered, "fid", "full").agg(F.coalesce(F.every(F.coalesce("told", F.lit(0)) == F.coalesce("n", F.lit(0))), F.lit(True)).alias("scored"))
-        one = points.agg(F.count("*").alias("points")).crossJoin(each).crossJoin(told).withColumn("mode", F.lit(mode))
+        told = found.groupBy("fid").agg(F.max("covered").alias("told")).join(covered, "fid", "full")
+        told = told.agg(F.coalesce(F.every(F.coalesce("told", F.lit(0)) == F.coalesce("n", F.lit(0))), F.lit(True)).alias("scored"), F.coalesce(F.sum("n"), F.lit(0)).alias("covered"))
+        share = 0.5 if mode in ("fastest", "honeycomb") else 1.0
+        one = whole.crossJoin(each).crossJoin(told).select(F.lit(mode).alias("mode"), "points", "least", "poor", "far", "scored", (F.col("covered") >= F.col("least") * share).alias("enough"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -78,8 +90,6 @@ def q_held_boot_s2(v: Views):
 @query("fence", "SELECT fid, 0 AS outside, true AS numbered FROM fence")
 def q_held_boot_radius(v: Views):
     """Every tile lies in its fence or within a radius of its sides, and tiles are numbered from 0."""
-    from terracover.operators.joins import edge_distances
-
     tiles = bootstrap.by_radius(v.edge, RADIUS)
     near = edge_distances(tiles.withColumn("own", F.col("fid")).drop("fid"), v.edge, ["own", "seq"], RADIUS).where("own = fid").select("fid", "seq")
     held = pip_join(tiles.withColumn("own", F.col("fid")).drop("fid"), v.edge, ["own", "seq"]).where("own = fid").select("fid", "seq")
@@ -104,3 +114,11 @@ def q_held_cover_tiled(v: Views):
     pairs = radius_join(v.wide, three, RADIUS, ["id"], ["cid"], on=("fid",))
     poor = stats.cluster_counts(pairs, three).agg(F.count_if(F.col("n_unique") < MIN_POINTS).cast("int").alias("poor"))
     return radius_join(v.wide, one, RADIUS, ["id"], ["cid"], on=("fid",)).agg(F.countDistinct("id").alias("covered")).crossJoin(poor)
+
+
+@query("route_point", over(RING, f"SELECT fid, count(*) AS stops, round(sum({LEG}), 0) AS rows_length, true AS short FROM leg GROUP BY fid HAVING count(*) > 8"))
+def q_held_tours(v: Views):
+    """Tours of the stops are shorter than four fifths of the walk from north to south, whose length is here too."""
+    walk = stats.tour(v.route_point, "fid", also=[F.count("*").alias("stops")]).where("stops > 8")
+    tours = stats.tour(routing.by_tour(v.route_point.select("fid", "seq", "lat", "lon")), "fid").select("fid", F.col("total").alias("own"))
+    return walk.join(tours, "fid").select("fid", "stops", F.round("total", 0).alias("rows_length"), (F.col("own") <= F.col("total") * 0.8).alias("short"))

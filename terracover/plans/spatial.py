@@ -480,9 +480,16 @@ def q_s2_ids(v: Views):
     return rows.select("id", s2.unsigned(F.col("leaf")).alias("leaf"), s2.unsigned(s2.parent_of(F.col("leaf"), 15)).alias("cell"))
 
 
-@query()
+_BOUNDS = "SELECT min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM fence"
+_OUTLINES = f"SELECT face, ci, cj, min(lat) AS low, max(lat) AS high, min(lon) AS west, max(lon) AS east FROM ({s2sql.corners(s2sql.domain(f'SELECT y0 AS lat, x0 AS lon FROM ({_BOUNDS}) UNION ALL SELECT y1, x1 FROM ({_BOUNDS})', 15, 3), 15, 'face, ci, cj')}) GROUP BY face, ci, cj"
+
+
+@query("fence", f"SELECT CAST({s2sql.cell(15, '(ci * 32768)', '(cj * 32768)')} AS VARCHAR) AS cell FROM ({_OUTLINES}) o JOIN ({_BOUNDS}) b ON high >= y0 AND low <= y1 AND east >= x0 AND west <= x1")
 def q_s2_cover_rect(v: Views):
-    return v.spark.createDataFrame([(int(c),) for c in s2.cover_rect(40.0, -74.0, 40.04, -73.96, 15, 100_000)], "cell long").select(s2.unsigned(F.col("cell")).alias("cell"))
+    """The cells that meet the bounds of all fences."""
+    box = v.fence.agg(F.min("y0").alias("y0"), F.min("x0").alias("x0"), F.max("y1").alias("y1"), F.max("x1").alias("x1"))
+    cells = box.select(F.explode(s2.cells_in_box(F.col("y0"), F.col("x0"), F.col("y1"), F.col("x1"), 15)).alias("cell"))
+    return cells.select(s2.unsigned(F.col("cell")).alias("cell"))
 
 
 @query()

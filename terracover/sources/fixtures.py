@@ -53,7 +53,7 @@ VIEWS: dict[str, str] = {
     "edge_stop": "SELECT id, lat + CAST(498 AS DOUBLE)/CAST(100 AS DOUBLE) AS lat, lon + CAST(7398 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon FROM pokestop",
     "corner_gym": "SELECT id, lat - CAST(4756 AS DOUBLE)/CAST(1000 AS DOUBLE) AS lat, lon + CAST(11898 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon FROM gym",
     "corner_stop": "SELECT id, lat - CAST(4756 AS DOUBLE)/CAST(1000 AS DOUBLE) AS lat, lon + CAST(11898 AS DOUBLE)/CAST(100 AS DOUBLE) AS lon FROM pokestop",
-    "project": "SELECT * FROM (VALUES (1,'alpha',true,'http://a'),(2,'beta',false,CAST(NULL AS :string)),(3,'gamma',false,'http://c')) AS t(id, name, scanner, api_endpoint)",
+    "project": "SELECT CAST(r_regionkey + 1 AS INT) AS id, CASE r_regionkey WHEN 0 THEN 'alpha' WHEN 1 THEN 'beta' WHEN 2 THEN 'gamma' ELSE lower(r_name) END AS name, r_regionkey % 3 = 0 AS scanner, CASE WHEN r_regionkey % 2 = 1 THEN CAST(NULL AS :string) ELSE concat('http://', lower(r_name)) END AS api_endpoint FROM region",
     "geofence_project": "SELECT g.id AS geofence_id, p.id AS project_id FROM geofence g CROSS JOIN project p WHERE g.id < 24 AND (g.id + p.id) % 3 = 0",
     "property": f"SELECT * FROM (VALUES {_PROPERTY}) AS t(id, name, category, default_value)",
     "geofence_property": "SELECT g.id AS geofence_id, p.id AS property_id, CASE WHEN (g.id+p.id)%5=0 THEN NULL WHEN p.category='number' THEN CASE WHEN g.id%7=0 THEN 'bad' ELSE CAST(g.id*3 AS :string) END WHEN p.category='boolean' THEN CASE WHEN g.id%7=1 THEN 'maybe' WHEN g.id%2=0 THEN 'true' ELSE 'false' END WHEN p.category='color' THEN concat('#00000', CAST(g.id%10 AS :string)) WHEN p.category='array' THEN concat('[', CAST(g.id AS :string), ']') WHEN p.category='object' THEN concat('{\"k\":', CAST(g.id AS :string), '}') ELSE concat('v', CAST(g.id AS :string)) END AS value FROM geofence g CROSS JOIN property p WHERE g.id < 100 AND (g.id*7 + p.id) % 4 <> 0",
