@@ -204,9 +204,11 @@ def _utf8(data: bytes) -> str:
 
 
 class Memory(dict):
-    """What words of at most LONGEST characters stand for, remembered up to MEMORY characters of words and values."""
+    """What words of at most LONGEST characters stand for, remembered up to `most` characters of words and values."""
 
-    held = 0
+    def __init__(self, most: int):
+        super().__init__()
+        self.most, self.held = most, 0
 
     def learn(self, words: list[str], values: list, sizes: list[int]) -> dict:
         """The values of words of a block, those of long words in it only; forgets first if there are too many."""
@@ -220,7 +222,7 @@ class Memory(dict):
         self.held = 0
 
     def trimmed(self) -> None:
-        if self.held > MEMORY:
+        if self.held > self.most:
             self.clear()
 
 
@@ -229,7 +231,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
-        self.known, self.ids = Memory(), Memory()
+        self.known, self.ids = Memory(MEMORY), Memory(MEMORY // 4)  # ids: beside the models of a pipeline's other stages
 
     def words(self, text: str | None) -> list[str]:
         """The words of the normalised text: a leading blank, blanks as marks."""
