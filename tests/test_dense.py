@@ -37,3 +37,21 @@ def test_raster_maps_are_of_one_size():
         assert np.array_equal(points, np.diff(ptr))
         sizes.append(maps)
     assert sizes[1] <= sizes[0] * 1.1
+
+
+def test_cover_of_single_points_leaves_none():
+    """Points that share an identity cell with a covered one need a disc too."""
+    lat, lon = _dense(20000)
+    y, x = cover.cover_group(lat, lon, 70.0, 1, "fast", density=40)
+    covered = np.zeros(len(lat), bool)
+    covered[cover.disc_members(y, x, lat, lon, 70.0)[1]] = True
+    assert covered.all()
+
+
+def test_tiled_cover_of_single_points_leaves_none(spark):
+    lat, lon = _dense(6000)
+    rows = spark.createDataFrame([(0, k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon))], "fid long, id long, lat double, lon double")
+    found = cover.tiled_cover(rows, 70.0, 1, "fast", density=12).toPandas()
+    covered = np.zeros(len(lat), bool)
+    covered[cover.disc_members(found["lat"].to_numpy(), found["lon"].to_numpy(), lat, lon, 70.0)[1]] = True
+    assert covered.all()
