@@ -494,7 +494,8 @@ def q_s2_cover_rect(v: Views):
 
 @query()
 def q_s2_circle_coverage(v: Views):
-    return v.gym.select("id", F.explode(s2.cells_within(F.col("lat"), F.col("lon"), 200.0, 17)).alias("cell"))
+    gym = dealt(v.gym.select("id", "lat", "lon"), "id")
+    return gym.select("id", F.explode(s2.cells_within(F.col("lat"), F.col("lon"), 200.0, 17)).alias("cell"))
 
 
 @query("gym", over(f"g AS (SELECT id, enabled, {s2sql.cell(15)} AS c FROM ({s2sql.ij('SELECT * FROM gym')}))", f"SELECT {s2sql.signed('c')} AS cell, id FROM g WHERE c IN (SELECT c FROM g WHERE enabled = 1)"))

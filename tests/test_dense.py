@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 
+from terracover.functions import s2
 from terracover.operators import cover
 
 
@@ -55,3 +56,14 @@ def test_tiled_cover_of_single_points_leaves_none(spark):
     covered = np.zeros(len(lat), bool)
     covered[cover.disc_members(found["lat"].to_numpy(), found["lon"].to_numpy(), lat, lon, 70.0)[1]] = True
     assert covered.all()
+
+
+def test_circles_together_are_each_circle(monkeypatch):
+    """Over the cube's edges and corners too, in one pass and not one circle at a time."""
+    rng = np.random.default_rng(2)
+    lat = np.r_[40 + rng.random(20) * 0.04, 45 + rng.random(5) * 0.001, 35.26439, 90.0, np.nan]
+    lon = np.r_[-74 + rng.random(20) * 0.04, rng.random(5) * 0.001, 45.0, 0.0, 1.0]
+    want = [s2.circle_cover(y, x, 200.0, 17) for y, x in zip(lat[:-1], lon[:-1])]
+    monkeypatch.setattr(s2, "circle_cover", None)
+    got = s2.circle_covers(lat, lon, 200.0, 17)
+    assert len(got) == len(lat) and not len(got[-1]) and all(np.array_equal(a, b) for a, b in zip(got, want))
