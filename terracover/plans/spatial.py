@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from terracover import engine
 from terracover.functions import geo, geohash, s2
 from terracover.operators import bootstrap, client, cover, formats, plugins, polygons, routing, stats
-from terracover.operators.grouping import dealt
-from terracover.operators.joins import edge_distances, in_any_fence, nearest_pairs, pip_join, radius_join
+from terracover.operators.grouping import dealt, settled
+from terracover.operators.joins import edge_distances, in_any_fence, nearest_between, pip_join, radius_join
 from terracover.plans import s2sql
 from terracover.plans.registry import Views, haversine, inside, query
 
@@ -59,9 +59,10 @@ def q_self_cover_count(v: Views):
 
 @query("route_point", f"SELECT key, next_key, metres FROM (SELECT a.fid AS key, b.fid AS next_key, round(min({haversine('a', 'b')}), 3) AS metres FROM route_point a JOIN route_point b ON b.fid = a.fid + 1 GROUP BY a.fid, b.fid)")
 def q_nearest_pair_join(v: Views):
-    a = v.route_point.select(F.col("fid").alias("key"), (F.col("fid") + 1).alias("next_key"), F.col("seq").alias("a_seq"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    b = v.route_point.select(F.col("fid").alias("next_key"), F.col("seq").alias("b_seq"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    return nearest_pairs(a.join(b, "next_key")).select("key", "next_key", "metres")
+    stops = settled(v.route_point)
+    a = stops.select(F.col("fid").alias("key"), (F.col("fid") + 1).alias("next_key"), F.col("seq").alias("a_seq"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    b = stops.select(F.col("fid").alias("next_key"), F.col("seq").alias("b_seq"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+    return nearest_between(a, b).select("key", "next_key", "metres")
 
 
 @query("spawnpoint cluster", over(COUNTS, "SELECT cid, n_all, n_unique FROM cnt"))

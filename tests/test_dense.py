@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from terracover.functions import s2
-from terracover.operators import cover
+from terracover.operators import cover, joins
 
 
 def _dense(n, spread=0.004, seed=5):
@@ -67,3 +67,17 @@ def test_circles_together_are_each_circle(monkeypatch):
     monkeypatch.setattr(s2, "circle_cover", None)
     got = s2.circle_covers(lat, lon, 200.0, 17)
     assert len(got) == len(lat) and not len(got[-1]) and all(np.array_equal(a, b) for a, b in zip(got, want))
+
+
+def test_nearest_between_is_nearest_of_all_pairs_but_meets_few(spark, monkeypatch):
+    """Tours beside, over and far from each other, one of them across 180 degrees, one of a single stop."""
+    rng = np.random.default_rng(4)
+    at = {0: (40, -74, 400), 1: (40, -73.99, 400), 2: (40.002, -73.992, 300), 3: (41, -70, 1), 4: (-10, 179.999, 200), 5: (-10, -179.995, 200)}
+    rows = [(f, k, float(y + a), float((x + b + 180) % 360 - 180)) for f, (y, x, n) in at.items() for k, (a, b) in enumerate(rng.random((n, 2)) * 0.009)]
+    stops = spark.createDataFrame(rows, "fid long, seq long, lat double, lon double")
+    a = stops.selectExpr("fid key", "fid + 1 next_key", "seq a_seq", "lat a_lat", "lon a_lon")
+    b = stops.selectExpr("fid next_key", "seq b_seq", "lat b_lat", "lon b_lon")
+    want, met, plain = sorted(map(tuple, joins.nearest_pairs(a.join(b, "next_key")).collect())), [], joins.nearest_pairs
+    monkeypatch.setattr(joins, "nearest_pairs", lambda t: (met.append(t.count()), plain(t))[1])
+    assert sorted(map(tuple, joins.nearest_between(a, b).collect())) == want and len(want) == 5
+    assert met[0] < a.join(b, "next_key").count() / 20
