@@ -49,7 +49,7 @@ def q_pip(v: Views):
 
 @query("spawnpoint cluster", over(NEAR, "SELECT DISTINCT id FROM near"))
 def q_first_match_join(v: Views):
-    return v.spawnpoint.select("id").join(_pairs(v).select("id"), "id", "left_semi")
+    return v.spawnpoint.select("id").join(_pairs(v).select("id").distinct(), "id", "left_semi")
 
 
 @query("spawnpoint cluster", over(NEAR, "SELECT id, count(*) AS covers FROM near GROUP BY id"))
@@ -72,8 +72,8 @@ def q_agg_cluster_counts(v: Views):
 
 @query("spawnpoint cluster", over(NEAR, "SELECT cid, count(*) AS n_all, count(DISTINCT concat(p.lat, ',', p.lon)) AS n_distinct FROM near JOIN spawnpoint p USING (id) GROUP BY cid"))
 def q_agg_unique_dedupe(v: Views):
-    own = _pairs(v).join(v.spawnpoint.select("id", "lat", "lon"), "id")
-    return own.groupBy("cid").agg(F.count("*").alias("n_all"), F.countDistinct("lat", "lon").alias("n_distinct"))
+    places = v.spawnpoint.groupBy("lat", "lon").agg(F.count("*").alias("n"))
+    return radius_join(places, v.cluster, RADIUS, ["n"], ["cid"]).groupBy("cid").agg(F.sum("n").alias("n_all"), F.count("*").alias("n_distinct"))
 
 
 @query("spawnpoint cluster", over(COUNTS, "SELECT n_all AS size, count(*) AS clusters FROM cnt GROUP BY n_all"))
@@ -83,7 +83,7 @@ def q_agg_histograms(v: Views):
 
 @query("spawnpoint cluster", over(COUNTS, "SELECT cid, n_all, n_unique FROM cnt WHERE n_all = (SELECT max(n_all) FROM cnt)"))
 def q_agg_best(v: Views):
-    return stats.best(_counts(v))
+    return stats.best(settled(_counts(v)))
 
 
 @query("spawnpoint cluster", over(COUNTS + ", below AS (SELECT n_all FROM (SELECT n_all, max(n_all) OVER (ORDER BY cid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM cnt) WHERE n_all < before)", "SELECT coalesce(min(n_all), 0) AS worst, (SELECT count(*) FROM below b WHERE b.n_all = (SELECT min(n_all) FROM below)) AS clusters FROM below"))
@@ -199,7 +199,7 @@ def q_clu_center(v: Views):
 
 @query("spawnpoint cluster", over(COUNTS, "SELECT id, min(c.cid) AS cid FROM (SELECT v.id, max(n_all) AS top FROM cov v JOIN cnt USING (cid) GROUP BY v.id) m JOIN cov c USING (id) JOIN cnt k ON k.cid = c.cid AND k.n_all = m.top GROUP BY id"))
 def q_clu_first_claims(v: Views):
-    return cover.first_claims(_pairs(v), _counts(v))
+    return cover.nearby_claims(v.spawnpoint, v.cluster, RADIUS)
 
 
 @query("spawnpoint edge", s2sql.block_counts(f"SELECT DISTINCT id, lat, lon FROM ({inside('spawnpoint')})", 17, 3, MIN_POINTS))
@@ -224,7 +224,7 @@ def q_greedy_unique_prune(v: Views):
 
 @query("spawnpoint cluster", over(NEAR, "SELECT id FROM spawnpoint WHERE id NOT IN (SELECT id FROM near)"))
 def q_greedy_missing(v: Views):
-    return v.spawnpoint.select("id").join(_pairs(v), "id", "left_anti")
+    return v.spawnpoint.select("id").join(_pairs(v).select("id").distinct(), "id", "left_anti")
 
 
 def _on_plane(v: Views, out):
@@ -517,7 +517,8 @@ def q_fn_arrays(v: Views):
 @query("spawnpoint cluster", over(COUNTS, "SELECT size, CAST(sum(clusters) AS BIGINT) AS clusters FROM (SELECT n_all AS size, count(*) AS clusters FROM cnt GROUP BY n_all UNION ALL SELECT n_unique, count(*) FROM cnt GROUP BY n_unique) GROUP BY size"))
 def q_fn_maps(v: Views):
     """Two histograms as maps, merged additively."""
-    as_map = lambda c: stats.histogram(_counts(v), c).agg(F.map_from_entries(F.collect_list(F.struct("size", "clusters"))).alias("m"))
+    counts = settled(_counts(v))
+    as_map = lambda c: stats.histogram(counts, c).agg(F.map_from_entries(F.collect_list(F.struct("size", "clusters"))).alias("m"))
     both = as_map("n_all").crossJoin(as_map("n_unique").withColumnRenamed("m", "k"))
     merged = F.map_zip_with("m", "k", lambda _, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
     return both.select(F.explode(merged).alias("size", "clusters"))

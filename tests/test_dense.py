@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from terracover.functions import s2
-from terracover.operators import cover, joins
+from terracover.operators import cover, joins, stats
 
 
 def _dense(n, spread=0.004, seed=5):
@@ -81,3 +81,25 @@ def test_nearest_between_is_nearest_of_all_pairs_but_meets_few(spark, monkeypatc
     monkeypatch.setattr(joins, "nearest_pairs", lambda t: (met.append(t.count()), plain(t))[1])
     assert sorted(map(tuple, joins.nearest_between(a, b).collect())) == want and len(want) == 5
     assert met[0] < a.join(b, "next_key").count() / 20
+
+
+def _shuffled(spark, df):
+    """The rows that a frame's stages hand over, and its own rows."""
+    store, none = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    stages = lambda: {s.stageId(): s.shuffleWriteRecords() for a in [store.stageList(None, False, False, none, spark._jvm.java.util.ArrayList())] for k in range(a.size()) for s in (a.apply(k),)}
+    before, rows = stages(), sorted(map(tuple, df().collect()))
+    return sum(n for k, n in stages().items() if k not in before), rows
+
+
+def test_pairs_of_dense_points_are_not_shuffled(spark):
+    lat, lon = _dense(3000, spread=0.001)
+    points = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon))], "id long, lat double, lon double")
+    discs = points.where("id % 25 = 0").withColumnRenamed("id", "cid")
+    pairs = joins.radius_join(points, discs, 70.0, ["id"], ["cid"])
+    met = pairs.count()
+    got, counts = _shuffled(spark, lambda: stats.cluster_counts(pairs, discs))
+    assert met > 200_000 and got < met / 5
+    near = cover.metres_between(lat[None], lon[None], lat[::25, None], lon[::25, None]) <= 70.0
+    assert counts == [(25 * k, int(n.sum()), int((n & (near.sum(axis=0) == 1)).sum())) for k, n in enumerate(near)]
+    got, claims = _shuffled(spark, lambda: cover.nearby_claims(points, discs, 70.0))
+    assert got < met / 5 and claims == sorted(map(tuple, cover.first_claims(pairs, stats.cluster_counts(pairs, discs)).collect()))
