@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from terracover.functions import geo, geohash, s2
-from terracover.operators.cover import metres_between
+from terracover.operators.cover import _unit_vectors, metres_between
 from terracover.operators.grouping import dealt
 
 
@@ -60,30 +62,77 @@ def distance_matrix(lat: np.ndarray, lon: np.ndarray) -> np.ndarray:
     return np.round(metres_between(lat[:, None], lon[:, None], lat[None], lon[None]) * (geo.MATRIX_RADIUS / geo.MEAN_RADIUS))
 
 
+def nearest(y: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place on a plane its k nearest others, nearest first, then by index, and their squared distances.
+
+    Places lie in leaves of 16, leaves in strips. A leaf looks into the leaves nearest to its box, twice as many
+    each time, until none that is left can hold a nearer place; a bounded number of pairs is held at a time.
+    """
+    n, size = len(y), 16
+    leaves = -(-n // size)
+    strip = np.empty(n, np.int64)
+    strip[np.lexsort((y, x))] = np.arange(n) // (size * math.ceil(math.sqrt(leaves)))
+    order = np.r_[np.lexsort((x, y, strip)), np.full(leaves * size - n, -1)].reshape(leaves, size)
+    py, px = np.where(order < 0, np.inf, y[order]), np.where(order < 0, np.inf, x[order])
+    box = [f(np.where(order < 0, v[order[:, :1]], v[order]), axis=1) for v in (y, x) for f in (np.min, np.max)]
+    out, far = np.empty((n, k), np.int32), np.empty((n, k))
+    todo, width = np.arange(leaves), min(leaves, 16)
+    while len(todo):
+        rows, again = max(1, min((1 << 20) // leaves, (1 << 20) // (width * size * size))), []
+        for a in range(0, len(todo), rows):
+            own = todo[a : a + rows]
+            away = sum(np.maximum(0.0, np.maximum(lo - hi[own, None], lo[own, None] - hi)) ** 2 for lo, hi in (box[:2], box[2:]))
+            near = np.argpartition(away, width - 1, axis=1)[:, :width] if width < leaves else np.broadcast_to(np.arange(leaves), away.shape)
+            np.put_along_axis(away, near, np.inf, axis=1)
+            who = np.sort(order[near].reshape(len(own), -1), axis=1)
+            d = (py[own][:, :, None] - y[who][:, None]) ** 2 + (px[own][:, :, None] - x[who][:, None]) ** 2
+            d[np.broadcast_to(who[:, None] < 0, d.shape) | (who[:, None] == order[own][:, :, None])] = np.inf
+            if d.shape[2] > k:
+                some = np.argpartition(d, k - 1, axis=2)[:, :, :k]
+                edge = np.take_along_axis(d, some, axis=2).max(axis=2)
+            else:
+                some, edge = np.broadcast_to(np.arange(d.shape[2]), d.shape), np.full(d.shape[:2], np.inf)
+            real = order[own] >= 0
+            done = (np.where(real, edge, 0.0).max(axis=1) <= away.min(axis=1)) | (width == leaves)
+            again.append(own[~done])
+            real &= done[:, None]
+            some, d = some[real], d[real]
+            rank = np.take_along_axis(d, some, axis=1)
+            who = np.broadcast_to(who[:, None], (*real.shape, who.shape[1]))[real]
+            who = np.take_along_axis(who, some, axis=1)
+            by = np.lexsort((who, rank), axis=1)[:, :k]
+            out[order[own][real]], far[order[own][real]] = np.take_along_axis(who, by, axis=1), np.take_along_axis(rank, by, axis=1)
+        todo, width = np.concatenate(again), min(leaves, 2 * width)
+    return out, far
+
+
 def tour_order(lat: np.ndarray, lon: np.ndarray, neighbours: int = 10, rounds: int = 40) -> np.ndarray:
     """A short closed tour from stop 0: cheapest next arc, then 2-opt and Or-opt moves over near neighbours in turn."""
     n = len(lat)
     if n < 4:
         return np.arange(n)
     y, x = np.radians(lat), np.radians(lon) * np.cos(np.radians(lat.mean()))
+    near, far = nearest(y, x, min(max(neighbours, 24), n - 1))
+    sure = np.inf if near.shape[1] == n - 1 else far[:, -1:]  # what is nearer is listed
+    known = far < sure
+    del far
     order = np.empty(n, np.int64)
-    left = np.ones(n, bool)
+    left, rest = np.ones(n, bool), np.arange(n)
     at = 0
     for k in range(n):
         order[k] = at
         left[at] = False
         if k + 1 < n:
-            free = np.flatnonzero(left)
-            at = int(free[np.argmin((y[free] - y[at]) ** 2 + (x[free] - x[at]) ** 2)])
+            free = left[near[at]] & known[at]
+            first = int(free.argmax())
+            if free[first]:
+                at = int(near[at, first])
+            else:
+                if len(rest) > 2 * (n - k):
+                    rest = rest[left[rest]]
+                at = int(rest[np.argmin(np.where(left[rest], (y[rest] - y[at]) ** 2 + (x[rest] - x[at]) ** 2, np.inf))])
     dist = lambda a, b: np.hypot(y[a] - y[b], x[a] - x[b])
-    k = min(neighbours, n - 1)
-    near = np.empty((n, k), np.int64)
-    for a in range(0, n, 512):
-        d = (y[a : a + 512, None] - y) ** 2 + (x[a : a + 512, None] - x) ** 2
-        d[np.arange(len(d)), np.arange(a, a + len(d))] = -1.0  # itself first, whatever lies on the same place
-        some = np.argpartition(d, k, axis=1)[:, : k + 1]
-        some = np.take_along_axis(some, np.lexsort((some, np.take_along_axis(d, some, axis=1)), axis=1), axis=1)
-        near[a : a + 512] = some[:, 1:]
+    near = near[:, : min(neighbours, n - 1)].astype(np.int64)
     for _ in range(rounds):
         turned, order = _reversals(order, near, dist)
         moved, order = _moves(order, near, dist)
@@ -93,6 +142,10 @@ def tour_order(lat: np.ndarray, lon: np.ndarray, neighbours: int = 10, rounds: i
     return np.roll(order, -start)
 
 
+#: Rows of neighbours, and moves found, that a tour looks at together.
+ROWS, MOVES = 1 << 14, 1 << 12
+
+
 def _reversals(order: np.ndarray, near: np.ndarray, dist) -> tuple[bool, np.ndarray]:
     """2-opt: the best reversals that do not overlap."""
     n, k = near.shape
@@ -100,18 +153,28 @@ def _reversals(order: np.ndarray, near: np.ndarray, dist) -> tuple[bool, np.ndar
     pos[order] = np.arange(n)
     after = np.empty(n, np.int64)
     after[order] = np.roll(order, -1)
-    a, c = np.repeat(np.arange(n), k), near.ravel()
-    gain = dist(a, after[a]) + dist(c, after[c]) - dist(a, c) - dist(after[a], after[c])
-    good = np.flatnonzero(gain > 1e-12)
+    found = []
+    for s in range(0, n, ROWS):
+        c = near[s : s + ROWS].ravel()
+        a = np.repeat(np.arange(s, s + len(c) // k), k)
+        gain = dist(a, after[a]) + dist(c, after[c]) - dist(a, c) - dist(after[a], after[c])
+        good = np.flatnonzero(gain > 1e-12)
+        found.append((gain[good], pos[a[good]], pos[c[good]]))
+    gain, p, q = (np.concatenate(v) for v in zip(*found, strict=True))
+    best = np.argsort(-gain, kind="stable")
     done, any_ = np.zeros(n + 1, bool), False
     order = order.copy()
-    for g in good[np.argsort(-gain[good], kind="stable")]:
-        i, j = sorted((int(pos[a[g]]), int(pos[c[g]])))
-        if j - i < 1 or done[i : j + 2].any():
-            continue
-        order[i + 1 : j + 1] = order[i + 1 : j + 1][::-1]
-        done[i : j + 2] = True
-        any_ = True
+    for s in range(0, len(best), MOVES):
+        some = best[s : s + MOVES]
+        i, j = np.minimum(p[some], q[some]), np.maximum(p[some], q[some])
+        before = np.r_[0, np.cumsum(done)]
+        open_ = (i < j) & (before[np.minimum(j + 2, n + 1)] == before[i])
+        for i, j in zip(i[open_].tolist(), j[open_].tolist(), strict=True):
+            if done[i : j + 2].any():
+                continue
+            order[i + 1 : j + 1] = order[i + 1 : j + 1][::-1]
+            done[i : j + 2] = True
+            any_ = True
     return any_, order
 
 
@@ -123,37 +186,51 @@ def _moves(order: np.ndarray, near: np.ndarray, dist) -> tuple[bool, np.ndarray]
     pos = np.empty(n, np.int64)
     pos[order] = np.arange(n)
     at = lambda i: order[i % n]
+    leg = dist(order, np.roll(order, -1))  # to the next stop
     found = []
     for size in (1, 2, 3):
-        i = np.repeat(np.arange(n), k)
         for end in (0, size - 1) if size > 1 else (0,):  # the stop that comes next to its near neighbour
-            first, last = at(i), at(i + size - 1)
-            c = near[at(i + end), np.tile(np.arange(k), n)]
-            free = (pos[c] - i) % n >= size
-            before, behind = at(i - 1), at(i + size)
-            left = dist(before, first) + dist(last, behind) - dist(before, behind)
-            for way in (0, 1):  # between c and the stop after it, or before it
-                lead, tail = (c, at(pos[c] + 1)) if way == 0 else (at(pos[c] - 1), c)
-                ok = free & ((pos[lead] - i) % n >= size) & ((pos[tail] - i) % n >= size)
-                for flip in (0, 1):
-                    u, v = (first, last) if not flip else (last, first)
-                    gain = left - (dist(lead, u) + dist(v, tail) - dist(lead, tail))
-                    g = np.flatnonzero(ok & (gain > 1e-12))
-                    found.append(np.stack([gain[g], i[g], np.full(len(g), size), pos[lead[g]], np.full(len(g), flip)], axis=1))
-    found = np.concatenate(found)
-    if not len(found):
+            ways = [[], [], [], []]
+            for s in range(0, n, ROWS):
+                i = np.repeat(np.arange(s, min(n, s + ROWS)), k)
+                first, last = at(i), at(i + size - 1)
+                c = near[at(i[::k] + end)].ravel()
+                free = (pos[c] - i) % n >= size
+                left = leg[i - 1] + leg[(i + size - 1) % n] - np.repeat(dist(at(i[::k] - 1), at(i[::k] + size)), k)
+                to = lambda other: (d := dist(other, first), d if size == 1 else dist(other, last))  # noqa: B023, E731
+                own = to(c)
+                for way in (0, 1):  # between c and the stop after it, or before it
+                    other = at(pos[c] + 1 - 2 * way)
+                    ok = free & ((pos[other] - i) % n >= size)
+                    there, gap = to(other), leg[pos[c] - way]
+                    for flip in (0, 1):
+                        here = own[flip] + there[1 - flip] if way == 0 else there[flip] + own[1 - flip]
+                        gain = left - (here - gap)
+                        g = np.flatnonzero(ok & (gain > 1e-12))
+                        lead = (pos[c[g]] - way) % n
+                        ways[2 * way + flip].append((gain[g], i[g].astype(np.int32), np.full(len(g), size, np.int8), lead.astype(np.int32), np.full(len(g), flip, np.int8)))
+            found += [part for way in ways for part in way]
+    gain, *move = (np.concatenate(v) for v in zip(*found, strict=True))
+    del found
+    if not len(gain):
         return False, order
+    best = np.argsort(-gain, kind="stable")
     used = np.zeros(n, bool)
     gone, put = np.zeros(n, bool), {}
-    for _, i, size, lead, flip in found[np.argsort(-found[:, 0], kind="stable")].tolist():
-        own = (np.arange(int(i) - 1, int(i) + int(size) + 1)) % n
-        ends = np.array([int(lead), (int(lead) + 1) % n])
-        if used[own].any() or used[ends].any():
-            continue
-        used[own] = used[ends] = True
-        seg = own[1:-1]
-        gone[seg] = True
-        put[int(lead)] = seg[::-1] if flip else seg
+    for s in range(0, len(best), MOVES):
+        i, size, lead, flip = (v[best[s : s + MOVES]].astype(np.int64) for v in move)
+        busy = used[lead] | used[(lead + 1) % n]
+        for step in range(-1, 4):
+            busy |= used[(i + step) % n] & (step <= size)
+        for i, size, lead, flip in zip(*(v[~busy].tolist() for v in (i, size, lead, flip)), strict=True):
+            own = np.arange(i - 1, i + size + 1) % n
+            ends = [lead, (lead + 1) % n]
+            if used[own].any() or used[ends].any():
+                continue
+            used[own] = used[ends] = True
+            seg = own[1:-1]
+            gone[seg] = True
+            put[lead] = seg[::-1] if flip else seg
     out = []
     for p in range(n):
         if not gone[p]:
@@ -189,6 +266,26 @@ def _solved(g: pd.DataFrame) -> np.ndarray:
     return first[tour_order(lat[first], lon[first])]
 
 
+def closest(p: np.ndarray, q: np.ndarray) -> int:
+    """The first of stops p [lat, lon] with the least distance to any of q: runs of stops meet, the nearest boxes first."""
+    sides = []
+    for v in (p, q):
+        first = np.arange(0, len(v), max(64, len(v) // 1024))
+        u = _unit_vectors(v[:, 0], v[:, 1])
+        sides.append((first, np.r_[first[1:], len(v)], np.minimum.reduceat(u, first), np.maximum.reduceat(u, first)))
+    (a0, a1, low, high), (b0, b1, under, over) = sides
+    away = np.sqrt(sum(np.maximum(0.0, np.maximum(under[:, k] - high[:, None, k], low[:, None, k] - over[:, k])) ** 2 for k in range(3)))
+    best, at = math.inf, 0
+    for k in np.argsort(away, axis=None, kind="stable"):
+        i, j = divmod(int(k), len(b0))
+        if away[i, j] > 2 * math.sin(min(best / geo.MEAN_RADIUS, math.pi) / 2) * (1 + 1e-6) + 1e-14:
+            break
+        own, other = p[a0[i] : a1[i]], q[b0[j] : b1[j]]
+        d = metres_between(own[:, None, 0], own[:, None, 1], other[None, :, 0], other[None, :, 1]).min(axis=1)
+        best, at = min((best, at), (float(d.min()), int(a0[i] + np.argmin(d))))
+    return at
+
+
 def joined(tours: DataFrame) -> DataFrame:
     """One tour per fence out of those of its cells (fid, cell, seq, lat, lon).
 
@@ -204,8 +301,7 @@ def joined(tours: DataFrame) -> DataFrame:
             parts = [parts[i] for i in tour_order(mid[:, 0], mid[:, 1])]
             turned = []
             for p, q in zip(parts, [*parts[1:], parts[0]], strict=True):
-                d = metres_between(p[:, None, 0], p[:, None, 1], q[None, :, 0], q[None, :, 1]).min(axis=1)
-                turned.append(np.roll(p, -int(np.argmin(d)), axis=0))
+                turned.append(np.roll(p, -closest(p, q), axis=0))
             parts = turned
         out = np.concatenate(parts)
         return pd.DataFrame({"fid": key[0], "seq": np.arange(len(out)), "lat": out[:, 0], "lon": out[:, 1]})

@@ -1,10 +1,12 @@
 """Work that must not grow with the square of the points in one place."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
 from terracover.functions import s2
-from terracover.operators import cover, joins, stats
+from terracover.operators import cover, joins, routing, stats
 
 
 def _dense(n, spread=0.004, seed=5):
@@ -103,3 +105,35 @@ def test_pairs_of_dense_points_are_not_shuffled(spark):
     assert counts == [(25 * k, int(n.sum()), int((n & (near.sum(axis=0) == 1)).sum())) for k, n in enumerate(near)]
     got, claims = _shuffled(spark, lambda: cover.nearby_claims(points, discs, 70.0))
     assert got < met / 5 and claims == sorted(map(tuple, cover.first_claims(pairs, stats.cluster_counts(pairs, discs)).collect()))
+
+
+def _peak(f):
+    tracemalloc.start()
+    try:
+        out = f()
+        return out, tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_tours_hold_no_pairs_of_all_stops():
+    """What a tour holds grows with its stops, and its neighbours are the nearest of all stops."""
+    rng = np.random.default_rng(4)
+    lat, lon = 40 + rng.random(24000) * 0.01, -74 + rng.random(24000) * 0.01
+    order, peak = _peak(lambda: routing.tour_order(lat, lon, rounds=0))
+    assert sorted(order.tolist()) == list(range(24000)) and peak < 150
+    for y, x in ((lat[:900], lon[:900]), (np.round(lat[:900], 3), np.round(lon[:900], 3)), (lat[:25], lon[:25])):
+        d = (y[:, None] - y) ** 2 + (x[:, None] - x) ** 2
+        d[np.arange(len(y)), np.arange(len(y))] = np.inf
+        near, far = routing.nearest(y, x, 24)
+        assert np.array_equal(far, np.sort(d, axis=1)[:, :24]) and np.array_equal(np.take_along_axis(d, near.astype(int), axis=1), far)
+
+
+def test_joined_tours_hold_no_pairs_of_all_stops():
+    rng = np.random.default_rng(5)
+    p, q = (np.stack([40 + rng.random(5000) * 0.01, lon + rng.random(5000) * 0.01], axis=1) for lon in (-74.0, -73.9905))
+    p, q = p[np.argsort(p[:, 0])], q[np.argsort(q[:, 0])]
+    at, peak = _peak(lambda: routing.closest(p, q))
+    d = cover.metres_between(p[:, None, 0], p[:, None, 1], q[None, :, 0], q[None, :, 1]).min(axis=1)
+    assert at == int(np.argmin(d)) and peak < 50
+    assert routing.closest(p[:3], p[:3]) == 0
