@@ -316,12 +316,12 @@ def q_clu_wide_fastest(v: Views):
 
 @query()
 def q_clu_wide_fast(v: Views):
-    return cover.greedy_cover(v.wide, 70.0, 3, "fast")
+    return cover.wide_cover(v.wide, 70.0, 3, "fast")
 
 
 @query()
 def q_clu_wide_balanced(v: Views):
-    return cover.greedy_cover(v.wide, 70.0, 3, "balanced")
+    return cover.wide_cover(v.wide, 70.0, 3, "balanced")
 
 
 @query()

@@ -4,9 +4,12 @@ import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from terracover.functions import s2
 from terracover.operators import cover, joins, routing, stats
+from terracover.plans import further  # noqa: F401  fills the registry
+from terracover.plans.registry import QUERIES
 
 
 def _dense(n, spread=0.004, seed=5):
@@ -137,3 +140,24 @@ def test_joined_tours_hold_no_pairs_of_all_stops():
     d = cover.metres_between(p[:, None, 0], p[:, None, 1], q[None, :, 0], q[None, :, 1]).min(axis=1)
     assert at == int(np.argmin(d)) and peak < 50
     assert routing.closest(p[:3], p[:3]) == 0
+
+
+def test_wide_cover_is_the_greedy_cover(spark):
+    """The same discs, though only points that a candidate reaches meet; all points are counted."""
+    rng = np.random.default_rng(6)
+    rows = [(k % 2, 40 + float(y), -74 + float(x)) for k, (y, x) in enumerate(rng.integers(0, 400, (6000, 2)) * 0.00005)]
+    points = spark.createDataFrame(rows + [(2, 41.0, -74.0)] * 3 + [(3, 42.0, -74.0), (3, None, -74.0)], "fid long, lat double, lon double")
+    got = cover.wide_cover(points, 70.0, 3, "fast", F.col("fid") % 2, density=40)
+    want = cover.greedy_cover(points, 70.0, 3, "fast", F.col("fid") % 2, density=40)
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert {r.fid: r.points for r in got.collect()} == {0: 3000, 1: 3000}
+    for mode, least in (("better", 3), ("fast", 1)):
+        with pytest.raises(ValueError):
+            cover.wide_cover(points, 70.0, least, mode)
+
+
+def test_wide_queries_meet_only_reached_points(spark, monkeypatch):
+    """The wide queries bring no whole group into one task."""
+    monkeypatch.setattr(cover, "greedy_cover", None)
+    for name in ("q_clu_wide_fast", "q_clu_wide_balanced"):
+        assert QUERIES[name](spark, "/root/testdata/sf0.001").schema.names[0] == "fid"
