@@ -161,3 +161,24 @@ def test_wide_queries_meet_only_reached_points(spark, monkeypatch):
     monkeypatch.setattr(cover, "greedy_cover", None)
     for name in ("q_clu_wide_fast", "q_clu_wide_balanced"):
         assert QUERIES[name](spark, "/root/testdata/sf0.001").schema.names[0] == "fid"
+
+
+def test_best_cover_lists_no_meeting_points(monkeypatch):
+    """Every disc taken covers as many free cells as any meeting point of two rims could, and memory does not grow with their number."""
+    lat, lon = _dense(700)
+    _, identity = np.unique(s2.cell_ids(lat, lon, cover.IDENTITY_LEVEL), return_inverse=True)
+    monkeypatch.setattr(cover, "PAIRS", 0)
+    found = cover.Raster.of(lat, lon, 70.0, 8.0).widest(3, 0)
+    _, _, ptr, members = cover._kept(cover.candidates(lat, lon, 70.0, "best"), lat, lon, 70.0, 3)
+    sets = [np.unique(identity[members[ptr[c] : ptr[c + 1]]]) for c in range(len(ptr) - 1)]
+    own, size, free = np.concatenate(sets), np.cumsum([0, *map(len, sets)]), np.ones(identity.max() + 1, bool)
+    most = lambda: int(np.add.reduceat(free[own], size[:-1], dtype=int).max())
+    for y, x in zip(*found):
+        cells = identity[cover.disc_members(np.array([y]), np.array([x]), lat, lon, 70.0)[1]]
+        assert free[np.unique(cells)].sum() == most()
+        free[cells] = False
+    assert most() < 3 and len(found[0]) > 10
+    monkeypatch.setattr(cover, "meeting_points", None)
+    lat, lon = _dense(12000, spread=0.0015)
+    got, peak = _peak(lambda: cover.cover_group(lat, lon, 70.0, 3, "best"))
+    assert len(got[0]) and peak < 300
