@@ -311,7 +311,7 @@ def q_live_counts(v: Views):
 
 @query()
 def q_clu_wide_fastest(v: Views):
-    return cover.fastest_cover(v.wide, 70.0, 3)
+    return cover.wide_fastest_cover(v.wide, 70.0, 3)
 
 
 @query()

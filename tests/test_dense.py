@@ -182,3 +182,18 @@ def test_best_cover_lists_no_meeting_points(monkeypatch):
     lat, lon = _dense(12000, spread=0.0015)
     got, peak = _peak(lambda: cover.cover_group(lat, lon, 70.0, 3, "best"))
     assert len(got[0]) and peak < 300
+
+
+@pytest.mark.parametrize("least, tiles", [(1, (4, 16, 1 << 40)), (3, (8, 1 << 40))])
+def test_wide_fastest_cover_is_the_fastest_cover(spark, monkeypatch, least, tiles):
+    """The same discs in the same order, in whatever tiles cells are merged."""
+    rng = np.random.default_rng(7)
+    rows = [(k % 2, 40 + float(y), -74 + float(x)) for k, (y, x) in enumerate(rng.integers(0, 4000, (9000, 2)) * 0.00001)]
+    points = spark.createDataFrame(rows + [(2, 41.0, -74.0)] * 3 + [(-3, 42.0, -74.0), (3, None, -74.0)], "fid long, lat double, lon double")
+    monkeypatch.setattr(cover, "MERGE_TILES", tiles)
+    plain = cover.fastest_cover(points, 70.0, least, F.col("fid") % 2)
+    monkeypatch.setattr(cover, "fastest_cover", None)
+    got, want = (df.select("fid", "split", "cid", F.round("lat", 9), F.round("lon", 9), "points", "covered") for df in (cover.wide_fastest_cover(points, 70.0, least, F.col("fid") % 2), plain))
+    want = sorted(map(tuple, want.collect()))
+    assert len(want) > 500 and sorted(map(tuple, got.collect())) == want
+    assert QUERIES["q_clu_wide_fastest"](spark, "/root/testdata/sf0.001").count()
