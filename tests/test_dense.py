@@ -3,13 +3,15 @@
 import tracemalloc
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from terracover.functions import s2
 from terracover.operators import cover, joins, routing, stats
-from terracover.plans import further  # noqa: F401  fills the registry
+from terracover.plans import further, spatial  # noqa: F401  they fill the registry
 from terracover.plans.registry import QUERIES
+from terracover.sources import fixtures
 
 
 def _dense(n, spread=0.004, seed=5):
@@ -197,3 +199,13 @@ def test_wide_fastest_cover_is_the_fastest_cover(spark, monkeypatch, least, tile
     want = sorted(map(tuple, want.collect()))
     assert len(want) > 500 and sorted(map(tuple, got.collect())) == want
     assert QUERIES["q_clu_wide_fastest"](spark, "/root/testdata/sf0.001").count()
+
+
+def test_rows_of_a_matrix_are_dealt_out(spark):
+    """A tour's rows are made in several tasks, each of at most some part of them."""
+    sf = "/root/testdata/sf0.001"
+    rows = QUERIES["q_dist_matrix"](spark, sf).groupBy("fid", F.spark_partition_id().alias("task")).agg(F.count("*").alias("n"))
+    stops = fixtures.view(spark, sf, "route_point").groupBy("fid").agg(F.count("*").alias("stops"))
+    tours = rows.groupBy("fid").agg(F.sum("n").alias("n"), F.max("n").alias("most")).join(stops, "fid").collect()
+    assert len(tours) == stops.count() and all(t.n == t.stops**2 for t in tours)
+    assert max(t.stops for t in tours) > 5 and all(t.most < t.n for t in tours if t.stops > 5)
