@@ -219,29 +219,30 @@ def q_route_stats(v: Views):
     return engine.route_stats(engine.clusters(v.spawnpoint, v.edge, a), points, a)
 
 
-def _candidates(v: Views, make):
+def _candidates(points, make):
     def run(key, g):
         g = g.sort_values(["lat", "lon"])
         y, x = make(g["lat"].to_numpy(float), g["lon"].to_numpy(float))
         return pd.DataFrame({"fid": key[0], "cid": np.arange(len(y)), "lat": y, "lon": x})
 
-    points = pip_join(v.spawnpoint, v.edge, ["lat", "lon"])
     return dealt(points, "fid").groupBy("fid").applyInPandas(run, "fid long, cid long, lat double, lon double")
 
 
 @query()
 def q_cand_grid(v: Views):
-    return _candidates(v, lambda y, x: cover.grid_candidates(y, x, 70.0, cover.DENSITY["fast"]))
+    return _candidates(pip_join(v.spawnpoint, v.edge, ["lat", "lon"]), lambda y, x: cover.grid_candidates(y, x, 70.0, cover.DENSITY["fast"]))
 
 
 @query()
 def q_cand_s2(v: Views):
-    return _candidates(v, lambda y, x: cover.s2_candidates(y, x, 70.0))
+    """The candidates depend only on where a disc reaches a point."""
+    points = cover.exposed(pip_join(v.spawnpoint, v.edge, ["lat", "lon"]), 70.0)
+    return _candidates(points, lambda y, x: cover.s2_candidates(y, x, 70.0))
 
 
 @query()
 def q_cand_honeycomb(v: Views):
-    return _candidates(v, lambda y, x: next(cover.candidates(y, x, 70.0, "honeycomb")))
+    return _candidates(pip_join(v.spawnpoint, v.edge, ["lat", "lon"]), lambda y, x: next(cover.candidates(y, x, 70.0, "honeycomb")))
 
 
 @query("spawnpoint cluster", f"SELECT {s2sql.signed(s2sql.cell(17))} AS cell, n FROM ({s2sql.around('SELECT * FROM spawnpoint', 'SELECT * FROM cluster', 17, 1)})")

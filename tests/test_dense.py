@@ -209,3 +209,15 @@ def test_rows_of_a_matrix_are_dealt_out(spark):
     tours = rows.groupBy("fid").agg(F.sum("n").alias("n"), F.max("n").alias("most")).join(stops, "fid").collect()
     assert len(tours) == stops.count() and all(t.n == t.stops**2 for t in tours)
     assert max(t.stops for t in tours) > 5 and all(t.most < t.n for t in tours if t.stops > 5)
+
+
+def test_exposed_points_grow_slower_than_points_and_have_the_candidates_of_all(spark):
+    kept = []
+    for n in (20000, 120000):
+        lat, lon = _dense(n, spread=0.002)
+        rows = spark.createDataFrame(pd.DataFrame({"fid": 0, "lat": lat, "lon": lon}))
+        few = cover.exposed(rows, 70.0).toPandas().sort_values(["lat", "lon"])
+        want, got = cover.s2_candidates(lat, lon, 70.0), cover.s2_candidates(few["lat"].to_numpy(), few["lon"].to_numpy(), 70.0)
+        assert len(want[0]) and all(np.array_equal(a, b) for a, b in zip(got, want))
+        kept.append(len(few))
+    assert kept[0] < 10000 and kept[1] < kept[0] * 2
