@@ -149,7 +149,8 @@ def links(fps: DataFrame, bits: int = 3, block: int = 2048) -> DataFrame:
     assert 0 <= bits <= 3, "one half is within distance 1 only up to 3 bits"
     cells = _cells(fps)
     size = cells.groupBy("cell").agg(F.count("*").alias("n"), F.sum(F.col("home").cast("long")).alias("h")).where("n > 1 and h > 0")
-    dealt = cells.join(size, "cell").select(
+    # cells has 34 rows a fingerprint, which Spark does not see when it sizes a table: unasked it would broadcast all of them
+    dealt = cells.join(size.hint("merge"), "cell").select(
         "cell", "home", "fp", F.ceil(F.col("n") / block).alias("nj"), F.ceil(F.col("h") / block).alias("ni"), F.xxhash64("fp").alias("x")
     )
     # role 1: row of a block, 2: column, 3: both, in cells that are one block
