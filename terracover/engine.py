@@ -12,6 +12,8 @@ from terracover.operators import bootstrap, cover, plugins, routing, stats
 from terracover.operators.joins import in_any_fence, pip_join, radius_join, within_bounds
 
 CLUSTER_MODES = ("fastest", *cover.GREEDY_MODES)
+#: The same, for jobs of all modes: tasks that begin first should not be the shortest.
+SLOWEST_FIRST = ("best", "balanced", "better", "fast", "honeycomb", "fastest")
 
 
 @dataclass(frozen=True)

@@ -200,7 +200,7 @@ def q_area_stats(v: Views):
 def q_clu_dispatch(v: Views):
     """Clusters of every fence per mode."""
     out = None
-    for mode in engine.CLUSTER_MODES:
+    for mode in engine.SLOWEST_FIRST:
         one = engine.clusters(v.spawnpoint, v.edge, engine.Args(min_points=3, cluster_mode=mode)).withColumn("mode", F.lit(mode))
         out = one if out is None else out.unionByName(one)
     return out.groupBy("mode", "fid").agg(F.count("*").alias("clusters"))
